@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 from bruit.llm.line_dedup import OP3_SQL, op3_line_dedup
+from bruit.llm.mixing import OP6_SQL, op6_source_mix
 from bruit.llm.quality_rules import op10_quality_rules
+from bruit.llm.sharding import op1_histogram_shards
 
 QUERIES = {
+    "op1_histogram_shards": op1_histogram_shards,
     "op3_line_dedup": op3_line_dedup,
+    "op6_source_mix": op6_source_mix,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLES = {
     "op3_line_dedup": OP3_SQL,
+    "op6_source_mix": OP6_SQL,
 }
