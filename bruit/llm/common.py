@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from bisect import bisect_left
-from collections.abc import Sequence
+import zipfile
+from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +39,28 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/bruit-{uuid.uuid4().hex}/{name}"
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the session's application, once."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        root = Path(__file__).resolve().parents[1]
+        name = Path(tempfile.mkdtemp(prefix="bruit-")) / "bruit_package.zip"
+        with zipfile.ZipFile(name, "w") as z:
+            for p in sorted(root.rglob("*.py")):
+                z.write(p, p.relative_to(root.parent))
+        spark.sparkContext.addPyFile(str(name))
+        _shipped.add(app)
+
+
+def map_pandas(df: DataFrame, f: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """``mapInPandas`` for functions of this package."""
+    ship(df.sparkSession)
+    return df.mapInPandas(f, schema)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back; later steps don't repeat its work."""
     path = new_path(df.sparkSession, name)
@@ -145,6 +169,3 @@ def components(edges: DataFrame) -> DataFrame:
     roots = cur.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()
     return cur.select(F.col("a").alias("id"), F.col("b").alias("component")).unionByName(roots)
 
-
-def index_of(bounds: Sequence, value) -> int:
-    return bisect_left(list(bounds), value)

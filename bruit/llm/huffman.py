@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bruit.llm.common import new_path, pick, piecewise, quantile_bounds, remove, table
+from bruit.llm.common import map_pandas, new_path, pick, piecewise, quantile_bounds, remove, table
 from bruit.llm.words_cache import ChunkCache
 
 
@@ -184,7 +184,7 @@ def encoded(docs: DataFrame, p: TokenFileParams) -> DataFrame:
                 "ids": [zlib.compress(x, 1) for x in ids],
             })
 
-    return docs.mapInPandas(run, "doc_id long, n long, ids binary")
+    return map_pandas(docs, run, "doc_id long, n long, ids binary")
 
 
 def global_counts(staged: DataFrame) -> np.ndarray:
@@ -201,7 +201,7 @@ def global_counts(staged: DataFrame) -> np.ndarray:
         used = np.flatnonzero(total)
         yield pd.DataFrame({"id": used, "n": total[used]})
 
-    got = staged.select("ids").mapInPandas(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    got = map_pandas(staged.select("ids"), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(int(got["id"].max()) + 1 if len(got) else 1, np.int64)
     counts[got["id"].to_numpy()] = got["n"].to_numpy()
     return counts
@@ -257,7 +257,7 @@ def write_files(docs: DataFrame, path: str, p: TokenFileParams = TokenFileParams
             yield flush()
 
     ordered = staged.repartition(ranges, "part").sortWithinPartitions("part", "doc_id", "n", "ids")
-    ordered.select("part", "doc_id", "ids").mapInPandas(run, BLOCK).write.parquet(f"{path}/blocks")
+    map_pandas(ordered.select("part", "doc_id", "ids"), run, BLOCK).write.parquet(f"{path}/blocks")
     used = [(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)]
     spark.createDataFrame(used, "id int, bits int").coalesce(1).write.parquet(f"{path}/lengths")
     remove(spark, stage)
@@ -282,7 +282,7 @@ def read_files(spark: SparkSession, path: str, p: TokenFileParams = TokenFilePar
                 yield pd.DataFrame({"doc_id": doc_ids, "start": start, "n_tokens": r.n_tokens, "ids": cut})
 
     blocks = spark.read.schema(BLOCK).parquet(f"{path}/blocks")
-    return blocks.mapInPandas(run, "doc_id long, start long, n_tokens long, ids binary")
+    return map_pandas(blocks, run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def op5_huffman_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bruit.llm.common import pick, table
+from bruit.llm.common import map_pandas, pick, table
 from bruit.llm.words_cache import ChunkCache
 
 BLANK = "▁"
@@ -199,7 +199,7 @@ def encode(docs: DataFrame, p: PieceParams = PieceParams()) -> DataFrame:
                 part = b.iloc[k : k + 500]
                 yield pd.DataFrame({"doc_id": part["doc_id"], "ids": [encode_text(t, p.model) + end for t in part["text"]]})
 
-    return _docs(docs).mapInPandas(run, "doc_id long, ids binary")
+    return map_pandas(_docs(docs), run, "doc_id long, ids binary")
 
 
 def decode(rows: DataFrame, p: PieceParams = PieceParams()) -> DataFrame:
@@ -209,7 +209,7 @@ def decode(rows: DataFrame, p: PieceParams = PieceParams()) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"doc_id": b["doc_id"], "text": [decode_ids(x, p.model) for x in b["ids"]]})
 
-    return rows.mapInPandas(run, "doc_id long, text string")
+    return map_pandas(rows, run, "doc_id long, text string")
 
 
 def _docs(docs: DataFrame) -> DataFrame:
@@ -233,7 +233,7 @@ def digest(docs: DataFrame, p: PieceParams = PieceParams()) -> DataFrame:
             out = pd.DataFrame(rows, columns=["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "round_trip"])
             yield out.astype({"doc_id": "Int64"})
 
-    return _docs(docs).mapInPandas(run, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
+    return map_pandas(_docs(docs), run, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
