@@ -7,6 +7,7 @@ from bruit.llm.huffman import op5_huffman_tokens
 from bruit.llm.line_dedup import OP3_SQL, op3_line_dedup
 from bruit.llm.media import op9_media_png
 from bruit.llm.mixing import OP6_SQL, op6_source_mix
+from bruit.llm.ngram_join import OP8_SQL, op8_ngram_jaccard
 from bruit.llm.quality_classifier import op4_quality_classifier
 from bruit.llm.quality_rules import op10_quality_rules
 from bruit.llm.sentencepiece_codec import op2_sentencepiece
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_huffman_tokens": op5_huffman_tokens,
     "op6_source_mix": op6_source_mix,
     "op7_html_extract": op7_html_extract,
+    "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_media_png": op9_media_png,
     "op10_quality_rules": op10_quality_rules,
 }
@@ -27,4 +29,5 @@ QUERIES = {
 ORACLES = {
     "op3_line_dedup": OP3_SQL,
     "op6_source_mix": OP6_SQL,
+    "op8_ngram_jaccard": OP8_SQL,
 }

@@ -189,15 +189,19 @@ def decode_ids(ids: bytes, model: str) -> str:
     return out.decode("utf-8", "replace")[1:]  # without the blank that stands before every text
 
 
+def _slices(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for k in range(0, len(b), rows):
+            yield b.iloc[k : k + rows]
+
+
 def encode(docs: DataFrame, p: PieceParams = PieceParams()) -> DataFrame:
     """(doc_id, ids): unsigned 32-bit little-endian numbers, with ``end_id`` if set."""
     end = b"" if p.end_id is None else np.array([p.end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for k in range(0, len(b), 500):
-                part = b.iloc[k : k + 500]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "ids": [encode_text(t, p.model) + end for t in part["text"]]})
+        for b in _slices(batches):
+            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": [encode_text(t, p.model) + end for t in b["text"]]})
 
     return map_pandas(_docs(docs), run, "doc_id long, ids binary")
 
@@ -216,24 +220,25 @@ def _docs(docs: DataFrame) -> DataFrame:
     return pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def digest(docs: DataFrame, p: PieceParams = PieceParams()) -> DataFrame:
+def digest(docs: DataFrame, p: PieceParams = PieceParams(), with_ids: bool = False) -> DataFrame:
     """Per document: n_ids, ids_crc32 (of the ids as 32-bit little-endian numbers), and of the decoded text its
-    SHA-256 and whether it is the text that was encoded."""
+    SHA-256 and whether it is the text that was encoded; on demand the ids themselves."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
 
-        for b in batches:
+        for b in _slices(batches):
             rows = []
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
                 ids = encode_text(text, p.model)
                 back = decode_ids(ids, p.model)
                 sha = hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest()
-                rows.append((doc_id, len(ids) // 4, zlib.crc32(ids), sha, back == (text or "")))
-            out = pd.DataFrame(rows, columns=["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "round_trip"])
-            yield out.astype({"doc_id": "Int64"})
+                rows.append((doc_id, len(ids) // 4, zlib.crc32(ids), sha, back == (text or ""), ids)[: len(names)])
+            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
-    return map_pandas(_docs(docs), run, "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean")
+    schema = "doc_id long, n_ids long, ids_crc32 long, decoded_sha256 string, round_trip boolean" + ", ids binary" * with_ids
+    names = [c.split()[0] for c in schema.split(", ")]
+    return map_pandas(_docs(docs), run, schema)
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
