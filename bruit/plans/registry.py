@@ -1,4 +1,6 @@
 """Registered queries and the DuckDB SQL they are checked against."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from bruit.plans.oracles import ORACLES
+from bruit.plans.queries import QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
