@@ -20,8 +20,10 @@ empty files; further columns are ignored.
 from __future__ import annotations
 
 import heapq
+import json
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -140,49 +142,90 @@ def unpack(bits: bytes, offsets: bytes, n: int, every: int, tables: tuple[np.nda
 
 _caches: dict[str, ChunkCache] = {}
 
+#: Characters below this are the same letters and numbers in every version of Unicode's tables.
+SETTLED = 0x250
+
+
+def _byte_letters() -> list[str]:
+    """The printable character that byte-level vocabularies write for each byte."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(others)) for b in range(256)]
+
 
 def _cache(vocabulary: str) -> ChunkCache:
     """The worker's memo for a vocabulary file.
 
     This kind of tokenizer cuts texts at white space before anything else and
-    drops it, so a text's ids are those of its chunks between blanks and line ends.
+    drops it, so a text's ids are those of its chunks between blanks and line
+    ends.  A chunk of settled characters is cut by the file's own pattern and
+    its parts go to the file's model directly; any other goes through the
+    whole tokenizer.
     """
-    if vocabulary not in _caches:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import public_tokenizers
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-
-        def many(chunks: list[str]) -> list[bytes]:
-            found = tok.encode_batch_fast(chunks, add_special_tokens=False)
-            return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-        _caches[vocabulary] = ChunkCache(many)
+    if vocabulary in _caches:
+        return _caches[vocabulary]
+    import os
+    import unicodedata
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import public_tokenizers
+    import regex
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+    spec = json.loads(tok.to_str())
+    split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+    special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or "(?!)").search
+    tokenize, letters = tok.model.tokenize, _byte_letters()
+    parts: dict[str, bytes] = {}
+    as_bytes = lambda ids: array("I", ids).tobytes()
+
+    def part(x: str) -> bytes:
+        shown = x if x.isalpha() and x.isascii() else "".join([letters[b] for b in x.encode()])
+        out = as_bytes([t.id for t in tokenize(shown)])
+        if len(x) <= 64:
+            parts[x] = out
+        return out
+
+    def many(chunks: list[str]) -> list[bytes]:
+        if len(parts) > 500_000:
+            parts.clear()
+        out: list = [None] * len(chunks)
+        rest = []
+        for i, c in enumerate(chunks):
+            # White space of other kinds, and what the tokenizer takes out first, are left to it.
+            if not c.isprintable() or ord(max(c)) >= SETTLED or special(c):
+                rest.append(i)
+                continue
+            if not c.isascii():
+                c = unicodedata.normalize("NFC", c)
+            out[i] = b"".join([parts.get(x) or part(x) for x in split(c.lower())])
+        found = tok.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False) if rest else []
+        for i, e in zip(rest, found, strict=True):
+            out[i] = as_bytes(e.ids)
+        return out
+
+    _caches[vocabulary] = ChunkCache(many)
     return _caches[vocabulary]
 
 
-def encode_text(text: str | None, vocabulary: str) -> bytes:
-    """Ids as unsigned 32-bit little-endian numbers, without the end id."""
-    if not text:
-        return b""
-    chunks = [c for c in text.replace("\n", " ").split(" ") if c]
-    return _cache(vocabulary).encode(chunks)
+def encode_texts(texts: Iterable[str | None], vocabulary: str) -> list[bytes]:
+    """Ids of each text as unsigned 32-bit little-endian numbers, without the end id."""
+    chunks = [[c for c in t.replace("\n", " ").split(" ") if c] if t else [] for t in texts]
+    return _cache(vocabulary).encode_texts(chunks)
 
 
 def encoded(docs: DataFrame, p: TokenFileParams) -> DataFrame:
-    """(doc_id, n, ids): ids are little-endian numbers of 16 bits if all fit, else 32; the end id is appended."""
+    """(doc_id, n, ids): zlib-packed unsigned 32-bit little-endian numbers with the end id."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         end = np.array([p.end_id], "<u4").tobytes()
         for b in batches:
-            ids = [encode_text(t, p.vocabulary) + end for t in b["text"]]
-            yield pd.DataFrame({
-                "doc_id": b["doc_id"], "n": [len(x) // 4 for x in ids],
-                "ids": [zlib.compress(x, 1) for x in ids],
-            })
+            for k in range(0, len(b), 500):
+                part = b.iloc[k : k + 500]
+                ids = [x + end for x in encode_texts(part["text"], p.vocabulary)]
+                packed = [zlib.compress(x, 1) for x in ids]
+                yield pd.DataFrame({"doc_id": part["doc_id"], "n": [len(x) // 4 for x in ids], "ids": packed})
 
     return map_pandas(docs, run, "doc_id long, n long, ids binary")
 

@@ -23,6 +23,7 @@ gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -58,10 +59,10 @@ class Pieces:
         self.byte_id = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.max_len = max(map(len, self.ids))
         lengths: dict[str, set[int]] = {}
-        for t in self.ids:
+        for t in self.ids:  # by the last three characters, and by two for pieces of two
             if len(t) > 1:
-                lengths.setdefault(t[-2:], set()).add(len(t))
-        self.ends = {k: sorted(v, reverse=True) for k, v in lengths.items()}
+                lengths.setdefault(t[-3:], set()).add(len(t))
+        self.ends = {k: tuple(sorted(v, reverse=True)) for k, v in lengths.items()}
         self.inner = {t[i : i + 2] for t in self.ids for i in range(len(t) - 1)}
         self.raw = [b""] * n
         for t, i in self.ids.items():
@@ -108,7 +109,8 @@ class Pieces:
             s += part
             while i < len(s):
                 i += 1
-                for n in ends.get(s[i - 2 : i], ()) if i > 1 else ():
+                tail = s[i - 3 : i] if i > 2 else ""
+                for n in (*ends.get(tail, ()), *ends.get(s[i - 2 : i], ())) if i > 1 else ():
                     if n <= i and (t := ids.get(s[i - n : i])) is not None:
                         p = last[i - n]
                         if p < 0:
@@ -130,6 +132,36 @@ class Pieces:
                         s, last, size, i = s[at:], last[at:], [0, *size[at + 1 :]], i - at
         yield from self._ids(s, last, size, i)
 
+    def short(self, s: str) -> bytes:
+        """The same search over a chunk that fits the window, without commits on the way."""
+        ids, ends, pairs = self.ids, self.ends, self._pairs
+        last, size, none = [-1], [0], ()
+        for i, c in enumerate(s, 1):
+            three = ends.get(s[i - 3 : i], none) if i > 2 else none
+            two = ends.get(s[i - 2 : i], none) if i > 1 else none
+            for n in three + two:
+                if n <= i and (t := ids.get(s[i - n : i])) is not None:
+                    p = last[i - n]
+                    if p < 0:
+                        ok = self.stable(s[i - n : i])
+                    elif (ok := pairs.get(p << 20 | t)) is None:
+                        ok = self.pair(p, t)
+                    if ok:
+                        last.append(t)
+                        size.append(n)
+                        break
+            else:
+                last.append(ids.get(c, -2))
+                size.append(1)
+            prev = c
+        return array("I", self._ids(s, last, size, len(s))).tobytes()
+
+    def parts(self, s: str) -> list[str]:
+        """Cuts a chunk at the places that no piece crosses."""
+        inner = self.inner
+        cuts = [i for i in range(1, len(s)) if s[i - 1 : i + 1] not in inner]
+        return [s[a:b] for a, b in zip([0, *cuts], [*cuts, len(s)], strict=True)]
+
     def _meeting(self, size: list[int], end: int) -> int:
         """The last boundary on all paths back from the boundaries that can still be extended."""
         at = set(range(max(0, end - self.max_len + 1), end + 1))
@@ -158,22 +190,33 @@ def _load(model: str) -> tuple[Pieces, ChunkCache]:
         import public_tokenizers
 
         p = Pieces(public_tokenizers.path(model))
-        parts = lambda c: (c[i : i + 4096] for i in range(0, len(c), 4096))
-        many = lambda cs: [np.fromiter(p.search(parts(c)), "<u4").tobytes() for c in cs]
+        known: dict[str, bytes] = {}
+
+        def part(x: str) -> bytes:
+            if len(x) > 512:
+                return np.fromiter(p.search(x[i : i + 4096] for i in range(0, len(x), 4096)), "<u4").tobytes()
+            known[x] = out = p.short(x)
+            return out
+
+        def many(chunks: list[str]) -> list[bytes]:
+            if len(known) > 500_000:
+                known.clear()
+            return [b"".join([known.get(x) or part(x) for x in p.parts(c)]) for c in chunks]
+
         _loaded[model] = p, ChunkCache(many)
     return _loaded[model]
 
 
-def encode_text(text: str | None, model: str) -> bytes:
-    """Ids as unsigned 32-bit little-endian numbers."""
-    if not text:
-        return b""
-    chunks = text.replace("\n", " \n").split(" ")
-    # A line end has no piece, so paths meet on both of its sides: it stands as a chunk's first character.
-    out = [c if c[:1] == "\n" else BLANK + c for c in chunks]
+def encode_texts(texts: Iterable[str | None], model: str) -> list[bytes]:
+    """Ids of each text as unsigned 32-bit little-endian numbers."""
+    return _load(model)[1].encode_texts([_chunks(t) if t else [] for t in texts])
+
+
+def _chunks(text: str) -> list[str]:
     if "  " in text or BLANK in text or text[0] in " \n" or text[-1] == " " or " \n" in text:
-        out = _whole(text)
-    return _load(model)[1].encode(out)
+        return _whole(text)
+    # A line end has no piece, so paths meet on both of its sides: it stands as a chunk's first character.
+    return [c if c[:1] == "\n" else BLANK + c for c in text.replace("\n", " \n").split(" ")]
 
 
 def _whole(text: str) -> list[str]:
@@ -201,7 +244,7 @@ def encode(docs: DataFrame, p: PieceParams = PieceParams()) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in _slices(batches):
-            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": [encode_text(t, p.model) + end for t in b["text"]]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": [x + end for x in encode_texts(b["text"], p.model)]})
 
     return map_pandas(_docs(docs), run, "doc_id long, ids binary")
 
@@ -229,8 +272,7 @@ def digest(docs: DataFrame, p: PieceParams = PieceParams(), with_ids: bool = Fal
 
         for b in _slices(batches):
             rows = []
-            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                ids = encode_text(text, p.model)
+            for doc_id, text, ids in zip(b["doc_id"], b["text"], encode_texts(b["text"], p.model), strict=True):
                 back = decode_ids(ids, p.model)
                 sha = hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest()
                 rows.append((doc_id, len(ids) // 4, zlib.crc32(ids), sha, back == (text or ""), ids)[: len(names)])

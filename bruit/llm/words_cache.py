@@ -1,38 +1,35 @@
-"""A bounded memo of what a tokenizer makes of a chunk of text, one for each Python worker."""
+"""A bounded memo of what a tokenizer makes of chunks of text, one for each Python worker."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
+from itertools import chain
 
 
 class ChunkCache(dict):
-    """chunk -> encoded bytes.  Chunks not seen yet are encoded together, in one call of ``encode_many``.
+    """chunk -> encoded bytes.
 
-    The memo starts anew when it holds ``limit`` chunks; chunks over
-    ``max_chars`` aren't kept.  So its memory is bounded whatever the texts.
+    The unknown chunks of a group of texts are encoded together by
+    ``encode_many``.  The memo starts anew when it holds ``limit`` chunks, and
+    chunks over ``max_chars`` aren't kept, so its memory is bounded whatever
+    the texts.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 400_000, max_chars: int = 64):
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 800_000, max_chars: int = 64):
         super().__init__()
         self.encode_many, self.limit, self.max_chars = encode_many, limit, max_chars
 
-    def encode(self, chunks: list[str]) -> bytes:
-        try:
-            return b"".join(map(self.__getitem__, chunks))
-        except KeyError:
-            pass
-        once = self.learn(chunks)
-        if once:
-            return b"".join([self[c] if c in self else once[c] for c in chunks])
-        return b"".join(map(self.__getitem__, chunks))
-
-    def learn(self, chunks: Iterable[str]) -> dict[str, bytes]:
-        """Encodes the unknown chunks; returns those that are too long to keep."""
-        new = [c for c in set(chunks) if c not in self]
+    def encode_texts(self, texts: list[list[str]]) -> list[bytes]:
+        """The joined bytes of each text, given as its chunks."""
+        have = set(chain.from_iterable(texts))
+        new = [c for c in have if c not in self]
         if len(self) + len(new) > self.limit:
             self.clear()
-            new = list(set(chunks))
-        once = {}
-        for c, ids in zip(new, self.encode_many(new), strict=True):
-            (self if len(c) <= self.max_chars else once)[c] = ids
-        return once
+            new = list(have)
+        if new:
+            self.update(zip(new, self.encode_many(new), strict=True))
+        long = [c for c in new if len(c) > self.max_chars]
+        out = [b"".join(map(self.__getitem__, chunks)) for chunks in texts]
+        for c in long:
+            del self[c]
+        return out
