@@ -34,7 +34,6 @@ are ignored by ``link`` and kept by ``filter_documents``.
 
 from __future__ import annotations
 
-import uuid
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -50,15 +49,20 @@ from bruit.llm.shingles import mix, shingles, signed, sum64
 
 @dataclass(frozen=True)
 class JoinParams:
-    """Similarity of at least ``num / den`` on ``words``-word shingles."""
+    """Similarity of at least ``num / den`` on ``words``-word shingles.
+
+    A document has about 2.2 (1 - t) leaves for each shingle.  More ``slices`` of leaves need less disk at
+    a time and hash the texts again for each.
+    """
 
     words: int = 5
     num: int = 80
     den: int = 100
     groups: int = 128
-    class_ratio: float = 0.7
+    class_ratio: float = 0.65
     page: int = 256
     node: int = 16
+    slices: int = 4
     broadcast_ids: int = 500_000
 
     def enough(self, overlap, total):
@@ -132,20 +136,65 @@ def points(docs: DataFrame, p: JoinParams) -> DataFrame:
     return map_pandas(docs, run, POINT)
 
 
-def leaves(docs: DataFrame, p: JoinParams) -> DataFrame:
-    """(key, id): the leaves of each document."""
+def leaves(docs: DataFrame, p: JoinParams, piece: int = 0) -> DataFrame:
+    """(key, id): the leaves of each document in one slice of the key space."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for k in range(0, len(b), 500):
                 part = b.iloc[k : k + 500]
                 keys = [leaf_keys(shingles(t, p.words), p) for t in part["text"]]
+                if p.slices > 1:
+                    keys = [x[x.view(np.uint64) % np.uint64(p.slices) == piece] for x in keys]
                 ids = np.repeat(part["doc_id"].to_numpy(np.int64), [len(x) for x in keys])
                 yield pd.DataFrame({"key": np.concatenate(keys), "id": ids})
 
     return map_pandas(docs, run, "key long, id long")
 
 
+def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(key, id, lead) of all leaves with two rows or more, from rows sorted by key; a leaf's first row leads.
+
+    Only the last row stays in memory from batch to batch.
+    """
+    last_key, lead, alone = None, None, False
+    for b in batches:
+        k, i = b["key"].to_numpy(), b["id"].to_numpy()
+        first = np.concatenate([[last_key is None or k[0] != last_key], k[1:] != k[:-1]])
+        leads = np.concatenate([[i[0] if lead is None else lead], i[first]])[np.cumsum(first)]
+        more = np.concatenate([~first[1:], [False]])  # the next row is of the same leaf
+        keep = ~first | more
+        k, i, keep_leads = k[keep], i[keep], leads[keep]
+        if alone and not first[0]:  # the row that ended the last batch was the first of this leaf
+            k, i, keep_leads = np.append(k, last_key), np.append(i, lead), np.append(keep_leads, lead)
+        yield pd.DataFrame({"key": k, "id": i, "lead": keep_leads})
+        last_key, lead, alone = b["key"].iat[-1], leads[-1], bool(first[-1])
+
+
+def shared_leaves(docs: DataFrame, p: JoinParams) -> DataFrame:
+    """(key, id, lead) for the leaves that hold several documents, with the member that leads each.
+
+    The key space is worked through in slices, so the shuffle's files of one slice are on disk at a time.
+    """
+    spark = docs.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path, schema = new_path(spark, "members"), "key long, id long, lead long"
+    clean, old = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", None
+    if p.slices > 1 and spark.conf.isModifiable(clean):
+        old = spark.conf.get(clean, "false")
+        spark.conf.set(clean, "true")
+    try:
+        for i in range(p.slices):
+            rows = leaves(docs, p, i).repartition(n, "key")
+            # id XOR key puts a leaf's members in an order of its own.
+            rows = rows.sortWithinPartitions("key", F.col("id").bitwiseXOR(F.col("key")))
+            map_pandas(rows, _runs, schema).write.parquet(f"{path}/slice={i}")
+    finally:
+        if old is not None:
+            spark.conf.set(clean, old)
+    return spark.read.schema(schema).parquet(*[f"{path}/slice={i}" for i in range(p.slices)])
+
+
 def sets(docs: DataFrame, p: JoinParams) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -279,17 +328,7 @@ def link(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
     copies = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     texts = _only(docs.where("doc_id is not null"), copies.select(F.col("a").alias("id")).distinct(), "left_anti", p)
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name, path = f"bruit_leaves_{uuid.uuid4().hex}", new_path(spark, "leaves")
-    placed = leaves(texts, p).repartition(n, "key").sortWithinPartitions("key")
-    placed.write.bucketBy(n, "key").sortBy("key").option("path", path).saveAsTable(name)
-    placed = spark.table(name)
-    # id XOR key puts a leaf's members in an order of its own; the least one leads.
-    mixed = F.col("id").bitwiseXOR(F.col("key"))
-    shared = placed.groupBy("key").agg(F.min(mixed).alias("lo"), F.max(mixed).alias("hi")).where("lo <> hi")
-    shared = shared.select("key", F.col("lo").bitwiseXOR(F.col("key")).alias("lead"))
-    members = materialize(placed.join(shared, "key").select("key", "id", "lead"), "members")
-    spark.sql(f"DROP TABLE {name}")
+    members = shared_leaves(texts, p)
 
     items = materialize(sets(_only(texts, members.select("id").distinct(), "left_semi", p), p), "sets")
     pairs = members.where("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
@@ -308,7 +347,7 @@ def link(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link(table(spark, sf_dir, "documents"), JoinParams(words=3, num=90))
+    return link(table(spark, sf_dir, "documents"), JoinParams(words=3, num=90, slices=1))
 
 
 OP8_SQL = """
