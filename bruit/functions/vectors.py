@@ -25,7 +25,8 @@ def dot(a: Column, b: Column) -> Column:
 def cosine_distance(a: Column, b: Column) -> Column:
     """1 - cosine, at least 0, to nine digits; null for a zero vector."""
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.round(F.greatest(F.lit(1.0) - F.try_divide(dot(a, b), norm), F.lit(0.0)), 9)
+    d = F.lit(1.0) - F.try_divide(dot(a, b), norm)
+    return F.round(F.when(d < 0, 0.0).otherwise(d), 9)
 
 
 def mean_vector(vectors: Column, n: int) -> Column:
