@@ -8,11 +8,12 @@ A single tree over whole points can't be dealt to machines: documents of
 similar size lie in each other's search range almost regardless of content.  So
 its upper part routes by blocks of coordinates.  Sizes fall into classes; if
 two documents of a class reach similarity t, at most d = 2u(1-t)/(1+t) shingles
-(u: the class's largest size) stand in one set alone, so of d + 1 blocks of
-groups at least one is equal in both.  A document goes to a leaf for each block
-(class, block, content of the block), and to those of the next class if a
-partner may be there.  Blocks without shingles are cut again by another hash,
-or unrelated documents would meet there.
+(u: the class's largest size) stand in one set alone, so of m > d blocks of
+groups at least m - d are equal in both.  A document goes to a leaf for each
+block (class, block, content of the block), and to those of the next class if a
+partner may be there.  Blocks without shingles make no leaf, or unrelated
+documents would meet there; a document with m - d or more of them is also cut
+by another hash.
 
 Equal sets are one point.  In each leaf all members first meet one member,
 chosen at random by the leaf; pairs that pass the bound are verified against
@@ -34,6 +35,7 @@ are ignored by ``link`` and kept by ``filter_documents``.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -62,15 +64,16 @@ class JoinParams:
     class_ratio: float = 0.65
     page: int = 256
     node: int = 16
-    slices: int = 4
+    slices: int = 1
     broadcast_ids: int = 500_000
 
     def enough(self, overlap, total):
         """Whether ``overlap`` of sets with ``total`` elements together suffices; exact in integers."""
         return overlap * (self.num + self.den) >= total * self.num
 
-    def blocks(self, u: int) -> int:
-        return 2 * u * (self.den - self.num) // (self.den + self.num) + 1
+    def differing(self, u: int) -> int:
+        """Shingles that at most stand in one set alone, for two sets of at most ``u`` that reach the similarity."""
+        return 2 * u * (self.den - self.num) // (self.den + self.num)
 
 
 _classes: dict[float, list[int]] = {}
@@ -84,21 +87,36 @@ def _class(n: int, p: JoinParams) -> tuple[int, list[int]]:
     return bisect_right(low, n) - 1, low
 
 
-def _block_keys(s: np.ndarray, m: int, salt: int, depth: int = 0) -> list[np.ndarray]:
+_levels: dict[tuple, tuple[int, int]] = {}
+
+
+def _level(c: int, low: list[int], p: JoinParams) -> tuple[int, int]:
+    """(blocks, differing) of class ``c``: at most ``differing`` of the blocks differ in a pair that reaches the similarity.
+
+    There are so many blocks that even the smallest set of the class leaves fewer of them empty, as a rule,
+    than are equal.
+    """
+    key = (c, p.num, p.den, p.class_ratio)
+    if key not in _levels:
+        d = p.differing(low[c + 1] - 1)
+        least = max(1, low[c] * p.num // p.den)
+        m = next((m for m in range(d + 1, 3 * d + 3) if m - d > (e := m * math.exp(-least / m)) + 2 * math.sqrt(e)), d + 1)
+        _levels[key] = m, d
+    return _levels[key]
+
+
+def _block_keys(s: np.ndarray, m: int, d: int, salt: int, depth: int = 0) -> list[np.ndarray]:
     part = (mix(s, 0x51 + 7919 * depth) % np.uint64(m)).astype(np.int64)
     v = mix(s, 0xA3 + depth)
     # Sums of 64-bit values by halves, which stay exact in doubles.
     lo = np.bincount(part, (v & np.uint64(0xFFFFFFFF)).astype(np.float64), m).astype(np.uint64)
     hi = np.bincount(part, (v >> np.uint64(32)).astype(np.float64), m).astype(np.uint64)
     full = np.bincount(part, minlength=m) > 0
-    tag = mix(np.arange(m, dtype=np.uint64) + np.uint64(salt % 2**64), 0xC0FFEE + depth)
-    keys = mix((hi << np.uint64(32)) + lo + tag)
-    if depth >= 4:
-        return [keys]
-    out = [keys[full]]
-    for i in np.flatnonzero(~full):
-        out += _block_keys(s, m, int(tag[i]), depth + 1)
-    return out
+    keys = mix((hi << np.uint64(32)) + lo + mix(np.arange(m, dtype=np.uint64) + np.uint64(salt), 0xC0FFEE + depth))
+    if full.sum() > d:  # of the m - d equal blocks of a pair at least one isn't empty
+        return [keys[full]]
+    # A partner that is equal in empty blocks alone has as many of them and comes here too.
+    return [keys] if depth >= 4 else [keys[full], *_block_keys(s, m, d, salt, depth + 1)]
 
 
 def leaf_keys(s: np.ndarray, p: JoinParams) -> np.ndarray:
@@ -110,7 +128,7 @@ def leaf_keys(s: np.ndarray, p: JoinParams) -> np.ndarray:
     keys = []
     for c in (k, k + 1):
         if c == k or n * p.den >= low[c] * p.num:
-            keys += _block_keys(s, p.blocks(low[c + 1] - 1), 0x9E37 * (c + 1))
+            keys += _block_keys(s, *_level(c, low, p), 0x9E37 * (c + 1))
     return np.unique(np.concatenate(keys)).view(np.int64)
 
 
@@ -347,7 +365,7 @@ def link(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link(table(spark, sf_dir, "documents"), JoinParams(words=3, num=90, slices=1))
+    return link(table(spark, sf_dir, "documents"), JoinParams(words=3, num=90))
 
 
 OP8_SQL = """

@@ -212,7 +212,7 @@ def family(rng, base, edits):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("p", [ngram_join.JoinParams(slices=1), ngram_join.JoinParams(words=3, num=90, page=8, node=2)])
+@pytest.mark.parametrize("p", [ngram_join.JoinParams(slices=3), ngram_join.JoinParams(words=3, num=90, page=8, node=2)])
 def test_jaccard_join(spark, p):
     rng = np.random.default_rng(5)
     texts = []
