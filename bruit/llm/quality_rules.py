@@ -186,10 +186,14 @@ def verdict(counted: DataFrame, cutoffs: dict[str, dict[str, float]]) -> DataFra
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, params: RiskParams = RiskParams()) -> DataFrame:
-    """The documents that all rules keep, with the columns they came with.  Documents aren't shuffled."""
-    cutoffs = calibrate(with_counts(pick(docs, "doc_id", "lang", "text")), labels, params)
-    kept = verdict(with_counts(beside(docs, "lang", "text")), cutoffs).where("kept")
-    return restored(kept, docs)
+    """The documents that all rules keep, with the columns they came with.  Documents aren't shuffled.
+
+    They are stored with their counts, which takes their size on disk once: texts are counted in one pass
+    for calibration and verdict, and the verdict filters by stored numbers.
+    """
+    counted = with_counts(beside(docs, "doc_id", "lang", "text")).drop("text")
+    counted = materialize(counted, "counted")
+    return restored(verdict(counted, calibrate(counted, labels, params)).where("kept"), docs)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
