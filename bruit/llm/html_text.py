@@ -61,6 +61,8 @@ NAMES = re.compile(
     r"|comments?|comment-\w+|replies|disqus|related|recommend\w*|tags|widget|login|signup|search|skip)(?:$|[\s_-])",
     re.I,
 )
+#: "has-sidebar" and the like describe what stands beside an element.
+BESIDE = re.compile(r"\b(?:no|with|without|has|hide)[-_]\w+", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
 HEADER_OK = frozenset({"article", "main"})
 CLOSED_BY = {
@@ -170,7 +172,7 @@ def blocks(html: str) -> list[Block]:
         out = bool(stack and stack[-1].out) or hidden or attrs.get("role", "").lower() in ROLES
         if tag in OUT:
             out = out or not (tag == "header" and any(o.tag in HEADER_OK for o in stack))
-        if name and tag not in ("html", "body", "article", "main") and NAMES.search(name):
+        if name and tag not in ("html", "body", "article", "main") and NAMES.search(BESIDE.sub("", name)):
             out = True
         n_nodes += 1
         stack.append(_Open(tag, tag + ("." + ".".join(sorted(name.split())) if name else ""), n_nodes, out))
