@@ -244,9 +244,11 @@ def main_text(html: str | None, p: HtmlParams = HtmlParams()) -> str:
             break
         node = best
     inside = [b for b in found if not node or node in b.nodes]
-    # An article's own blocks all belong to it; elsewhere paths have to pass.
-    if not node or tag[node] not in ("article", "main"):
-        inside = [b for b in inside if b.path in chosen]
+    # An article's own blocks all belong to it.  In another node, link lists don't; in the page as a whole, paths have to pass.
+    if not node or tag[node] in ("html", "body"):
+        inside = [b for b in inside if b.path in chosen or re.fullmatch(r"h[1-3]", b.path[-1].split(".")[0] if b.path else "")]
+    elif tag[node] not in ("article", "main"):
+        inside = [b for b in inside if b.path in chosen or b.link_chars < 0.5 * len(b.text)]
     return " ".join(b.text for b in inside)
 
 
