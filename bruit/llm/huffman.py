@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import heapq
 import json
-import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -95,15 +94,14 @@ def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray, every: int) ->
     """The ids' bits and, as unsigned 32-bit little-endian numbers, the bit offset of each ``every``-th id."""
     n = lengths[ids].astype(np.int64)
     starts = np.cumsum(n) - n
-    pieces = []
-    for at in range(0, len(ids), 1 << 16):  # a long document's bits never stand in memory as wide numbers at once
-        m, code = n[at : at + (1 << 16)], codes[ids[at : at + (1 << 16)]]
-        ends = np.cumsum(m)
-        which = np.repeat(np.arange(len(m)), m)
-        down = (ends - 1)[which] - np.arange(int(ends[-1]))
-        pieces.append(((code[which] >> down.astype(np.uint32)) & 1).astype(np.uint8))
-    bits = np.concatenate(pieces) if pieces else np.zeros(0, np.uint8)
-    return np.packbits(bits).tobytes(), starts[::every].astype("<u4").tobytes()
+    total = int(starts[-1] + n[-1]) if len(ids) else 0
+    # A code of at most 32 bits touches two 32-bit words; bits never overlap, so sums (exact in doubles) join them.
+    word = starts >> 5
+    wide = codes[ids].astype(np.uint64) << (64 - n - (starts & 31)).astype(np.uint64)
+    size = (total >> 5) + 2
+    words = np.bincount(word, (wide >> np.uint64(32)).astype(np.float64), size)
+    words += np.bincount(word + 1, (wide & np.uint64(0xFFFFFFFF)).astype(np.float64), size)
+    return words.astype(">u4").tobytes()[: (total + 7) // 8], starts[::every].astype("<u4").tobytes()
 
 
 def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
@@ -178,7 +176,8 @@ def _cache(vocabulary: str) -> ChunkCache:
     special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or "(?!)").search
     tokenize, letters = tok.model.tokenize, _byte_letters()
     parts: dict[str, bytes] = {}
-    as_bytes = lambda ids: array("I", ids).tobytes()
+    kind = "H" if tok.get_vocab_size() <= 1 << 16 else "I"
+    as_bytes = lambda ids: array(kind, ids).tobytes()
 
     def part(x: str) -> bytes:
         shown = x if x.isalpha() and x.isascii() else "".join([letters[b] for b in x.encode()])
@@ -206,28 +205,38 @@ def _cache(vocabulary: str) -> ChunkCache:
         return out
 
     _caches[vocabulary] = ChunkCache(many)
+    _caches[vocabulary].kind = "<u2" if kind == "H" else "<u4"
     return _caches[vocabulary]
 
 
-def encode_texts(texts: Iterable[str | None], vocabulary: str) -> list[bytes]:
-    """Ids of each text as unsigned 32-bit little-endian numbers, without the end id."""
-    chunks = [[c for c in t.replace("\n", " ").split(" ") if c] if t else [] for t in texts]
-    return _cache(vocabulary).encode_texts(chunks)
+def encode_texts(texts: Iterable[str | None], vocabulary: str) -> tuple[list[bytes], str]:
+    """Ids of each text as little-endian numbers, without the end id, and their kind: 16 bits if the vocabulary fits, else 32."""
+    cache = _cache(vocabulary)
+    return cache.encode_texts([[c for c in t.replace("\n", " ").split(" ") if c] if t else [] for t in texts]), cache.kind
+
+
+STAGED = "doc_id long, n long, ids binary, kind string, used binary, counts binary"
 
 
 def encoded(docs: DataFrame, p: TokenFileParams) -> DataFrame:
-    """(doc_id, n, ids): zlib-packed unsigned 32-bit little-endian numbers with the end id."""
+    """(doc_id, n, ids, kind) with the end id; a row now and then also has the counts of ids since the last such row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        end = np.array([p.end_id], "<u4").tobytes()
         for b in batches:
             for k in range(0, len(b), 500):
                 part = b.iloc[k : k + 500]
-                ids = [x + end for x in encode_texts(part["text"], p.vocabulary)]
-                packed = [zlib.compress(x, 1) for x in ids]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "n": [len(x) // 4 for x in ids], "ids": packed})
+                ids, kind = encode_texts(part["text"], p.vocabulary)
+                width, end = int(kind[-1]), np.array([p.end_id], kind).tobytes()
+                ids = [x + end for x in ids]
+                total = np.bincount(np.frombuffer(b"".join(ids), kind))
+                used = np.flatnonzero(total)
+                rest = [None] * (len(ids) - 1)
+                yield pd.DataFrame({
+                    "doc_id": part["doc_id"], "n": [len(x) // width for x in ids], "ids": ids, "kind": kind,
+                    "used": [used.astype("<u4").tobytes(), *rest], "counts": [total[used].astype("<u8").tobytes(), *rest],
+                })
 
-    return map_pandas(docs, run, "doc_id long, n long, ids binary")
+    return map_pandas(docs, run, STAGED)
 
 
 def global_counts(staged: DataFrame) -> np.ndarray:
@@ -236,15 +245,16 @@ def global_counts(staged: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(0, np.int64)
         for b in batches:
-            for x in b["ids"]:
-                n = np.bincount(np.frombuffer(zlib.decompress(x), "<u4"))
-                if len(n) > len(total):
-                    total = np.concatenate([total, np.zeros(len(n) - len(total), np.int64)])
-                total[: len(n)] += n
+            for used, n in zip(b["used"], b["counts"], strict=True):
+                used, n = np.frombuffer(used, "<u4"), np.frombuffer(n, "<u8").astype(np.int64)
+                if used[-1] >= len(total):
+                    total = np.concatenate([total, np.zeros(int(used[-1]) + 1 - len(total), np.int64)])
+                total[used] += n
         used = np.flatnonzero(total)
         yield pd.DataFrame({"id": used, "n": total[used]})
 
-    got = map_pandas(staged.select("ids"), run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    rows = staged.where("used is not null").select("used", "counts")
+    got = map_pandas(rows, run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(int(got["id"].max()) + 1 if len(got) else 1, np.int64)
     counts[got["id"].to_numpy()] = got["n"].to_numpy()
     return counts
@@ -261,7 +271,7 @@ def write_files(docs: DataFrame, path: str, p: TokenFileParams = TokenFileParams
     stage = new_path(spark, "staged")
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     encoded(docs, p).write.parquet(stage)
-    staged = spark.read.schema("doc_id long, n long, ids binary").parquet(stage)
+    staged = spark.read.schema(STAGED).parquet(stage)
     counts = global_counts(staged)
     lengths = code_lengths(counts, p.max_bits)
     codes = canonical_codes(lengths)
@@ -287,8 +297,8 @@ def write_files(docs: DataFrame, path: str, p: TokenFileParams = TokenFileParams
 
         for b in batches:
             doc_ids = [None if pd.isna(d) else int(d) for d in b["doc_id"]]
-            for key, doc_id, x in zip(b["part"], doc_ids, b["ids"], strict=True):
-                ids = np.frombuffer(zlib.decompress(x), "<u4")
+            for key, doc_id, x, kind in zip(b["part"], doc_ids, b["ids"], b["kind"], strict=True):
+                ids = np.frombuffer(x, kind)
                 if held and (key != part or size + len(ids) > p.block_ids):
                     yield flush()
                     held, block, start, size = [], block + 1, start + size, 0
@@ -300,7 +310,7 @@ def write_files(docs: DataFrame, path: str, p: TokenFileParams = TokenFileParams
             yield flush()
 
     ordered = staged.repartition(ranges, "part").sortWithinPartitions("part", "doc_id", "n", "ids")
-    map_pandas(ordered.select("part", "doc_id", "ids"), run, BLOCK).write.parquet(f"{path}/blocks")
+    map_pandas(ordered.select("part", "doc_id", "ids", "kind"), run, BLOCK).write.parquet(f"{path}/blocks")
     used = [(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)]
     spark.createDataFrame(used, "id int, bits int").coalesce(1).write.parquet(f"{path}/lengths")
     remove(spark, stage)
