@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from pathlib import Path
 
 import pandas as pd
@@ -68,6 +69,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Inside, a job's shuffle files go when the job ends, not when the driver's garbage is collected.
+
+    For steps that are written to the shared folder: nothing reads their shuffles again.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(key, "false") if spark.conf.isModifiable(key) else None
+    try:
+        if old is not None:
+            spark.conf.set(key, "true")
+        yield
+    finally:
+        if old is not None:
+            spark.conf.set(key, old)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table of the shared folder that nothing reads any more."""
     jvm = spark.sparkContext._jvm

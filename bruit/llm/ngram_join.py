@@ -42,10 +42,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bruit.llm.common import beside, components, map_pandas, materialize, new_path, pick, restored, table
+from bruit.llm.common import beside, components, map_pandas, materialize, new_path, pick, restored, short_lived_shuffles, table
 from bruit.llm.shingles import mix, shingles, signed, sum64
 
 
@@ -65,6 +65,7 @@ class JoinParams:
     page: int = 256
     node: int = 16
     slices: int = 1
+    leaders: int = 4
     broadcast_ids: int = 500_000
 
     def enough(self, overlap, total):
@@ -133,8 +134,9 @@ def leaf_keys(s: np.ndarray, p: JoinParams) -> np.ndarray:
 
 
 def point(s: np.ndarray, p: JoinParams) -> bytes:
+    """Counts per group in a byte each.  What a byte can't hold is the set's excess: its size less the counts' sum."""
     group = (mix(s, 0x77) % np.uint64(p.groups)).astype(np.int64)
-    return np.minimum(np.bincount(group, minlength=p.groups), 2**31 - 1).astype("<u4").tobytes()
+    return np.minimum(np.bincount(group, minlength=p.groups), 255).astype(np.uint8).tobytes()
 
 
 POINT = "doc_id long, n long, sig1 long, sig2 long, point binary"
@@ -197,19 +199,11 @@ def shared_leaves(docs: DataFrame, p: JoinParams) -> DataFrame:
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path, schema = new_path(spark, "members"), "key long, id long, lead long"
-    clean, old = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", None
-    if p.slices > 1 and spark.conf.isModifiable(clean):
-        old = spark.conf.get(clean, "false")
-        spark.conf.set(clean, "true")
-    try:
-        for i in range(p.slices):
-            rows = leaves(docs, p, i).repartition(n, "key")
-            # id XOR key puts a leaf's members in an order of its own.
-            rows = rows.sortWithinPartitions("key", F.col("id").bitwiseXOR(F.col("key")))
-            map_pandas(rows, _runs, schema).write.parquet(f"{path}/slice={i}")
-    finally:
-        if old is not None:
-            spark.conf.set(clean, old)
+    for i in range(p.slices):
+        rows = leaves(docs, p, i).repartition(n, "key")
+        # id XOR key puts a leaf's members in an order of its own.
+        rows = rows.sortWithinPartitions("key", F.col("id").bitwiseXOR(F.col("key")))
+        map_pandas(rows, _runs, schema).write.parquet(f"{path}/slice={i}")
     return spark.read.schema(schema).parquet(*[f"{path}/slice={i}" for i in range(p.slices)])
 
 
@@ -232,9 +226,10 @@ def bounded(pairs: DataFrame, pts: DataFrame, p: JoinParams) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            x = np.frombuffer(b"".join(b["pa"]), "<u4").reshape(len(b), p.groups)
-            y = np.frombuffer(b"".join(b["pb"]), "<u4").reshape(len(b), p.groups)
-            ok = p.enough(np.minimum(x, y).sum(axis=1, dtype=np.int64), (b["na"] + b["nb"]).to_numpy())
+            x = np.frombuffer(b"".join(b["pa"]), np.uint8).reshape(len(b), p.groups)
+            y = np.frombuffer(b"".join(b["pb"]), np.uint8).reshape(len(b), p.groups)
+            over = np.minimum(b["na"] - x.sum(axis=1, dtype=np.int64), b["nb"] - y.sum(axis=1, dtype=np.int64)).to_numpy()
+            ok = p.enough(np.minimum(x, y).sum(axis=1, dtype=np.int64) + over, (b["na"] + b["nb"]).to_numpy())
             yield b.loc[ok, ["a", "b"]]
 
     own = lambda x: pts.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}"))
@@ -299,7 +294,8 @@ def rest_pairs(members: DataFrame, p: JoinParams) -> DataFrame:
 
     def emit(b: pd.DataFrame) -> pd.DataFrame:
         ids, comps, n = (b[c].to_numpy(np.int64) for c in ("id", "comp", "n"))
-        pts = np.frombuffer(b"".join(b["point"]), "<u4").reshape(len(b), p.groups).astype(np.int64)
+        pts = np.frombuffer(b"".join(b["point"]), np.uint8).reshape(len(b), p.groups).astype(np.int64)
+        pts = np.hstack([pts, (n - pts.sum(axis=1))[:, None]])  # the excess bounds like one more coordinate
         page, i = b["page"].to_numpy(), b["i"].to_numpy()
         new = np.flatnonzero((np.diff(b["key"].to_numpy()) != 0) | (np.diff(i) != 0) | (np.diff(b["j"].to_numpy()) != 0)) + 1
         out = []
@@ -335,7 +331,11 @@ def rest_pairs(members: DataFrame, p: JoinParams) -> DataFrame:
 
 def link(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
+    with short_lived_shuffles(docs.sparkSession):
+        return _link(docs, p)
+
+
+def _link(docs: DataFrame, p: JoinParams) -> DataFrame:
     docs = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
     every = materialize(points(docs, p), "points")
     pts = every.where("n > 0 and doc_id is not null")
@@ -349,8 +349,12 @@ def link(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
     members = shared_leaves(texts, p)
 
     items = materialize(sets(_only(texts, members.select("id").distinct(), "left_semi", p), p), "sets")
-    pairs = members.where("id <> lead").select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct()
-    links = materialize(verified(bounded(pairs, pts, p), items, p), "links")
+    # A few of a document's leaders are enough to join most of a group; the rest is searched below.
+    few = Window.partitionBy("id").orderBy(F.xxhash64("lead"), "lead")
+    pairs = members.where("id <> lead").select("id", "lead").distinct().withColumn("k", F.row_number().over(few))
+    pairs = pairs.where(F.col("k") <= p.leaders).select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
+    pairs = materialize(bounded(pairs.distinct(), pts, p), "pairs")
+    links = materialize(verified(pairs, items, p), "links")
     comp = materialize(components(links.unionByName(copies)), "components")
 
     named = members.select("key", "id").join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
@@ -365,7 +369,7 @@ def link(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link(table(spark, sf_dir, "documents"), JoinParams(words=3, num=90))
+    return link(table(spark, sf_dir, "documents"), JoinParams(words=3, num=90, leaders=16))
 
 
 OP8_SQL = """
