@@ -44,6 +44,7 @@ class RiskParams:
     alpha: float = 0.05
     delta: float = 0.1
     max_strata: int = 64
+    max_broadcast: int = 500_000
 
 
 def with_counts(df: DataFrame, text: str = "text") -> DataFrame:
@@ -186,14 +187,18 @@ def verdict(counted: DataFrame, cutoffs: dict[str, dict[str, float]]) -> DataFra
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, params: RiskParams = RiskParams()) -> DataFrame:
-    """The documents that all rules keep, with the columns they came with.  Documents aren't shuffled.
+    """The documents that all rules keep, with the columns they came with.
 
-    They are stored with their counts, which takes their size on disk once: texts are counted in one pass
-    for calibration and verdict, and the verdict filters by stored numbers.
+    One pass over the texts stores the counts, for calibration and verdict.  What is rejected goes by an
+    anti-join on two hashes of the row's id, language and text; its size is counted, and only up to
+    ``max_broadcast`` rows go to all tasks.
     """
-    counted = with_counts(beside(docs, "doc_id", "lang", "text")).drop("text")
-    counted = materialize(counted, "counted")
-    return restored(verdict(counted, calibrate(counted, labels, params)).where("kept"), docs)
+    row = ("doc_id", "lang", "text")
+    keys = {"k1": F.xxhash64(*row), "k2": F.xxhash64(F.lit(7), *row)}
+    counted = materialize(with_counts(pick(docs, *row).withColumns(keys)).drop("text"), "counted")
+    gone = verdict(counted, calibrate(counted, labels, params)).where("not kept").select("k1", "k2").distinct()
+    gone = F.broadcast(gone) if gone.count() <= params.max_broadcast else gone
+    return restored(beside(docs, *row).withColumns(keys).join(gone, ["k1", "k2"], "left_anti"), docs)
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
