@@ -121,6 +121,7 @@ def unpack(bits: bytes, offsets: bytes, n: int, every: int, tables: tuple[np.nda
     """The ``n`` ids of a block: every segment advances one id at each step."""
     symbols, n_bits, width = tables
     data = np.frombuffer(bits + b"\0" * 8, np.uint8).astype(np.uint32)
+    words = (data[:-3] << 24) | (data[1:-2] << 16) | (data[2:-1] << 8) | data[3:]  # the 32 bits from each byte on
     at = np.frombuffer(offsets, "<u4").astype(np.int64)
     out = np.zeros((len(at), every), np.uint32)
     last = n - (len(at) - 1) * every if len(at) else 0
@@ -128,9 +129,7 @@ def unpack(bits: bytes, offsets: bytes, n: int, every: int, tables: tuple[np.nda
     for k in range(min(every, n)):
         if k == last:  # the final segment is shorter
             live = live[:-1]
-        byte = live >> 3
-        word = (data[byte] << 24) | (data[byte + 1] << 16) | (data[byte + 2] << 8) | data[byte + 3]
-        window = (word >> (32 - width - (live & 7)).astype(np.uint32)) & ((1 << width) - 1)
+        window = (words[live >> 3] >> (32 - width - (live & 7)).astype(np.uint32)) & ((1 << width) - 1)
         out[: len(live), k] = symbols[window]
         live = live + n_bits[window]
     return out.reshape(-1)[:n]
@@ -212,7 +211,14 @@ def _cache(vocabulary: str) -> ChunkCache:
 def encode_texts(texts: Iterable[str | None], vocabulary: str) -> tuple[list[bytes], str]:
     """Ids of each text as little-endian numbers, without the end id, and their kind: 16 bits if the vocabulary fits, else 32."""
     cache = _cache(vocabulary)
-    return cache.encode_texts([[c for c in t.replace("\n", " ").split(" ") if c] if t else [] for t in texts]), cache.kind
+    return cache.encode_texts([_chunks(t) if t else [] for t in texts]), cache.kind
+
+
+def _chunks(text: str) -> list[str]:
+    # Python's split also cuts at these four, which aren't white space to the tokenizer.
+    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+        return [c for c in text.replace("\n", " ").split(" ") if c]
+    return text.split()
 
 
 STAGED = "doc_id long, n long, ids binary, kind string, used binary, counts binary"
