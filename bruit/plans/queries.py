@@ -224,7 +224,7 @@ def token_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def token_vectors_random(spark: SparkSession, d: str) -> DataFrame:
-    w = views.words(spark, d)
+    w = views.words(spark, d, whole=True)
     return labels.token_vectors(w, labels.synthetic_token_vectors(w), 8, "random").select("id", "pos", "token", "vector")
 
 
@@ -408,7 +408,7 @@ def word_set(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def tokenize(spark: SparkSession, d: str) -> DataFrame:
-    return views.tweets(spark, d).select("id", joined(text.tokenize(F.col("text"))).alias("tokens"))
+    return views.tweets(spark, d, whole=True).select("id", joined(text.tokenize(F.col("text"))).alias("tokens"))
 
 
 @query
@@ -538,7 +538,7 @@ def incremental_update(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def pipeline_score(spark: SparkSession, d: str) -> DataFrame:
-    t = views.tweets(spark, d)
+    t = views.tweets(spark, d, whole=True)
     training = labels.training_set(t, views.properties(spark, d), "random_forest", "spam")
     model = ml.train_or_load(["tokenizer", "tfidf", "random_forest"], training, scratch(spark))
     return ml.score(model, t)
@@ -546,7 +546,7 @@ def pipeline_score(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def rf_train_score(spark: SparkSession, d: str) -> DataFrame:
-    w = stored(views.words(spark, d))
+    w = stored(views.words(spark, d, whole=True))
     v = stored(labels.doc_vectors(w, labels.token_vectors(w, labels.synthetic_token_vectors(w), 8), 8))
     known = labels.training_set(w, views.properties(spark, d), "random_forest", "spam").select("id", "label")
     return ml.array_forest_scores(v, known)
@@ -554,13 +554,13 @@ def rf_train_score(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def w2v_docs(spark: SparkSession, d: str) -> DataFrame:
-    t = stored(views.tweets(spark, d).select("id", text.tokenize(F.col("text")).alias("tokens")))
+    t = stored(views.tweets(spark, d, whole=True).select("id", text.tokenize(F.col("text")).alias("tokens")))
     return ml.document_vectors(t)
 
 
 @query
 def lsa_2d(spark: SparkSession, d: str) -> DataFrame:
-    return ml.lsa(stored(views.tweets(spark, d).select("id", "vector")))
+    return ml.lsa(stored(views.tweets(spark, d, whole=True).select("id", "vector")))
 
 
 # --- streams ---------------------------------------------------------------
@@ -569,7 +569,7 @@ def lsa_2d(spark: SparkSession, d: str) -> DataFrame:
 def _message_stream(spark: SparkSession, d: str) -> DataFrame:
     """Events as a stream, with the rest of each message from stored tables."""
     e = jobs.read_table(spark, d, "events").select("event_id", "ts")
-    t = views.tweets(spark, d).select(F.col("id"), "lon", "lat", "uid", "text")
+    t = views.tweets(spark, d, whole=True).select(F.col("id"), "lon", "lat", "uid", "text")
     return e.join(t, e.event_id == t.id).withColumn("time", F.date_trunc("second", F.col("ts")).cast("timestamp")).drop("event_id", "ts")
 
 

@@ -12,11 +12,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages: id, time, lon, lat, exact, uid, text, vector."""
+def tweets(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """Messages: id, time, lon, lat, exact, uid, text, vector.
+
+    As in the SQL below, texts end after 280 characters and 50 vectors repeat; ``whole`` takes all of both.
+    """
     d, e, v = (table(spark, sf_dir, t) for t in ("documents", "events", "embeddings"))
-    v = v.where("vec_id < 50")  # at most 50 rows, so the join with them broadcasts
-    joined = d.join(e, e.event_id == d.doc_id).join(F.broadcast(v), v.vec_id == d.doc_id % 50)
+    joined = d.join(e, e.event_id == d.doc_id)
+    if whole:
+        n = table(spark, sf_dir, "embeddings").agg((F.max("vec_id") + 1).alias("n_vectors"))
+        n = F.broadcast(n)  # one row
+        joined = joined.crossJoin(n).join(v, v.vec_id == d.doc_id % F.col("n_vectors"))
+    else:
+        v = v.where("vec_id < 50")  # at most 50 rows, so the join with them broadcasts
+        joined = joined.join(F.broadcast(v), v.vec_id == d.doc_id % 50)
     return joined.select(
         d.doc_id.alias("id"),
         F.date_trunc("second", e.ts).cast("timestamp_ntz").alias("time"),
@@ -24,14 +33,14 @@ def tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(20.0) + v.label * F.lit(3.5) + (d.doc_id * 104729 % 100) / F.lit(50.0)).alias("lat"),
         (e.event_type != "error").alias("exact"),
         e.user_id.alias("uid"),
-        F.substring(d.text, 1, 280).alias("text"),
+        (d.text if whole else F.substring(d.text, 1, 280)).alias("text"),
         v.embedding.cast("array<double>").alias("vector"),
     )
 
 
-def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+def words(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Messages with their cleaned words in order."""
-    return tweets(spark, sf_dir).withColumn("words", clean_words(F.col("text")))
+    return tweets(spark, sf_dir, whole).withColumn("words", clean_words(F.col("text")))
 
 
 def properties(spark: SparkSession, sf_dir: str) -> DataFrame:
