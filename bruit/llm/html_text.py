@@ -8,10 +8,12 @@ a punctuation ratio, fused by product.  Scores are smoothed over neighbouring
 blocks in page order with a Gaussian window, so a short paragraph or heading
 between long ones gains and a lone long line among menus loses.  Blocks whose
 path's mean smoothed score passes a threshold from the page's own spread select
-the content node: the deepest element that holds the most of the selected
-text.  Its blocks are the text, in page order, without those under paths that
-are never article text (menus, headers and footers of the page, forms,
-scripts, notices, adverts, comments by readers).
+the content node: the outermost article or main that holds the most of the
+selected text, or else the deepest element that does.  Its blocks are the text,
+in page order, without those under paths that are never article text (menus,
+headers and footers of the page, forms, scripts, notices, adverts, comments by
+readers).  Where the node is no article, selected blocks beside it, headings
+before its end and plain text between selected blocks belong to the text, too.
 
 Defined results: null, empty or markup-free html works (text outside all tags
 is one block); a page without content gives the empty string; unclosed,
@@ -221,7 +223,7 @@ def main_text(html: str | None, p: HtmlParams = HtmlParams()) -> str:
     mean = sum(scores) / len(scores)
     dev = math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
     chosen = {k for k, v in by.items() if sum(v) / len(v) >= mean - p.spread * dev}
-    # The node: from the root down as long as one child holds most of the selected text.
+    # The node: from the root down to an article, or as long as one child holds most of the selected text.
     size: dict = defaultdict(int)
     children: dict = defaultdict(set)
     tag: dict = {}
@@ -236,19 +238,28 @@ def main_text(html: str | None, p: HtmlParams = HtmlParams()) -> str:
             above = node
         total += len(b.text) * (b.path in chosen)
     node = 0
-    while True:
+    while not node or tag[node] not in ("article", "main"):
         best = max(children[node], key=lambda c: (size[c], -c), default=None)
         if best is None or tag[best] in ("p", "li", "td", "h1", "h2", "h3", "pre", "blockquote", "dd", "ul", "ol", "table"):
             break
         if size[best] < 0.7 * (size[node] if node else total) or not size[best]:
             break
         node = best
-    inside = [b for b in found if not node or node in b.nodes]
-    # An article's own blocks all belong to it.  In another node, link lists don't; in the page as a whole, paths have to pass.
-    if not node or tag[node] in ("html", "body"):
-        inside = [b for b in inside if b.path in chosen or re.fullmatch(r"h[1-3]", b.path[-1].split(".")[0] if b.path else "")]
-    elif tag[node] not in ("article", "main"):
-        inside = [b for b in inside if b.path in chosen or b.link_chars < 0.5 * len(b.text)]
+    # An article's own blocks all belong to it.
+    if node and tag[node] in ("article", "main"):
+        return " ".join(b.text for b in found if node in b.nodes)
+    root = not node or tag[node] in ("html", "body")
+    plain = [b.link_chars < 0.5 * len(b.text) for b in found]
+    heading = [bool(b.path and re.match(r"h[1-6](?:\.|$)", b.path[-1])) for b in found]
+    within = [not root and node in b.nodes for b in found]
+    sure = [b.path in chosen and (ok or inner or root) or inner and ok for b, ok, inner in zip(found, plain, within, strict=True)]
+    at = [k for k, x in enumerate(sure) if x]
+    first, last = (at[0], at[-1]) if at else (0, -1)
+    inside = [
+        b
+        for k, b in enumerate(found)
+        if sure[k] or heading[k] and (root or k < last) or plain[k] and first < k < last
+    ]
     return " ".join(b.text for b in inside)
 
 

@@ -164,6 +164,24 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+LONG = "A sentence of the text, long enough to count as one. " * 12
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f'<article><h1>Title</h1><p>Lead</p><div class="body"><p>{LONG}</p><p>{LONG}</p></div></article>',
+        f"<main><section><h2>One</h2><p>{LONG}</p></section><section><h2>Two</h2><p>Short.</p></section><section><p>End</p></section></main>",
+        f'<body><div class="wrap"><h1>Title</h1><p>Lead, said shortly.</p><div class="body"><p>{LONG}</p><p>{LONG}</p></div></div></body>',
+        f"<body><p>{LONG}</p><h4>Part</h4><ul><li>one</li><li>two</li></ul><blockquote>Ha</blockquote><table><tr><td>5</td></tr></table><p>{LONG}</p></body>",
+    ],
+)
+def test_all_parts_of_the_text(html):
+    import re
+
+    assert html_text.main_text(html) == " ".join(re.sub("<[^>]*>", " ", html).split())
+
+
 def test_html_tables(spark):
     schema = "page_id long, url string, html string, text string"
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None)], schema)
