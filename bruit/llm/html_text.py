@@ -52,10 +52,20 @@ INLINE = frozenset(
     " small span strike strong sub sup time tt u var wbr".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes".split())
+RAW = frozenset("script style textarea title noscript template iframe xmp noembed noframes".split())
+#: Elements with markup of another kind, where a tag that ends in "/>" is closed; what is in them makes no block.
+FOREIGN = frozenset({"svg", "math"})
+#: Elements in them that hold html again.
+HOSTS = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+#: Start tags of html that end them where no host is open.
+BREAKOUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p"
+    " pre ruby s small span strong strike sub sup table tt u ul var".split()
+)
 #: Elements that never hold article text.
 OUT = RAW | frozenset(
-    "head nav header footer aside form button select option input menu dialog object audio video canvas map datalist".split()
+    "head nav header footer aside form button select option input menu dialog object audio video canvas map datalist svg"
+    " annotation annotation-xml".split()
 )
 NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|notice|popup|modal|newsletter|subscribe"
@@ -80,6 +90,8 @@ TOKEN = re.compile(
 ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 SPACE = re.compile(r"\s+")
+#: An unquoted value that ends in a slash isn't the end of an empty element.
+VALUE = re.compile(r"=\s*[^\s\"'>]*/\Z")
 
 
 @dataclass
@@ -97,6 +109,17 @@ class _Open:
     step: str
     node: int
     out: bool
+    inline: bool
+
+
+def _foreign(stack: list[_Open]) -> int | None:
+    """Where the innermost svg or math starts, unless an element in it holds html."""
+    for k in range(len(stack) - 1, -1, -1):
+        if stack[k].tag in FOREIGN:
+            return k
+        if not stack[k].inline or stack[k].tag in HOSTS:
+            return None
+    return None
 
 
 def blocks(html: str) -> list[Block]:
@@ -111,7 +134,7 @@ def blocks(html: str) -> list[Block]:
         if stack and stack[-1].out:
             return
         if now is None:
-            outer = [o for o in stack if o.tag not in INLINE]
+            outer = [o for o in stack if not o.inline]
             now = Block(tuple(o.step for o in outer), tuple(o.node for o in outer))
             found.append(now)
         text = unescape(raw)
@@ -123,7 +146,7 @@ def blocks(html: str) -> list[Block]:
         nonlocal links, now
         for o in stack[k:]:
             links -= o.tag == "a"
-            if o.tag not in INLINE:
+            if not o.inline:
                 now = None
         del stack[k:]
 
@@ -146,14 +169,18 @@ def blocks(html: str) -> list[Block]:
         tag, end = m[2].lower(), m[1] == "/"
         if end:
             k = len(stack) - 1
-            while k >= 0 and stack[k].tag != tag and not (tag in INLINE and stack[k].tag not in INLINE):
+            while k >= 0 and stack[k].tag != tag and not (tag in INLINE and not stack[k].inline):
                 k -= 1
             if k >= 0 and stack[k].tag == tag:
                 close(k)
             elif tag in ("p", "br"):
                 now = None
             continue
-        if tag not in INLINE:
+        if tag in BREAKOUT:
+            while (k := _foreign(stack)) is not None:
+                close(k)
+        foreign = tag in FOREIGN or _foreign(stack) is not None
+        if not foreign and tag not in INLINE:
             now = None
             k = len(stack)
             if tag in CLOSED_BY:
@@ -166,7 +193,7 @@ def blocks(html: str) -> list[Block]:
                 open_p = [j for j, o in enumerate(stack) if o.tag == "p"]
                 if open_p and not any(o.tag in ("td", "th", "object", "button") for o in stack[open_p[-1] :]):
                     close(open_p[-1])
-        if tag in VOID:
+        if foreign and m[3].endswith("/") and not VALUE.search(m[3]) or not foreign and tag in VOID:
             continue
         attrs = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in ATTR.finditer(m[3])} if m[3] else {}
         name = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
@@ -177,9 +204,9 @@ def blocks(html: str) -> list[Block]:
         if name and tag not in ("html", "body", "article", "main") and NAMES.search(BESIDE.sub("", name)):
             out = True
         n_nodes += 1
-        stack.append(_Open(tag, tag + ("." + ".".join(sorted(name.split())) if name else ""), n_nodes, out))
+        stack.append(_Open(tag, tag + ("." + ".".join(sorted(name.split())) if name else ""), n_nodes, out, foreign or tag in INLINE))
         links += tag == "a"
-        if tag in RAW:
+        if tag in RAW and not foreign:
             done = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, at)
             at = done.start() if done else size
     for b in found:

@@ -182,6 +182,22 @@ def test_all_parts_of_the_text(html):
     assert html_text.main_text(html) == " ".join(re.sub("<[^>]*>", " ", html).split())
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<article><p>Before.</p><svg class="icon"/><p>After.</p></article>', "Before. After."),
+        ('<article><p>Before <svg viewBox="0 0 1 1"><title>t</title><path d="M0"/><g><text>no</text></g></svg> after.</p></article>', "Before after."),
+        ("<article><p>One <math/>two <svg/>three</p><svg><style>x</style></svg><p>four</p></article>", "One two three four"),
+        ("<article><p>We know <math><mi>x</mi><mo>=</mo><mrow><mn>2</mn></mrow></math> here.</p></article>", "We know x=2 here."),
+        ("<article><p>Open <svg><path><p>next</p></article>", "Open next"),
+        ("<article><p>A <svg a=b/>no</svg> B</p></article>", "A B"),
+        ("<article><svg><foreignObject><div>no<br>no</div></foreignObject></svg><p>yes</p></article>", "yes"),
+    ],
+)
+def test_foreign_elements(html, text):
+    assert html_text.main_text(html) == text
+
+
 def test_html_tables(spark):
     schema = "page_id long, url string, html string, text string"
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None)], schema)
