@@ -2,12 +2,16 @@
 
 Fixed base rules reject texts that are too short or repeat themselves.  Further
 rules compare a feature with a cutoff.  Labelled holdout documents select each
-cutoff: for every stratum (language) and rule the lowest cutoff of a fixed grid
-is taken for which an exact binomial bound shows that at most ``alpha / rules``
-of the good documents lie above it.  The confidence ``delta`` is shared over all
+cutoff: for every stratum (language) and rule those cutoffs of a fixed grid are
+proven for which an exact binomial bound shows that at most ``alpha / rules``
+of the good documents lie above.  The confidence ``delta`` is shared over all
 strata and rules (Bonferroni); going down the grid needs no further share,
 because the false-rejection rate only grows and the search stops at the first
-cutoff that isn't proven.  So with probability ``1 - delta`` no stratum loses
+cutoff that isn't proven, so all proven ones hold together and any may be chosen.
+Of those that reject no more labelled good documents than bad ones, the highest
+is taken that rejects the most bad ones; where the labels show no bad one to
+reject, the lowest that rejects no good one; where all reject mostly good ones,
+the rule has no cutoff.  So with probability ``1 - delta`` no stratum loses
 more than ``alpha`` of its good documents to these rules.  A stratum with too
 few labels proves no cutoff and rejects nothing.
 
@@ -39,11 +43,10 @@ RULES = (
 @dataclass(frozen=True)
 class RiskParams:
     """``alpha``: share of a stratum's good documents that may be lost; ``delta``: chance that this fails.
-    ``max_strata`` bounds the table of cutoffs; rarer strata are one stratum together."""
+    Tables of up to ``max_broadcast`` rows go to all tasks."""
 
     alpha: float = 0.05
     delta: float = 0.1
-    max_strata: int = 64
     max_broadcast: int = 500_000
 
 
@@ -136,54 +139,70 @@ def _stratum(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
-def calibrate(counted: DataFrame, labels: DataFrame, params: RiskParams = RiskParams()) -> dict[str, dict[str, float]]:
-    """Cutoffs {stratum: {rule: cutoff}} from documents with counts and ``labels`` (doc_id, quality 1 = good).
+def _provable(n: Column, limit: float, level: float) -> Column:
+    """The most documents of ``n`` above a cutoff that prove it: the largest k with P(X <= k) <= ``level``, -1 if there is none."""
+    first = n * F.lit(math.log1p(-limit))
+    at = F.struct(first.alias("log"), F.exp(first).alias("p"), F.when(F.exp(first) <= level, 0).otherwise(-1).cast("long").alias("k"))
+    odds = math.log(limit) - math.log1p(-limit)
 
-    Only counts per stratum, rule and grid step come to the driver: at most
-    ``max_strata`` times the grid.  A document with conflicting labels is good.
-    """
-    good = labels.where("quality = 1").select("doc_id").distinct()
-    labels = pick(labels, "doc_id", "quality")
+    def step(a: Column, i: Column) -> Column:
+        log = a["log"] + F.log((n - i + 1) / i) + F.lit(odds)
+        p = a["p"] + F.exp(log)
+        return F.struct(log.alias("log"), p.alias("p"), F.when(p <= level, i).otherwise(a["k"]).alias("k"))
+
+    # Beyond the mean the probability is about a half at least.
+    return F.aggregate(F.sequence(F.lit(1).cast("long"), F.ceil(n * F.lit(limit))), at, step, lambda a: a["k"])
+
+
+def cutoffs(counted: DataFrame, labels: DataFrame, params: RiskParams = RiskParams()) -> DataFrame:
+    """(lang, rule, step): the cutoffs ``step`` times the rule's width, from documents with counts and ``labels``
+    (doc_id, quality 1 = good).  A document with conflicting labels is good.  Strata without good labels have none."""
+    labels = pick(labels, "doc_id", "quality").where("quality is not null")
+    labels = labels.groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good"))
     counted = counted.select("doc_id", _stratum(F.col("lang")).alias("lang"), "base_failed", *[r for r, _, _ in RULES])
-    held = counted.where("not base_failed").join(good, "doc_id")
+    held = counted.where("not base_failed").join(labels, "doc_id")
     steps = F.array(*[
         F.struct(F.lit(k).alias("rule"), F.least(F.ceil(F.col(r) / w), F.lit(n + 1)).cast("int").alias("step"))
         for k, (r, w, n) in enumerate(RULES)
     ])
-    by_step = held.select("lang", F.explode(steps).alias("x")).groupBy("lang", "x.rule", "x.step").count()
-    top = by_step.where("rule = 0").groupBy("lang").agg(F.sum("count").alias("n"))
-    top = top.orderBy(F.desc("n"), "lang").limit(params.max_strata - 1).select("lang")
-    known = [r[0] for r in top.collect()]
-    pooled = F.when(F.col("lang").isin(known), F.col("lang"))
-    rows = by_step.groupBy(pooled.alias("lang"), "rule", "step").agg(F.sum("count").alias("n")).collect()
-    hist: dict = {}
-    for r in rows:
-        hist.setdefault(r["lang"], {}).setdefault(r["rule"], {})[r["step"]] = r["n"]
-    limit, level = params.alpha / len(RULES), params.delta / max(1, len(hist) * len(RULES))
+    cells = held.select("lang", "good", F.explode(steps).alias("x")).groupBy("lang", "x.rule", "x.step")
+    cells = materialize(cells.agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad")), "cells")
+    # A row for each stratum and rule, with a cell for each step of the grid at most.
+    rows = cells.groupBy("lang", "rule").agg(F.collect_list(F.struct("step", "good", "bad")).alias("cells"), F.sum("good").alias("n"))
+    rows = rows.where("n > 0")
+    limit = params.alpha / len(RULES)
+    rows = rows.withColumn("most", _provable(F.col("n"), limit, params.delta / max(1, rows.count())))
+    none = F.lit(0).cast("long")
+    above = lambda what, at: F.aggregate("cells", none, lambda s, c: s + F.when(c["step"] > at, c[what]).otherwise(none))
+    grid = F.get(F.array(*[F.lit(n) for _, _, n in RULES]), F.col("rule"))
+    tried = F.transform(F.sequence(F.lit(0), grid), lambda k: F.struct(above("bad", k).alias("bad"), k.alias("step"), above("good", k).alias("good")))
+    rows = rows.withColumn("tried", tried)
+    fit = F.filter("tried", lambda x: (x["good"] <= F.col("most")) & (x["good"] <= x["bad"]))
+    rows = rows.withColumn("fit", fit).where(F.size("fit") > 0)
+    best = F.array_max("fit")  # most bad documents, then the highest step
+    lowest = F.array_min(F.transform("fit", lambda x: x["step"]))
+    return rows.select("lang", "rule", F.when(best["bad"] > 0, best["step"]).otherwise(lowest).alias("step"))
+
+
+def calibrate(counted: DataFrame, labels: DataFrame, params: RiskParams = RiskParams()) -> dict[str, dict[str, float]]:
+    """The table of ``cutoffs`` as {stratum: {rule: cutoff}}, for a look at it."""
     out: dict = {}
-    for stratum, per in hist.items():
-        for k, (rule, width, n_steps) in enumerate(RULES):
-            n, above, best = sum(per[k].values()), per[k].get(n_steps + 1, 0), None
-            for step in range(n_steps, -1, -1):  # `above` good documents lie above step * width
-                if binomial_cdf(above, n, limit) > level:
-                    break
-                best = step * width
-                above += per[k].get(step, 0)
-            if best is not None:
-                out.setdefault(stratum, {})[rule] = best
+    for r in cutoffs(counted, labels, params).collect():
+        rule, width, _ = RULES[r["rule"]]
+        out.setdefault(r["lang"], {})[rule] = r["step"] * width
     return out
 
 
-def verdict(counted: DataFrame, cutoffs: dict[str, dict[str, float]]) -> DataFrame:
+def verdict(counted: DataFrame, cuts: DataFrame, params: RiskParams = RiskParams()) -> DataFrame:
     """Adds ``kept``: false where the base rules or a proven cutoff of the document's stratum reject."""
-    lang, bad = _stratum(F.col("lang")), F.lit(False)
-    known = [s for s in cutoffs if s is not None]
-    steps = {r: w for r, w, _ in RULES}
-    for stratum, rules in cutoffs.items():
-        here = lang == stratum if stratum is not None else ~lang.isin(known)
-        for rule, cut in rules.items():
-            bad = bad | (here & (F.ceil(F.col(rule) / steps[rule]) > round(cut / steps[rule])))
-    return counted.withColumn("kept", ~F.col("base_failed") & ~bad)
+    at = [F.max(F.when(F.col("rule") == k, F.col("step"))).alias(f"__c{k}") for k in range(len(RULES))]
+    cuts = materialize(cuts.groupBy(F.col("lang").alias("__lang")).agg(*at), "cutoffs")
+    cuts = F.broadcast(cuts) if cuts.count() <= params.max_broadcast else cuts
+    bad = F.lit(False)
+    for k, (rule, width, _) in enumerate(RULES):
+        bad = bad | F.coalesce(F.ceil(F.col(rule) / width) > F.col(f"__c{k}"), F.lit(False))
+    joined = counted.join(cuts, _stratum(F.col("lang")) == F.col("__lang"), "left")
+    return joined.withColumn("kept", ~F.col("base_failed") & ~bad).drop("__lang", *[f"__c{k}" for k in range(len(RULES))])
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, params: RiskParams = RiskParams()) -> DataFrame:
@@ -196,7 +215,7 @@ def filter_documents(docs: DataFrame, labels: DataFrame, params: RiskParams = Ri
     row = ("doc_id", "lang", "text")
     keys = {"k1": F.xxhash64(*row), "k2": F.xxhash64(F.lit(7), *row)}
     counted = materialize(with_counts(pick(docs, *row).withColumns(keys)).drop("text"), "counted")
-    gone = verdict(counted, calibrate(counted, labels, params)).where("not kept").select("k1", "k2").distinct()
+    gone = verdict(counted, cutoffs(counted, labels, params), params).where("not kept").select("k1", "k2").distinct()
     gone = F.broadcast(gone) if gone.count() <= params.max_broadcast else gone
     return restored(beside(docs, *row).withColumns(keys).join(gone, ["k1", "k2"], "left_anti"), docs)
 
@@ -204,7 +223,6 @@ def filter_documents(docs: DataFrame, labels: DataFrame, params: RiskParams = Ri
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = pick(table(spark, sf_dir, "documents"), "doc_id", "lang", "text")
     counted = materialize(with_counts(docs).drop("text"), "counts")
-    cutoffs = calibrate(counted, table(spark, sf_dir, "labels"))
-    return verdict(counted, cutoffs).select(
+    return verdict(counted, cutoffs(counted, table(spark, sf_dir, "labels"))).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )

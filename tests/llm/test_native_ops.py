@@ -157,6 +157,45 @@ def test_cutoffs_need_enough_labels(spark):
     assert "xx" not in cut
 
 
+RULE_COLUMNS = "doc_id long, lang string, base_failed boolean, symbols_per_word double, dup_line_share double, exclaims_per_word double"
+
+
+@pytest.mark.parametrize("n", [1, 50, 340, 2000, 30_000])
+@pytest.mark.parametrize("level", [0.1 / 3, 1e-5])
+def test_provable_counts(spark, n, level):
+    from pyspark.sql import functions as F
+
+    got = spark.range(1).select(quality_rules._provable(F.lit(n).cast("long"), 0.05 / 3, level)).first()[0]
+    k = -1
+    while quality_rules.binomial_cdf(k + 1, n, 0.05 / 3) <= level:
+        k += 1
+    assert got == k
+
+
+def test_strata_have_no_cap(spark):
+    n = 70  # strata with labels, and one without
+    rows = [(s * 1000 + i, f"l{s:02d}", False, 0.1, 0.0, 0.0) for s in range(n) for i in range(800)]
+    rows += [(s * 1000 + 900 + i, f"l{s:02d}", False, 0.8, 0.0, 0.0) for s in range(n) for i in range(5)]
+    new = [(10**6 + i, "new", False, 2.9, 0.9, 2.9) for i in range(3)]
+    held = spark.createDataFrame(rows, RULE_COLUMNS)
+    labels = held.selectExpr("doc_id", "int(doc_id % 1000 < 900) as quality")
+    counted = held.unionByName(spark.createDataFrame(new, RULE_COLUMNS))
+    cuts = quality_rules.cutoffs(counted, labels)
+    assert {(r.lang, r.step) for r in cuts.where("rule = 0").collect()} == {(f"l{s:02d}", 15) for s in range(n)}
+    kept = {r.doc_id: r.kept for r in quality_rules.verdict(counted, cuts).collect()}
+    assert len(kept) == len(rows) + 3
+    assert all(v == (k >= 10**6 or k % 1000 < 900) for k, v in kept.items())
+
+
+def test_cutoffs_reject_bad_documents_not_good_ones(spark):
+    rows = [(i, "en", False, 0.1, 0.0 if i >= 20 else 0.5, 0.0) for i in range(4000)]
+    rows += [(5000 + i, "en", False, 0.1 + 0.5 * (i < 50), 0.5 * (i < 5), 0.0) for i in range(100)]
+    counted = spark.createDataFrame(rows, RULE_COLUMNS)
+    cut = quality_rules.calibrate(counted, counted.selectExpr("doc_id", "int(doc_id < 5000) as quality"))["en"]
+    assert cut["symbols_per_word"] == pytest.approx(0.55)  # all fifty bad ones, and nothing below
+    assert cut.get("dup_line_share", 1.0) >= 0.5  # twenty good ones for five bad ones
+
+
 def test_mix(spark, dirs):
     for path in (SF, dirs[0]):
         rows = mixing.op6_source_mix(spark, path).collect()
