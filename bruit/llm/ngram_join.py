@@ -344,7 +344,10 @@ def _link(docs: DataFrame, p: JoinParams) -> DataFrame:
     # Equal sets are one point, that of their smallest id; only it goes to leaves.
     member = materialize(pts.select("doc_id", *sig).join(classes, sig).select("doc_id", "rep").distinct(), "member")
     copies = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
-    texts = _only(docs.where("doc_id is not null"), copies.select(F.col("a").alias("id")).distinct(), "left_anti", p)
+    # An id with several texts may stand for another set as well, and then goes there, too.
+    others = member.where("doc_id = rep").select(F.col("doc_id").alias("id"))
+    gone = copies.select(F.col("a").alias("id")).distinct().join(others, "id", "left_anti")
+    texts = _only(docs.where("doc_id is not null"), gone, "left_anti", p)
 
     members = shared_leaves(texts, p)
 
@@ -389,8 +392,24 @@ SELECT z.doc_id, n AS n_shingles, min(root) AS component_id FROM z JOIN c ON c.i
 
 
 def filter_documents(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
-    """One document of each component, the one with the smallest id, with the columns they came with."""
+    """One document of each component, the one with the smallest id, with the columns they came with.
+
+    Of rows with the same id and text one stays; rows with an id in common but different texts, or without an id, all do.
+    """
     linked = link(docs, p).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("k")).distinct()
     gone = pick(docs, "doc_id").select(F.col("doc_id").cast("long").alias("k")).distinct().join(linked, "k", "left_anti")
-    own = beside(docs, "doc_id").withColumn("k", F.col("doc_id").cast("long"))
-    return restored(own.join(gone.where("k is not null"), "k", "left_anti"), docs)
+    key = ["k", "h1", "h2"]
+    own = beside(docs, "doc_id", "text").withColumn("k", F.col("doc_id").cast("long"))
+    own = own.withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit(7), "text")})
+    kept = own.join(gone.where("k is not null"), "k", "left_anti")
+    again = own.where("k is not null").groupBy(*key).count().where("count > 1").select(*key)
+    again = materialize(again, "repeated")
+    n = again.count()
+    if not n:
+        return restored(kept, docs)
+    again = F.broadcast(again) if n <= p.broadcast_ids else again
+    cols = [f"c{i}" for i in range(len(docs.columns))]
+    shown = [F.to_json(F.struct(*cols))]
+    order = F.struct(F.xxhash64(*shown), F.xxhash64(F.lit(7), *shown))
+    one = kept.join(again, key, "left_semi").groupBy(*key).agg(F.min_by(F.struct(*cols), order).alias("row")).select("row.*")
+    return restored(kept.join(again, key, "left_anti").select(*cols).unionByName(one), docs)

@@ -270,6 +270,20 @@ def test_jaccard_join_of_odd_tables(spark, odd):
     assert ngram_join.filter_documents(odd).columns == odd.columns
 
 
+def test_jaccard_join_of_repeated_ids(spark):
+    rng = np.random.default_rng(8)
+    base, other = ([f"w{rng.integers(10**6)}" for _ in range(200)] for _ in range(2))
+    first, second = " ".join(base), " ".join(other)
+    near = " ".join([*other[:-1], "end"])
+    # 5 has a copy of 1's text and one of its own, to which 7 is near.
+    rows = [(1, first, "a"), (5, first, "a"), (5, second, "a"), (7, near, "a"), (9, "quite another text", "a"), (9, "quite another text", "b")]
+    df = spark.createDataFrame([*rows, (None, "x", "a"), (None, "x", "a")], "doc_id long, text string, tag string")
+    assert {r.doc_id: r.component_id for r in ngram_join.link(df).collect()} == {1: 1, 5: 1, 7: 1, 9: 9, None: None}
+    got = [ngram_join.filter_documents(d).collect() for d in (df, df.repartition(5))]
+    assert sorted(r.doc_id or 0 for r in got[0]) == [0, 0, 1, 9]
+    assert sorted(map(repr, got[0])) == sorted(map(repr, got[1]))
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
