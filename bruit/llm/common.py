@@ -69,6 +69,37 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Steps:
+    """Tables between the steps of one operator: written, read by name, and deleted when the steps are over."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.base, self.at = spark, new_path(spark, "steps"), {}
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        """Writes ``df``; a table that had this name before goes, now that its readers are done."""
+        path = f"{self.base}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.drop(name)
+        self.at[name] = path
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            if path := self.at.pop(name, None):
+                remove(self.spark, path)
+
+
+@contextmanager
+def steps(spark: SparkSession) -> Iterator[Steps]:
+    """``Steps`` whose tables go at the end, after a failure, too.  Shuffle files inside go with their job."""
+    own = Steps(spark)
+    try:
+        with short_lived_shuffles(spark):
+            yield own
+    finally:
+        remove(spark, own.base)
+
+
 @contextmanager
 def short_lived_shuffles(spark: SparkSession) -> Iterator[None]:
     """Inside, a job's shuffle files go when the job ends, not when the driver's garbage is collected.

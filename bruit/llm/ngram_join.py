@@ -42,10 +42,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bruit.llm.common import beside, components, map_pandas, materialize, new_path, pick, restored, short_lived_shuffles, table
+from bruit.llm.common import Steps, beside, components, map_pandas, materialize, pick, restored, steps, table
 from bruit.llm.shingles import mix, shingles, signed, sum64
 
 
@@ -65,7 +65,6 @@ class JoinParams:
     page: int = 256
     node: int = 16
     slices: int = 1
-    leaders: int = 4
     broadcast_ids: int = 500_000
 
     def enough(self, overlap, total):
@@ -191,26 +190,28 @@ def _runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last_key, lead, alone = b["key"].iat[-1], leads[-1], bool(first[-1])
 
 
-def shared_leaves(docs: DataFrame, p: JoinParams) -> DataFrame:
+def shared_leaves(docs: DataFrame, p: JoinParams, own: Steps) -> DataFrame:
     """(key, id, lead) for the leaves that hold several documents, with the member that leads each.
 
     The key space is worked through in slices, so the shuffle's files of one slice are on disk at a time.
     """
-    spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    path, schema = new_path(spark, "members"), "key long, id long, lead long"
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = None
     for i in range(p.slices):
         rows = leaves(docs, p, i).repartition(n, "key")
         # id XOR key puts a leaf's members in an order of its own.
         rows = rows.sortWithinPartitions("key", F.col("id").bitwiseXOR(F.col("key")))
-        map_pandas(rows, _runs, schema).write.parquet(f"{path}/slice={i}")
-    return spark.read.schema(schema).parquet(*[f"{path}/slice={i}" for i in range(p.slices)])
+        part = own.put(f"leaves{i}", map_pandas(rows, _runs, "key long, id long, lead long"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def sets(docs: DataFrame, p: JoinParams) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["doc_id"], "items": [shingles(t, p.words).tobytes() for t in b["text"]]})
+            for k in range(0, len(b), 500):
+                part = b.iloc[k : k + 500]
+                yield pd.DataFrame({"id": part["doc_id"], "items": [shingles(t, p.words).tobytes() for t in part["text"]]})
 
     return map_pandas(docs, run, "id long, items binary")
 
@@ -221,23 +222,28 @@ def _only(docs: DataFrame, ids: DataFrame, how: str, p: JoinParams) -> DataFrame
     return docs.join(F.broadcast(ids) if ids.count() <= p.broadcast_ids else ids, "doc_id", how)
 
 
+PAIR = "a long, b long, ca long, cb long"
+
+
 def bounded(pairs: DataFrame, pts: DataFrame, p: JoinParams) -> DataFrame:
-    """The pairs (a, b) whose summed coordinate minima leave room for the similarity."""
+    """The pairs (a, b, and their components ca, cb) whose summed coordinate minima leave room for the similarity,
+    with that bound of it as ``score``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = np.frombuffer(b"".join(b["pa"]), np.uint8).reshape(len(b), p.groups)
             y = np.frombuffer(b"".join(b["pb"]), np.uint8).reshape(len(b), p.groups)
             over = np.minimum(b["na"] - x.sum(axis=1, dtype=np.int64), b["nb"] - y.sum(axis=1, dtype=np.int64)).to_numpy()
-            ok = p.enough(np.minimum(x, y).sum(axis=1, dtype=np.int64) + over, (b["na"] + b["nb"]).to_numpy())
-            yield b.loc[ok, ["a", "b"]]
+            most, total = np.minimum(x, y).sum(axis=1, dtype=np.int64) + over, (b["na"] + b["nb"]).to_numpy()
+            ok = p.enough(most, total)
+            yield b.loc[ok, ["a", "b", "ca", "cb"]].assign(score=(most / np.maximum(total, 1))[ok])
 
     own = lambda x: pts.select(F.col("doc_id").alias(x), F.col("n").alias(f"n{x}"), F.col("point").alias(f"p{x}"))
-    return map_pandas(pairs.join(own("a"), "a").join(own("b"), "b"), run, "a long, b long")
+    return map_pandas(pairs.join(own("a"), "a").join(own("b"), "b"), run, f"{PAIR}, score double")
 
 
-def verified(pairs: DataFrame, items: DataFrame, p: JoinParams) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity."""
+def verified(pairs: DataFrame, texts: DataFrame, p: JoinParams) -> DataFrame:
+    """The pairs (a, b, ca, cb) whose sets reach the similarity.  Only their own texts are hashed again."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -248,68 +254,98 @@ def verified(pairs: DataFrame, items: DataFrame, p: JoinParams) -> DataFrame:
                     x, y = y, x
                 at = np.minimum(np.searchsorted(y, x), max(0, len(y) - 1))
                 ok.append(bool(len(x)) and bool(p.enough(int((y[at] == x).sum()), len(x) + len(y))))
-            yield b.loc[np.array(ok, bool), ["a", "b"]]
+            yield b.loc[np.array(ok, bool), ["a", "b", "ca", "cb"]]
 
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    items = sets(_only(texts, ids, "left_semi", p), p)
     own = lambda x: items.select(F.col("id").alias(x), F.col("items").alias(f"i{x}"))
-    return map_pandas(pairs.join(own("a"), "a").join(own("b"), "b"), run, "a long, b long")
+    return map_pandas(pairs.join(own("a"), "a").join(own("b"), "b"), run, PAIR)
 
 
-def _page_pairs(ids, comps, n, pts, other: slice, own: slice, p: JoinParams) -> tuple[np.ndarray, np.ndarray]:
-    """Indices of pairs between two pages that pass the bound and lie in different components."""
+FIRST = [f"f{i}" for i in range(8)]
 
-    def nodes(page: slice) -> list[np.ndarray]:
-        at = np.arange(page.start, page.stop)
-        at = at[np.argsort(n[at], kind="stable")]
-        return [at[i : i + p.node] for i in range(0, len(at), p.node)]
 
-    left, right = [], []
-    a_nodes, b_nodes = nodes(own), nodes(other)
-    corner = [(pts[x].max(axis=0), n[x].min()) for x in b_nodes]
-    for x in a_nodes:
-        top, least = pts[x].max(axis=0), n[x].min()
-        for y, (top_y, least_y) in zip(b_nodes, corner, strict=True):
-            if not p.enough(int(np.minimum(top, top_y).sum()), int(least + least_y)):
-                continue
-            low = np.minimum(pts[x][:, None], pts[y][None]).sum(axis=2)
-            ok = p.enough(low, n[x][:, None] + n[y][None]) & (comps[x][:, None] != comps[y][None])
-            i, j = np.nonzero(ok)
-            left.append(ids[x[i]])
-            right.append(ids[y[j]])
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
+def _twins(ids, comps, n, pts, first, keys, p: JoinParams, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs of rows (x, y) those that this leaf has to give: in different components, past the bound, and
+    without an earlier leaf in common among the first ones of each."""
+    ok = comps[x] != comps[y]
+    x, y = x[ok], y[ok]
+    ok = p.enough(np.minimum(pts[x], pts[y]).sum(axis=1), n[x] + n[y])
+    x, y = x[ok], y[ok]
+    met = ((first[x][:, :, None] == first[y][:, None, :]) & (first[x] < keys[x][:, None])[:, :, None]).any(axis=(1, 2))
+    return x[~met], y[~met]
+
+
+def _page_pairs(comps, n, pts, other: np.ndarray, own: np.ndarray, p: JoinParams) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of two pages in nodes whose corners leave room for the similarity."""
+    mine, theirs = _nodes(n, own, p), _nodes(n, other, p)
+    top_x, low_x = (np.array([f(v[x]) for x in mine]) for f, v in ((lambda a: a.max(axis=0), pts), (np.min, n)))
+    top_y, low_y = (np.array([f(v[y]) for y in theirs]) for f, v in ((lambda a: a.max(axis=0), pts), (np.min, n)))
+    if not p.enough(int(np.minimum(top_x.max(axis=0), top_y.max(axis=0)).sum()), int(low_x.min() + low_y.min())):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, x in enumerate(mine):
+        near = p.enough(np.minimum(top_x[i], top_y).sum(axis=1), low_x[i] + low_y)
+        y = np.concatenate([np.zeros(0, np.int64), *(theirs[j] for j in np.flatnonzero(near))])
+        left.append(np.repeat(x, len(y)))
+        right.append(np.tile(y, len(x)))
+    return np.concatenate(left), np.concatenate(right)
+
+
+def _nodes(n: np.ndarray, page: np.ndarray, p: JoinParams) -> list[np.ndarray]:
+    page = page[np.argsort(n[page], kind="stable")]
+    return [page[i : i + p.node] for i in range(0, len(page), p.node)]
 
 
-def rest_pairs(members: DataFrame, p: JoinParams) -> DataFrame:
-    """Pairs of members of the same leaf, in different components, that pass the bound.
+def rest_pairs(members: DataFrame, pts: DataFrame, p: JoinParams) -> DataFrame:
+    """Pairs (a, b, ca, cb) of members of the same leaf, in different components, that pass the bound.
 
-    members: (key, id, comp, n, point).  A leaf's members are dealt into pages, and pages pair up as tasks' units.
+    members: (key, id, comp).  Each row brings the least keys of its document's leaves, so that of the many leaves
+    that near copies share only the first one gives their pair.  In a leaf the members of its largest component
+    meet the others alone; both are dealt into pages, and pairs of pages are the tasks' units.
     """
-    size = members.groupBy("key").agg(F.ceil(F.count("*") / p.page).cast("int").alias("pages"))
-    own = members.join(size, "key").withColumn("page", F.pmod(F.xxhash64("id"), F.col("pages")).cast("int"))
-    own = own.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("pages") - 1)))
-    own = own.select(
-        "key", F.least("page", "with").alias("i"), F.greatest("page", "with").alias("j"), "page", "id", "comp", "n", "point"
+    first = F.array_sort(F.collect_list("key"))  # as many as the document has leaves
+    first = members.groupBy("id").agg(first.alias("first"))
+    high = F.lit(2**63 - 1)
+    first = first.select("id", *[F.coalesce(F.get("first", F.lit(i)), high).alias(c) for i, c in enumerate(FIRST)])
+    info = first.join(pts.select(F.col("doc_id").alias("id"), "n", "point"), "id")
+    size = members.groupBy("key", "comp").agg(F.count("*").alias("m"))
+    size = size.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("m"))
+    pages = lambda c: F.ceil(c / p.page).cast("int")
+    size = size.select(
+        "key", F.col("top.comp").alias("bulk"), pages(F.col("top.m")).alias("big"), pages(F.col("m") - F.col("top.m")).alias("small")
     )
+    own = members.join(size, "key")
+    is_bulk = F.col("comp") == F.col("bulk")
+    deal = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    own = own.withColumn("page", F.when(is_bulk, deal(F.col("big"))).otherwise(F.col("big") + deal(F.col("small"))))
+    last = F.col("big") + F.col("small") - 1
+    own = own.withColumn("with", F.explode(F.sequence(F.when(is_bulk, F.col("big")).otherwise(F.lit(0)), last)))
+    own = own.select("key", F.least("page", "with").alias("i"), F.greatest("page", "with").alias("j"), "page", "id", "comp")
     unit = ["key", "i", "j"]
 
     def emit(b: pd.DataFrame) -> pd.DataFrame:
-        ids, comps, n = (b[c].to_numpy(np.int64) for c in ("id", "comp", "n"))
+        ids, comps, n, keys = (b[c].to_numpy(np.int64) for c in ("id", "comp", "n", "key"))
         pts = np.frombuffer(b"".join(b["point"]), np.uint8).reshape(len(b), p.groups).astype(np.int64)
         pts = np.hstack([pts, (n - pts.sum(axis=1))[:, None]])  # the excess bounds like one more coordinate
-        page, i = b["page"].to_numpy(), b["i"].to_numpy()
-        new = np.flatnonzero((np.diff(b["key"].to_numpy()) != 0) | (np.diff(i) != 0) | (np.diff(b["j"].to_numpy()) != 0)) + 1
-        out = []
-        for lo, hi in zip([0, *new], [*new, len(b)], strict=True):
-            mid = lo + int((page[lo:hi] == i[lo]).sum())
+        page, i, j = (b[c].to_numpy() for c in ("page", "i", "j"))
+        new = np.flatnonzero((np.diff(keys) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+        lows, highs = np.array([0, *new]), np.array([*new, len(b)])
+        two = highs - lows == 2
+        some = [(lows[two], lows[two] + 1)]  # units of two rows, all at once
+        for lo, hi in zip(lows[~two], highs[~two], strict=True):
             if (comps[lo:hi] == comps[lo]).all():
                 continue
-            same = b["j"].iat[lo] == i[lo]
-            first, second = slice(lo, hi if same else mid), slice(lo if same else mid, hi)
-            out.append(_page_pairs(ids, comps, n, pts, second, first, p))
-        a = np.concatenate([x for x, _ in out]) if out else np.zeros(0, np.int64)
-        c = np.concatenate([y for _, y in out]) if out else np.zeros(0, np.int64)
-        pairs = pd.DataFrame({"a": np.minimum(a, c), "b": np.maximum(a, c)})
-        return pairs[pairs["a"] < pairs["b"]].drop_duplicates()
+            rows = np.arange(lo, hi)
+            mine, other = (rows, rows) if i[lo] == j[lo] else (rows[page[lo:hi] == i[lo]], rows[page[lo:hi] == j[lo]])
+            if len(mine) and len(other):
+                some.append(_page_pairs(comps, n, pts, other, mine, p))
+        first = b[FIRST].to_numpy(np.int64)
+        got = [_twins(ids, comps, n, pts, first, keys, p, x, y) for x, y in some]
+        x, y = (np.concatenate([g[k] for g in got]) for k in (0, 1))
+        swap = ids[x] > ids[y]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        return pd.DataFrame({"a": ids[x], "b": ids[y], "ca": comps[x], "cb": comps[y]}).drop_duplicates()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -325,54 +361,101 @@ def rest_pairs(members: DataFrame, p: JoinParams) -> DataFrame:
             yield emit(held)
 
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    own = own.repartition(n, *unit).sortWithinPartitions(*unit, "page")
-    return map_pandas(own, run, "a long, b long").distinct()
+    own = own.join(info, "id").repartition(n, *unit).sortWithinPartitions(*unit, "page")
+    return map_pandas(own, run, PAIR).distinct()
+
+
+def _best(scored: DataFrame) -> DataFrame:
+    """For each component its pair with the highest bound."""
+    row = F.max(F.struct("score", "a", "b", "ca", "cb")).alias("r")
+    own = scored.withColumn("own", F.explode(F.array("ca", "cb"))).groupBy("own").agg(row)
+    return own.select("r.a", "r.b", "r.ca", "r.cb").distinct()
+
+
+def _leaders(rest: DataFrame, turn: int) -> DataFrame:
+    """In each leaf a member leads, another one each turn, and meets a member of every other component."""
+    order = F.xxhash64("id", "key", F.lit(turn))
+    by = rest.groupBy("key", "comp").agg(F.min(F.struct(order.alias("o"), "id")).alias("x"))
+    top = by.groupBy("key").agg(F.min(F.struct("x.o", "x.id", "comp")).alias("lead"))
+    both = by.join(top, "key").where(F.col("comp") != F.col("lead.comp"))
+    return both.select(F.col("x.id").alias("x"), F.col("comp").alias("cx"), F.col("lead.id").alias("y"), F.col("lead.comp").alias("cy"))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """(x, cx, y, cy) as distinct (a, b, ca, cb) with a < b."""
+    first = F.col("x") < F.col("y")
+    pick = lambda p, q: F.when(first, F.col(p)).otherwise(F.col(q))
+    return pairs.select(pick("x", "y").alias("a"), pick("y", "x").alias("b"), pick("cx", "cy").alias("ca"), pick("cy", "cx").alias("cb")).distinct()
+
+
+def _relabelled(df: DataFrame, comp: DataFrame, *cols: str) -> DataFrame:
+    """Columns of components with their new names; ``comp`` (id, component) has those that changed."""
+    for c in cols:
+        new = comp.select(F.col("id").alias(c), F.col("component").alias("new"))
+        df = df.join(new, c, "left").withColumn(c, F.coalesce("new", c)).drop("new")
+    return df
 
 
 def link(docs: DataFrame, p: JoinParams = JoinParams()) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
-    with short_lived_shuffles(docs.sparkSession):
-        return _link(docs, p)
+    with steps(docs.sparkSession) as own:
+        return materialize(_link(docs, p, own), "linked")
 
 
-def _link(docs: DataFrame, p: JoinParams) -> DataFrame:
+def _link(docs: DataFrame, p: JoinParams, own: Steps) -> DataFrame:
     docs = pick(docs, "doc_id", "text").withColumn("doc_id", F.col("doc_id").cast("long"))
-    every = materialize(points(docs, p), "points")
+    every = own.put("points", points(docs, p))
     pts = every.where("n > 0 and doc_id is not null")
     sig = ["sig1", "sig2", "n"]
     classes = pts.groupBy(*sig).agg(F.min("doc_id").alias("rep"))
     # Equal sets are one point, that of their smallest id; only it goes to leaves.
-    member = materialize(pts.select("doc_id", *sig).join(classes, sig).select("doc_id", "rep").distinct(), "member")
+    member = own.put("member", pts.select("doc_id", *sig).join(classes, sig).select("doc_id", "rep").distinct())
     copies = member.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     # An id with several texts may stand for another set as well, and then goes there, too.
     others = member.where("doc_id = rep").select(F.col("doc_id").alias("id"))
-    gone = copies.select(F.col("a").alias("id")).distinct().join(others, "id", "left_anti")
+    gone = own.put("gone", copies.select(F.col("a").alias("id")).distinct().join(others, "id", "left_anti"))
     texts = _only(docs.where("doc_id is not null"), gone, "left_anti", p)
 
-    members = shared_leaves(texts, p)
-
-    items = materialize(sets(_only(texts, members.select("id").distinct(), "left_semi", p), p), "sets")
-    # A few of a document's leaders are enough to join most of a group; the rest is searched below.
-    few = Window.partitionBy("id").orderBy(F.xxhash64("lead"), "lead")
-    pairs = members.where("id <> lead").select("id", "lead").distinct().withColumn("k", F.row_number().over(few))
-    pairs = pairs.where(F.col("k") <= p.leaders).select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b"))
-    pairs = materialize(bounded(pairs.distinct(), pts, p), "pairs")
-    links = materialize(verified(pairs, items, p), "links")
-    comp = materialize(components(links.unionByName(copies)), "components")
-
-    named = members.select("key", "id").join(comp, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-    open_ = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = named.join(open_, "key").join(pts.select(F.col("doc_id").alias("id"), "n", "point"), "id")
-    more = materialize(verified(materialize(rest_pairs(rest, p), "rest"), items, p), "links")
-    comp = components(links.unionByName(more).unionByName(copies))
-    comp = comp.withColumnRenamed("id", "doc_id")
+    members = shared_leaves(texts, p, own)
+    size = own.put("size", members.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("a"), F.max("id").alias("b")))
+    # Leaves of two have one pair, which is kept; those of more are searched.
+    both = size.where("m = 2 and a <> b").select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")).distinct()
+    pool = own.put("pool", bounded(both, pts, p))
+    rest = members.join(size.where("m > 2").select("key"), "key").select("key", "id", F.col("id").alias("comp"))
+    rest = own.put("rest", rest)
+    own.drop("size", *[f"leaves{i}" for i in range(p.slices)])
+    links, turn = [], 0
+    while True:
+        near = own.put("near", bounded(_ordered(_leaders(rest, turn)), pts, p))
+        best = own.put("best", _best(near.unionByName(pool)))
+        found = own.put(f"found{turn}", verified(best, texts, p))
+        links.append(found)
+        tried, joined = best.count(), found.count()
+        if joined:
+            new = components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+            new = own.put("new", new.where("id <> component"))
+            pool = _relabelled(pool.join(best, ["a", "b"], "left_anti"), new, "ca", "cb").where("ca <> cb")
+            pool = own.put("pool", pool.select("a", "b", "ca", "cb", "score"))
+            rest = _relabelled(rest, new, "comp")
+            open_ = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+            rest = own.put("rest", rest.join(open_, "key").select("key", "id", "comp"))
+        turn += 1
+        # Further turns are worth their cost as long as they find much; what they leave is searched below.
+        if joined * 4 <= tried:
+            break
+    more = own.put("more", rest_pairs(rest, pts, p).unionByName(pool.drop("score")).distinct())
+    links.append(own.put("last", verified(more, texts, p)))
+    edges = copies
+    for x in links:
+        edges = edges.unionByName(x.select("a", "b"))
+    comp = components(edges).withColumnRenamed("id", "doc_id")
     return every.join(comp, "doc_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
     )
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link(table(spark, sf_dir, "documents"), JoinParams(words=3, num=90, leaders=16))
+    return link(table(spark, sf_dir, "documents"), JoinParams(words=3, num=90))
 
 
 OP8_SQL = """
