@@ -15,22 +15,24 @@ partner may be there.  Blocks without shingles make no leaf, or unrelated
 documents would meet there; a document with m - d or more of them is also cut
 by another hash.
 
-Equal sets are one point.  In each leaf all members first meet one member,
-chosen at random by the leaf; pairs that pass the bound are verified against
-the sets.  Leaves whose members this has joined into one component are done.
-Members of the others are packed into pages, page pairs into small nodes, and
-node pairs, then point pairs, that pass the bound and lie in different
-components are verified.  So no link between components is lost, and a large
-group of near copies costs about one verified pair for each leaf of a member,
-not all pairs.
+Equal sets are one point.  In turns, each leaf chooses a leader, which meets a
+member of every other component of the leaf; of the pairs of a component that
+pass the bound the one with the highest bound is verified against the sets, and
+components that are linked become one.  Leaves with one component left are done.
+When a turn finds little, the members of the other leaves are packed into
+pages, and pairs of pages, then of nodes, whose corners leave room for the
+similarity give the pairs in different components that pass the bound, each
+pair in the first leaf that both have; these are all verified.  So no link
+between components is lost, and a large group of near copies costs about one
+verified pair for each member, not all pairs.
 
 Sets are exact up to 64-bit hashes of shingles.
 
 Defined results: null, empty or blank text has no shingles and is linked with
 nothing; null ``doc_id`` gets a null component and is linked with nothing; rows
-with an equal id should have an equal text (rows with one id get one component,
-and links of texts that differ under one id may be missed); an empty table gives an empty result; further columns
-are ignored by ``link`` and kept by ``filter_documents``.
+with an equal id get one component, with the links of all their texts; an empty
+table gives an empty result; further columns are ignored by ``link`` and kept by
+``filter_documents``.
 """
 
 from __future__ import annotations
@@ -216,10 +218,11 @@ def sets(docs: DataFrame, p: JoinParams) -> DataFrame:
     return map_pandas(docs, run, "id long, items binary")
 
 
-def _only(docs: DataFrame, ids: DataFrame, how: str, p: JoinParams) -> DataFrame:
-    """Documents (not) among ``ids`` (id).  A short list, counted first, goes to all tasks; a long one joins by shuffle."""
+def _only(docs: DataFrame, ids: DataFrame, n: int, how: str, p: JoinParams) -> DataFrame:
+    """Documents (not) among ``ids`` (id), of which there are at most ``n``.  A short list goes to all tasks; a long
+    one joins by shuffle."""
     ids = ids.select(F.col("id").alias("doc_id"))
-    return docs.join(F.broadcast(ids) if ids.count() <= p.broadcast_ids else ids, "doc_id", how)
+    return docs.join(F.broadcast(ids) if n <= p.broadcast_ids else ids, "doc_id", how)
 
 
 PAIR = "a long, b long, ca long, cb long"
@@ -242,8 +245,8 @@ def bounded(pairs: DataFrame, pts: DataFrame, p: JoinParams) -> DataFrame:
     return map_pandas(pairs.join(own("a"), "a").join(own("b"), "b"), run, f"{PAIR}, score double")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, p: JoinParams) -> DataFrame:
-    """The pairs (a, b, ca, cb) whose sets reach the similarity.  Only their own texts are hashed again."""
+def verified(pairs: DataFrame, n: int, texts: DataFrame, p: JoinParams) -> DataFrame:
+    """Of ``n`` pairs (a, b, ca, cb) those whose sets reach the similarity.  Only their own texts are hashed again."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -257,7 +260,7 @@ def verified(pairs: DataFrame, texts: DataFrame, p: JoinParams) -> DataFrame:
             yield b.loc[np.array(ok, bool), ["a", "b", "ca", "cb"]]
 
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    items = sets(_only(texts, ids, "left_semi", p), p)
+    items = sets(_only(texts, ids, 2 * n, "left_semi", p), p)
     own = lambda x: items.select(F.col("id").alias(x), F.col("items").alias(f"i{x}"))
     return map_pandas(pairs.join(own("a"), "a").join(own("b"), "b"), run, PAIR)
 
@@ -388,6 +391,17 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(pick("x", "y").alias("a"), pick("y", "x").alias("b"), pick("cx", "cy").alias("ca"), pick("cy", "cx").alias("cb")).distinct()
 
 
+def _hooked(links: DataFrame) -> DataFrame:
+    """(id, component): the smallest component within two links (ca, cb) of each; so all that meet in a leader become one.
+
+    Longer chains wait: labels only save work in the turns, all links count in the end.
+    """
+    both = links.select("ca", "cb").unionByName(links.select(F.col("cb").alias("ca"), F.col("ca").alias("cb")))
+    one = both.groupBy("ca").agg(F.min("cb").alias("m")).select("ca", F.least("ca", "m").alias("m"))
+    two = both.join(one, "ca").groupBy(F.col("cb").alias("id")).agg(F.min("m").alias("component"))
+    return two.where("component < id")
+
+
 def _relabelled(df: DataFrame, comp: DataFrame, *cols: str) -> DataFrame:
     """Columns of components with their new names; ``comp`` (id, component) has those that changed."""
     for c in cols:
@@ -414,7 +428,7 @@ def _link(docs: DataFrame, p: JoinParams, own: Steps) -> DataFrame:
     # An id with several texts may stand for another set as well, and then goes there, too.
     others = member.where("doc_id = rep").select(F.col("doc_id").alias("id"))
     gone = own.put("gone", copies.select(F.col("a").alias("id")).distinct().join(others, "id", "left_anti"))
-    texts = _only(docs.where("doc_id is not null"), gone, "left_anti", p)
+    texts = _only(docs.where("doc_id is not null"), gone, gone.count(), "left_anti", p)
 
     members = shared_leaves(texts, p, own)
     size = own.put("size", members.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("a"), F.max("id").alias("b")))
@@ -426,14 +440,13 @@ def _link(docs: DataFrame, p: JoinParams, own: Steps) -> DataFrame:
     own.drop("size", *[f"leaves{i}" for i in range(p.slices)])
     links, turn = [], 0
     while True:
-        near = own.put("near", bounded(_ordered(_leaders(rest, turn)), pts, p))
-        best = own.put("best", _best(near.unionByName(pool)))
-        found = own.put(f"found{turn}", verified(best, texts, p))
+        best = own.put("best", _best(bounded(_ordered(_leaders(rest, turn)), pts, p).unionByName(pool)))
+        tried = best.count()
+        found = own.put(f"found{turn}", verified(best, tried, texts, p))
         links.append(found)
-        tried, joined = best.count(), found.count()
+        joined = found.count()
         if joined:
-            new = components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
-            new = own.put("new", new.where("id <> component"))
+            new = own.put("new", _hooked(found))
             pool = _relabelled(pool.join(best, ["a", "b"], "left_anti"), new, "ca", "cb").where("ca <> cb")
             pool = own.put("pool", pool.select("a", "b", "ca", "cb", "score"))
             rest = _relabelled(rest, new, "comp")
@@ -441,13 +454,20 @@ def _link(docs: DataFrame, p: JoinParams, own: Steps) -> DataFrame:
             rest = own.put("rest", rest.join(open_, "key").select("key", "id", "comp"))
         turn += 1
         # Further turns are worth their cost as long as they find much; what they leave is searched below.
-        if joined * 4 <= tried:
+        if joined * 2 <= tried:
             break
-    more = own.put("more", rest_pairs(rest, pts, p).unionByName(pool.drop("score")).distinct())
-    links.append(own.put("last", verified(more, texts, p)))
-    edges = copies
-    for x in links:
-        edges = edges.unionByName(x.select("a", "b"))
+    comp = links[0].select("a", "b")
+    for x in links[1:]:
+        comp = comp.unionByName(x.select("a", "b"))
+    comp = own.put("comp", components(comp))
+    pool = _relabelled(pool.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")), comp, "ca", "cb").where("ca <> cb")
+    rest = _relabelled(rest.select("key", "id", F.col("id").alias("comp")), comp, "comp")
+    open_ = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    rest = own.put("rest", rest.join(open_, "key").select("key", "id", "comp"))
+    more = own.put("more", rest_pairs(rest, pts, p).unionByName(pool).distinct())
+    last = own.put("last", verified(more, more.count(), texts, p))
+    known = comp.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+    edges = copies.unionByName(known).unionByName(last.select("a", "b"))
     comp = components(edges).withColumnRenamed("id", "doc_id")
     return every.join(comp, "doc_id", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
