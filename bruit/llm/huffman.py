@@ -9,8 +9,9 @@ symbol.  Reading, all those segments of a block are decoded side by side with
 one table look-up per symbol.
 
 Files: ``blocks`` (Parquet, ascending document ids) holds for each block its
-document ids and token counts, the bit string and the offsets; ``lengths``
-holds the code length of each id.
+document ids and token counts, the bit string and the offsets, and its start
+within the range of ids that one task packed; ``parts`` holds the start of each
+range, ``lengths`` the code length of each id.
 
 Defined results: null or empty text has the end id alone; null ``doc_id`` comes
 first; repeated ids stay together in text order; an empty table gives
@@ -22,7 +23,7 @@ from __future__ import annotations
 import heapq
 import json
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,13 +31,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bruit.llm.common import map_pandas, new_path, pick, piecewise, quantile_bounds, remove, table
+from bruit.llm.common import map_pandas, new_path, pick, remove, table
 from bruit.llm.words_cache import ChunkCache
 
 
 @dataclass(frozen=True)
 class TokenFileParams:
-    """``vocabulary``: name of a public tokenizer's file; ``block_ids``: ids of a block, unless one document has more."""
+    """``vocabulary``: name of a public tokenizer's file; ``block_ids``: ids of a block, unless one document has more;
+    ``range_bytes``: size of what one task packs, its ids at 32 bits."""
 
     vocabulary: str = "word_bpe_49k.json"
     end_id: int = 1
@@ -44,7 +46,6 @@ class TokenFileParams:
     every: int = 256
     block_ids: int = 1 << 17
     range_bytes: int = 16 << 20
-    max_ranges: int = 4096
 
 
 # --- codes -----------------------------------------------------------------
@@ -137,10 +138,40 @@ def unpack(bits: bytes, offsets: bytes, n: int, every: int, tables: tuple[np.nda
 
 # --- text to ids -----------------------------------------------------------
 
-_caches: dict[str, ChunkCache] = {}
+_caches: dict[str, ChunkCache | WholeTexts] = {}
+
+
+class WholeTexts:
+    """In the place of a memo of chunks, for a tokenizer that may join what stands on both sides of a blank."""
+
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]]):
+        self.encode_many = encode_many
+
+    def encode_texts(self, texts: list[list[str]]) -> list[bytes]:
+        return self.encode_many(["".join(t) for t in texts])
+
+    def chunks(self, text: str) -> list[str]:
+        return [text]
+
+
+#: What a tokenizer's file says if it cuts at white space, drops it, and writes words letter by letter.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRE_TOKENIZER = [
+    {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
 
 #: Characters below this are the same letters and numbers in every version of Unicode's tables.
 SETTLED = 0x250
+#: One run of these is one word to the pattern above.
+MARKS = ".,;:!?()\"-"
+
+
+def cuts_at_blanks(spec: dict) -> bool:
+    """Whether a tokenizer's file works as said above, so that a text's ids are those of its chunks between blanks."""
+    own = (spec["normalizer"] or {}).get("normalizers"), (spec["pre_tokenizer"] or {}).get("pretokenizers")
+    return own == (NORMALIZER, PRE_TOKENIZER) and not spec["post_processor"]
 
 
 def _byte_letters() -> list[str]:
@@ -150,14 +181,12 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(others)) for b in range(256)]
 
 
-def _cache(vocabulary: str) -> ChunkCache:
+def _cache(vocabulary: str) -> ChunkCache | WholeTexts:
     """The worker's memo for a vocabulary file.
 
-    This kind of tokenizer cuts texts at white space before anything else and
-    drops it, so a text's ids are those of its chunks between blanks and line
-    ends.  A chunk of settled characters is cut by the file's own pattern and
-    its parts go to the file's model directly; any other goes through the
-    whole tokenizer.
+    Where the file cuts texts at white space, a text's ids are those of its chunks.  A chunk of settled characters
+    is cut by the file's pattern and its words, remembered as well, go to the file's model; any other chunk goes
+    through the whole tokenizer.  With another kind of file all texts do.
     """
     if vocabulary in _caches:
         return _caches[vocabulary]
@@ -171,15 +200,20 @@ def _cache(vocabulary: str) -> ChunkCache:
 
     tok = Tokenizer.from_file(public_tokenizers.path(vocabulary))
     spec = json.loads(tok.to_str())
-    split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall
+    kind = "H" if tok.get_vocab_size() <= 1 << 16 else "I"
+    as_bytes = lambda ids: array(kind, ids).tobytes()
+    library = lambda texts: [as_bytes(e.ids) for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+    if not cuts_at_blanks(spec):
+        own = WholeTexts(library)
+        own.kind = "<u2" if kind == "H" else "<u4"
+        return _caches.setdefault(vocabulary, own)
+    split = regex.compile(PATTERN).findall
     special = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or "(?!)").search
     tokenize, letters = tok.model.tokenize, _byte_letters()
     parts: dict[str, bytes] = {}
-    kind = "H" if tok.get_vocab_size() <= 1 << 16 else "I"
-    as_bytes = lambda ids: array(kind, ids).tobytes()
 
     def part(x: str) -> bytes:
-        shown = x if x.isalpha() and x.isascii() else "".join([letters[b] for b in x.encode()])
+        shown = x if x.isascii() and x.isalpha() else "".join([letters[b] for b in x.encode()])
         out = as_bytes([t.id for t in tokenize(shown)])
         if len(x) <= 64:
             parts[x] = out
@@ -189,29 +223,40 @@ def _cache(vocabulary: str) -> ChunkCache:
         if len(parts) > 500_000:
             parts.clear()
         out: list = [None] * len(chunks)
-        rest = []
+        rest, known = [], parts.get
         for i, c in enumerate(chunks):
-            # White space of other kinds, and what the tokenizer takes out first, are left to it.
-            if not c.isprintable() or ord(max(c)) >= SETTLED or special(c):
+            if c.isascii():
+                x = c.lower()
+            elif ord(max(c)) < SETTLED:
+                x = unicodedata.normalize("NFC", c).lower()
+            else:
                 rest.append(i)
                 continue
-            if not c.isascii():
-                c = unicodedata.normalize("NFC", c)
-            out[i] = b"".join([parts.get(x) or part(x) for x in split(c.lower())])
-        found = tok.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False) if rest else []
-        for i, e in zip(rest, found, strict=True):
-            out[i] = as_bytes(e.ids)
+            if x.isalpha():
+                out[i] = known(x) or part(x)
+                continue
+            word = x.rstrip(MARKS)
+            if word.isalpha():
+                tail = x[len(word) :]
+                out[i] = (known(word) or part(word)) + (known(tail) or part(tail))
+            elif x.isprintable() and not special(c):
+                out[i] = b"".join([known(y) or part(y) for y in split(x)])
+            else:  # white space of other kinds, and what the tokenizer takes out first
+                rest.append(i)
+        if rest:
+            for i, ids in zip(rest, library([chunks[i] for i in rest]), strict=True):
+                out[i] = ids
         return out
 
-    _caches[vocabulary] = ChunkCache(many)
-    _caches[vocabulary].kind = "<u2" if kind == "H" else "<u4"
-    return _caches[vocabulary]
+    _caches[vocabulary] = own = ChunkCache(many)
+    own.kind, own.chunks = "<u2" if kind == "H" else "<u4", _chunks
+    return own
 
 
 def encode_texts(texts: Iterable[str | None], vocabulary: str) -> tuple[list[bytes], str]:
     """Ids of each text as little-endian numbers, without the end id, and their kind: 16 bits if the vocabulary fits, else 32."""
     cache = _cache(vocabulary)
-    return cache.encode_texts([_chunks(t) if t else [] for t in texts]), cache.kind
+    return cache.encode_texts([cache.chunks(t) if t else [] for t in texts]), cache.kind
 
 
 def _chunks(text: str) -> list[str]:
@@ -268,6 +313,7 @@ def global_counts(staged: DataFrame) -> np.ndarray:
 
 # --- files -----------------------------------------------------------------
 
+PARTS = "part int, first long"
 BLOCK = "part int, block int, start long, n long, doc_ids array<long>, n_tokens array<long>, bits binary, offsets binary"
 
 
@@ -282,15 +328,7 @@ def write_files(docs: DataFrame, path: str, p: TokenFileParams = TokenFileParams
     lengths = code_lengths(counts, p.max_bits)
     codes = canonical_codes(lengths)
     total = staged.agg(F.sum("n")).first()[0] or 0
-    ranges = min(p.max_ranges, max(1, -(-total * 4 // p.range_bytes)))
-    # Ranges of ids keep the files in order; a range is one task.
-    part = piecewise(F.col("doc_id"), quantile_bounds(staged, "doc_id", ranges))
-    staged = staged.withColumn("part", F.when(F.col("doc_id").isNull(), 0).otherwise(part))
-    sums = staged.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()
-    before, at = {}, 0
-    for r in sums:
-        before[r["part"]] = at
-        at += r["n"]
+    ranges = max(1, -(-total * 4 // p.range_bytes))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size, part, block, start = [], 0, None, 0, 0
@@ -309,14 +347,24 @@ def write_files(docs: DataFrame, path: str, p: TokenFileParams = TokenFileParams
                     yield flush()
                     held, block, start, size = [], block + 1, start + size, 0
                 if key != part:
-                    part, block, start = int(key), 0, before[key]
+                    part, block, start = int(key), 0, 0
                 held.append((doc_id, ids))
                 size += len(ids)
         if held:
             yield flush()
 
-    ordered = staged.repartition(ranges, "part").sortWithinPartitions("part", "doc_id", "n", "ids")
+    # Ranges of (id, ids' hash, row) keep the files in order; the row splits a large group of equal rows.
+    order = ["doc_id", "h", "row"]
+    ordered = staged.withColumns({"h": F.xxhash64("ids"), "row": F.monotonically_increasing_id()})
+    ordered = ordered.repartitionByRange(ranges, *order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     map_pandas(ordered.select("part", "doc_id", "ids", "kind"), run, BLOCK).write.parquet(f"{path}/blocks")
+    # One row for each range, of a fixed size.
+    sums = spark.read.schema(BLOCK).parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n").alias("n")).collect()
+    starts, at = [], 0
+    for r in sorted(sums):
+        starts.append((r["part"], at))
+        at += r["n"]
+    spark.createDataFrame(starts, PARTS).coalesce(1).write.parquet(f"{path}/parts")
     used = [(int(i), int(lengths[i])) for i in np.flatnonzero(lengths)]
     spark.createDataFrame(used, "id int, bits int").coalesce(1).write.parquet(f"{path}/lengths")
     remove(spark, stage)
@@ -341,6 +389,8 @@ def read_files(spark: SparkSession, path: str, p: TokenFileParams = TokenFilePar
                 yield pd.DataFrame({"doc_id": doc_ids, "start": start, "n_tokens": r.n_tokens, "ids": cut})
 
     blocks = spark.read.schema(BLOCK).parquet(f"{path}/blocks")
+    parts = F.broadcast(spark.read.schema(PARTS).parquet(f"{path}/parts"))  # one row for each range
+    blocks = blocks.join(parts, "part").withColumn("start", F.col("start") + F.col("first")).drop("first")
     return map_pandas(blocks, run, "doc_id long, start long, n_tokens long, ids binary")
 
 
