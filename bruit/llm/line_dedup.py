@@ -6,14 +6,14 @@ lines to (key, documents, largest doc_id), merge-anti-joins the runs to leave
 out the keys they have settled (enough documents seen; the keeper, which came
 earlier, is known), and adds the rest as a sorted run of level 0.  When a level
 holds ``fanout`` runs they are compacted into one run of the next level.  Runs
-are bucketed and sorted by key, so joins with them and compactions don't
-shuffle them again.  At the end all runs give the repeated keys and each one's
-keeper.  Lines then meet the repeated keys in a join that adaptive execution
+are bucketed and sorted by key, so merging them needs no shuffle.  At the end
+all runs give the repeated keys and each one's keeper.  Lines then meet the repeated keys in a join that adaptive execution
 can split at hot lines; only (document, line number) of what is dropped moves on.
 
-Defined results: null or empty text is one empty line; lines without a
-``doc_id`` count, and rank below all others; rows that share doc_id and text
-count once each and are treated alike; an empty table gives an empty result.
+Defined results: null or empty text is one empty line; rows with a ``doc_id``
+in common are one document when documents are counted, and each keeps its lines
+if that id is the keeper; rows without a ``doc_id`` count as one document, which
+ranks below all others; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -110,21 +110,23 @@ def repeated_lines(docs: DataFrame, params: LineParams = LineParams()) -> DataFr
     spark = docs.sparkSession
     docs = pick(docs, "doc_id", "text").withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     bounds = quantile_bounds(docs, "doc_id", params.batches)
-    runs = LineRuns(spark, params)
+    runs, path = LineRuns(spark, params), new_path(spark, "repeated")
     edges = [None, *bounds, None]
-    for low, high in reversed(list(zip(edges, edges[1:], strict=False))):
-        batch = docs
-        if low is not None:
-            batch = batch.where(F.col("doc_id") >= low)
-        if high is not None:
-            batch = batch.where(F.col("doc_id") < high)
-        own = F.array_distinct(F.filter(_hashes(F.col("text"), params), lambda h: h.isNotNull()))
-        keys = batch.select("doc_id", F.explode(own).alias("h")).groupBy("h.h1", "h.h2")
-        runs.add(keys.agg(F.count("*").alias("n"), F.max("doc_id").alias("top")))
-    path = new_path(spark, "repeated")
-    out = runs.merged().where(F.col("n") >= params.min_docs)
-    out.write.parquet(path)
-    runs.close()
+    try:
+        for low, high in reversed(list(zip(edges, edges[1:], strict=False))):
+            batch = docs
+            if low is not None:
+                batch = batch.where(F.col("doc_id") >= low)
+            if high is not None:
+                batch = batch.where(F.col("doc_id") < high)
+            own = F.array_distinct(F.filter(_hashes(F.col("text"), params), lambda h: h.isNotNull()))
+            # All rows of an id are in one batch, so its documents are counted here for good.
+            keys = batch.select("doc_id", F.explode(own).alias("h")).select("doc_id", "h.h1", "h.h2").distinct()
+            runs.add(keys.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc_id").alias("top")))
+        out = runs.merged().where(F.col("n") >= params.min_docs)
+        out.write.parquet(path)
+    finally:
+        runs.close()
     return spark.read.schema(out.schema).parquet(path)
 
 
