@@ -29,12 +29,13 @@ from bruit.llm.common import WORD_RE, beside, materialize, pick, piecewise, quan
 
 @dataclass(frozen=True)
 class MixParams:
-    """Budget: ``share`` of all tokens.  Sources by code point, null last, have ``weights`` in turn."""
+    """Budget: ``share`` of all tokens.  Sources by code point, null last, have ``weights`` in turn.
+    A cell is a task of about ``cell_rows`` rows."""
 
     weights: tuple[int, ...] = (5, 2, 1)
     share: float = 1.5
     max_repeats: int = 2
-    cells: int = 256
+    cell_rows: int = 2_000_000
     seed: str = "mix-1"
 
 
@@ -80,9 +81,10 @@ def schedule(rows: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     ``rows`` (doc_id, source, size) should be a stored table; it is read a few times.
     """
     t = materialize(targets(rows, p), "targets")
-    budget = F.floor(F.lit(p.share) * (rows.agg(F.sum("size")).first()[0] or 0))
+    total, n = rows.agg(F.sum("size"), F.count("*")).first()
+    budget, cells_wanted = F.floor(F.lit(p.share) * (total or 0)), max(256, n // p.cell_rows)
     u = F.conv(F.substring(F.md5(F.concat(F.lit(p.seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), 1, 15), 16, 10).cast("long")
-    rows = rows.withColumn("u", u).withColumn("cell", F.floor(F.col("u") / F.lit(2**60 // p.cells)).cast("int"))
+    rows = rows.withColumn("u", u).withColumn("cell", F.floor(F.col("u") / F.lit(2**60 // cells_wanted)).cast("int"))
     cells = rows.groupBy("source", "cell").agg(F.sum("size").alias("n"))
     cells = _before(cells, ["source"], "cell", "n").withColumnRenamed("source", "s").withColumnRenamed("cell", "c")
     here = Window.partitionBy("source", "cell").orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
@@ -95,11 +97,11 @@ def schedule(rows: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     total = F.col("source_size") * F.col("copy") + F.col("before") + F.col("own")
     copies = copies.select("doc_id", "source", "size", "copy", (total / F.col("weight")).alias("finish"))
     copies = materialize(copies, "copies")
-    bounds = quantile_bounds(copies, "finish", p.cells)
+    bounds = quantile_bounds(copies, "finish", cells_wanted)
     copies = copies.withColumn("cell", piecewise(F.col("finish"), bounds))
     sums = _before(copies.groupBy("cell").agg(F.sum("size").alias("n")), [], "cell", "n")
     here = Window.partitionBy("cell").orderBy("finish", "doc_id", "copy", "source", "size").rowsBetween(Window.unboundedPreceding, 0)
-    # At most `cells` rows.
+    # One row for each cell.
     out = copies.withColumn("own", F.sum("size").over(here)).join(F.broadcast(sums), "cell")
     out = out.withColumn("total", F.col("before") + F.col("own")).where(F.col("total") <= budget)
     return out.select("doc_id", "source", "size", "copy", "finish", "total")
@@ -108,12 +110,19 @@ def schedule(rows: DataFrame, p: MixParams = MixParams()) -> DataFrame:
 def filter_documents(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     """The documents of the mix in the columns they came with, a row for each copy."""
     mix = schedule(materialize(_sized(docs), "sizes"), p).groupBy("doc_id").agg(F.count("*").alias("n"))
-    # Documents that share an id share its copies: each takes its part, rounded up.
-    own = beside(docs, "doc_id").withColumnRenamed("doc_id", "d")
     same = pick(docs, "doc_id").groupBy("doc_id").agg(F.count("*").alias("m"))
-    mix = mix.join(same, mix.doc_id.eqNullSafe(same.doc_id)).select(mix.doc_id, F.ceil(F.col("n") / F.col("m")).cast("int").alias("n"))
-    out = own.join(mix, F.col("d").eqNullSafe(mix.doc_id)).withColumn("k", F.explode(F.sequence(F.lit(1), "n")))
-    return restored(out, docs)
+    mix = mix.join(same, mix.doc_id.eqNullSafe(same.doc_id)).select(mix.doc_id, F.col("n").cast("int").alias("n"), "m")
+    mix = materialize(mix, "taken")
+    own = beside(docs, "doc_id").withColumnRenamed("doc_id", "d")
+    out = own.join(mix, F.col("d").eqNullSafe(mix.doc_id))
+    if not mix.where("m > 1").isEmpty():
+        # Rows that share an id share its copies as evenly as can be.
+        cols = [f"c{i}" for i in range(len(docs.columns))]
+        rank = F.row_number().over(Window.partitionBy("d").orderBy(F.xxhash64(F.to_json(F.struct(*cols)))))
+        part = F.floor(F.col("n") / F.col("m")) + (F.col("rank") <= F.col("n") % F.col("m")).cast("int")
+        again = out.where("m > 1").withColumn("rank", rank).withColumn("n", part.cast("int")).drop("rank").where("n > 0")
+        out = out.where("m = 1").unionByName(again)
+    return restored(out.withColumn("k", F.explode(F.sequence(F.lit(1), "n"))), docs)
 
 
 def _sized(docs: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ cell; an empty table gives an empty result; further columns move along.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,11 +31,13 @@ LOW, HIGH = -(2**63), 2**63 - 1
 @dataclass(frozen=True)
 class ShardParams:
     """``tolerance``: distance of a shard's cut from its target, in parts of a shard's bytes.
-    ``cells`` per shard and 2 ** ``bits`` probes per open interval and round bound the driver's work."""
+    Each shard is moved in ``cells`` or more tasks of about ``cell_rows`` rows; 2 ** ``bits`` probes per open
+    interval and round bound the driver's work."""
 
     shards: int = 8
     tolerance: float = 0.0005
     cells: int = 32
+    cell_rows: int = 2_000_000
     bits: int = 10
 
 
@@ -130,11 +132,12 @@ def shard(df: DataFrame, p: ShardParams = ShardParams()) -> DataFrame:
     ``df`` has ``h`` (long, the sort key), ``i`` (long, breaks ties) and ``size`` (long) besides
     other columns.  It is read once for each round and should be a stored table.
     """
+    p = replace(p, cells=max(p.cells, -(-df.count() // (p.shards * p.cell_rows))))
     cuts = find_cuts(df.select("h", "i", "size"), p)
     out = df.withColumn("cell", F.expr(_tree(cuts)))
     sizes = out.groupBy("cell").agg(F.count("*").alias("n")).withColumn("shard", F.floor(F.col("cell") / p.cells).cast("int"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
-    # At most shards * cells rows, whatever the input's size.
+    # One row for each cell.
     sizes = sizes.select("cell", "shard", F.coalesce(before, F.lit(0)).alias("before"))
     rank = F.row_number().over(Window.partitionBy("cell").orderBy("h", "i"))
     out = out.repartition(p.shards * p.cells, "cell").withColumn("rank", rank)

@@ -102,6 +102,19 @@ def test_line_dedup(spark, dirs):
     assert line_dedup.op3_line_dedup(spark, dirs[1]).count() == 0
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    rows = [(1, LINE)] * 5 + [(2, LINE)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r.n_dropped for r in line_dedup.dedup_lines(df).collect()] == [0] * 6
+
+
+def test_mix_of_repeated_ids_keeps_its_budget(spark):
+    rows = [(1, "w " * 12, "s")] * 10 + [(10 + i, "w " * 9, "s") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    words = sum(len(r.text.split()) for r in mixing.filter_documents(df).collect())
+    assert 156 * 1.5 - 12 < words <= 156 * 1.5
+
+
 def test_line_stage_keeps_columns_and_documents(odd):
     out = line_dedup.filter_documents(odd)
     assert out.columns == odd.columns
