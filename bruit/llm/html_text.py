@@ -73,20 +73,31 @@ NAMES = re.compile(
     r"|comments?|comment-\w+|replies|disqus|related|recommend\w*|tags|widget|login|signup|search|skip)(?:$|[\s_-])",
     re.I,
 )
+#: Words that such names are made of; inside an article a name says something only if all its parts are such words
+#: or the general ones ("ad-slot", but neither "side-effects" nor "promo-code").
+KNOWN = frozenset(
+    "ad ads advert adverts advertisement adsense banner sponsor sponsored promo cookie cookies consent gdpr notice popup modal newsletter"
+    " subscribe subscription nav navbar navigation menu breadcrumb breadcrumbs sidebar side footer masthead toolbar pagination pager share"
+    " sharing social comment comments replies disqus related recommend recommended tags widget login signup search skip".split()
+)
+GENERAL = frozenset(
+    "area bar block body bottom box button buttons card container content form group header icon icons inner item items label left links list"
+    " main middle module outer panel posts right row section site slot text title top unit wrap wrapper zone".split()
+)
+PARTS = re.compile(r"[-_]+")
 #: "has-sidebar" and the like describe what stands beside an element.
 BESIDE = re.compile(r"\b(?:no|with|without|has|hide)[-_]\w+", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 HEADER_OK = frozenset({"article", "main"})
 CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
     "th": {"td", "th"}, "option": {"option"},
 }
 SCOPES = frozenset("table ul ol dl td th div section article main body html nav aside header footer select".split())
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S,
-)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+#: Where a tag may end, or a quoted value begins.
+STOP = re.compile(r"=\s*([\"'])|>")
 ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 SPACE = re.compile(r"\s+")
@@ -96,46 +107,84 @@ VALUE = re.compile(r"=\s*[^\s\"'>]*/\Z")
 
 @dataclass
 class Block:
-    path: tuple[str, ...]
-    nodes: tuple[int, ...]
+    """``node`` is the innermost block element; ``path`` numbers the steps from the root to it."""
+
+    path: int
+    node: int
+    tag: str = ""
     parts: list[str] = field(default_factory=list)
     link_chars: int = 0
     text: str = ""
 
 
+@dataclass
+class Tree:
+    """Block elements in page order, 0 being the root: tag, and the element around each."""
+
+    tags: list[str] = field(default_factory=lambda: [""])
+    above: list[int] = field(default_factory=lambda: [0])
+
+
 @dataclass
 class _Open:
     tag: str
-    step: str
     node: int
+    path: int
     out: bool
     inline: bool
-
-
-def _foreign(stack: list[_Open]) -> int | None:
-    """Where the innermost svg or math starts, unless an element in it holds html."""
-    for k in range(len(stack) - 1, -1, -1):
-        if stack[k].tag in FOREIGN:
-            return k
-        if not stack[k].inline or stack[k].tag in HOSTS:
-            return None
-    return None
-
-
-def blocks(html: str) -> list[Block]:
-    """Text blocks in page order, without those of elements that never hold article text."""
+    article: bool
+    foreign: int | None
+
+
+def _tag_end(html: str, at: int) -> int:
+    """Place of the ">" that ends the tag, the page's length if there is none.
+
+    A quoted value may hold a ">".  If its quote isn't closed up to the page's end, the tag ends at the next ">".
+    """
+    while (m := STOP.search(html, at)) is not None:
+        if m[1] is None:
+            return m.start()
+        done = html.find(m[1], m.end())
+        if done < 0:
+            end = html.find(">", m.end())
+            return end if end >= 0 else len(html)
+        at = done + 1
+    return len(html)
+
+
+def _excluded(name: str, in_article: bool) -> bool:
+    """Whether class and id say that an element isn't part of the text."""
+    if not in_article:
+        return bool(NAMES.search(BESIDE.sub("", name)))
+    for token in name.lower().split():
+        words = PARTS.split(token)
+        if all(w in KNOWN or w in GENERAL for w in words) and any(w in KNOWN for w in words):
+            return True
+    return False
+
+
+def blocks(html: str) -> tuple[list[Block], Tree]:
+    """Text blocks in page order, without those of elements that never hold article text.
+
+    Work grows with the page's length: what the stack is asked for is kept as it grows.
+    """
     stack: list[_Open] = []
+    opened: dict[str, int] = defaultdict(int)  # open elements by tag
+    p_at: list[int] = []  # places in the stack of open p, and of what hides them
+    wall: list[int] = []
+    tree, paths = Tree(), {}
     found: list[Block] = []
     now: Block | None = None
-    at, n_nodes, links = 0, 0, 0
+    at, links = 0, 0
 
     def take(raw: str) -> None:
         nonlocal now
-        if stack and stack[-1].out:
+        top = stack[-1] if stack else None
+        if top and top.out:
             return
         if now is None:
-            outer = [o for o in stack if not o.inline]
-            now = Block(tuple(o.step for o in outer), tuple(o.node for o in outer))
+            now = Block(top.path if top else 0, top.node if top else 0)
+            now.tag = tree.tags[now.node]
             found.append(now)
         text = unescape(raw)
         now.parts.append(text)
@@ -144,31 +193,47 @@ def blocks(html: str) -> list[Block]:
 
     def close(k: int) -> None:
         nonlocal links, now
-        for o in stack[k:]:
+        while len(stack) > k:
+            o = stack.pop()
+            opened[o.tag] -= 1
             links -= o.tag == "a"
             if not o.inline:
                 now = None
-        del stack[k:]
+        for places in (p_at, wall):
+            while places and places[-1] >= k:
+                places.pop()
 
     size = len(html)
     while at < size:
         lt = html.find("<", at)
-        m = TOKEN.match(html, lt) if lt >= 0 else None
         if lt < 0:
             take(html[at:])
             break
         if lt > at:
             take(html[at:lt])
-        if m is None:  # a bare "<" is text
-            take("<")
-            at = lt + 1
+        if html.startswith(("<!", "<?"), lt):
+            for start, stop in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<", ">")):
+                if html.startswith(start, lt):
+                    end = html.find(stop, lt + len(start))
+                    at = end + len(stop) if end >= 0 else size
+                    break
             continue
-        at = m.end()
-        if m[2] is None:
+        m = NAME.match(html, lt + 1)
+        if m is None:
+            if html.startswith("</", lt) and html[lt + 2 : lt + 3].strip():  # an end tag without a name is a comment
+                end = html.find(">", lt)
+                at = end + 1 if end >= 0 else size
+                continue
+            take("<")  # a bare "<" is text
+            at = lt + 1
             continue
+        stop = _tag_end(html, m.end())
+        rest, at = html[m.end() : stop], min(size, stop + 1)
+        if stop == size:  # the page ends inside a tag
+            break
         tag, end = m[2].lower(), m[1] == "/"
         if end:
-            k = len(stack) - 1
+            k = len(stack) - 1 if opened[tag] else -1
             while k >= 0 and stack[k].tag != tag and not (tag in INLINE and not stack[k].inline):
                 k -= 1
             if k >= 0 and stack[k].tag == tag:
@@ -177,41 +242,57 @@ def blocks(html: str) -> list[Block]:
                 now = None
             continue
         if tag in BREAKOUT:
-            while (k := _foreign(stack)) is not None:
+            while stack and (k := stack[-1].foreign) is not None:
                 close(k)
-        foreign = tag in FOREIGN or _foreign(stack) is not None
+        foreign = tag in FOREIGN or bool(stack) and stack[-1].foreign is not None
         if not foreign and tag not in INLINE:
             now = None
-            k = len(stack)
             if tag in CLOSED_BY:
-                while k > 0 and stack[k - 1].tag not in SCOPES - CLOSED_BY[tag]:
+                k, own = len(stack) - 1, CLOSED_BY[tag]
+                outermost = -1
+                while k >= 0 and (stack[k].tag in own or stack[k].tag not in SCOPES):
+                    if stack[k].tag in own:
+                        outermost = k
+                        if tag not in ("tr",):
+                            break
                     k -= 1
-                inner = [j for j in range(k, len(stack)) if stack[j].tag in CLOSED_BY[tag]]
-                if inner:
-                    close(inner[0])
-            elif tag not in VOID:
-                open_p = [j for j, o in enumerate(stack) if o.tag == "p"]
-                if open_p and not any(o.tag in ("td", "th", "object", "button") for o in stack[open_p[-1] :]):
-                    close(open_p[-1])
-        if foreign and m[3].endswith("/") and not VALUE.search(m[3]) or not foreign and tag in VOID:
+                if outermost >= 0:
+                    close(outermost)
+            elif tag not in VOID and p_at and not (wall and wall[-1] > p_at[-1]):
+                close(p_at[-1])
+        if foreign and rest.endswith("/") and not VALUE.search(rest) or not foreign and tag in VOID:
             continue
-        attrs = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in ATTR.finditer(m[3])} if m[3] else {}
+        attrs = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in ATTR.finditer(rest)} if rest else {}
         name = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
         hidden = "hidden" in attrs or attrs.get("aria-hidden") == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower()
-        out = bool(stack and stack[-1].out) or hidden or attrs.get("role", "").lower() in ROLES
-        if tag in OUT:
-            out = out or not (tag == "header" and any(o.tag in HEADER_OK for o in stack))
-        if name and tag not in ("html", "body", "article", "main") and NAMES.search(BESIDE.sub("", name)):
+        top = stack[-1] if stack else None
+        in_article = bool(top and top.article)
+        out = bool(top and top.out) or hidden or attrs.get("role", "").lower() in ROLES
+        if tag in OUT and not (tag == "header" and in_article):
+            out = True
+        if not out and name and tag not in ("html", "body", "article", "main") and _excluded(name, in_article):
             out = True
-        n_nodes += 1
-        stack.append(_Open(tag, tag + ("." + ".".join(sorted(name.split())) if name else ""), n_nodes, out, foreign or tag in INLINE))
+        inline = foreign or tag in INLINE
+        node, path = (top.node, top.path) if top else (0, 0)
+        if not inline:
+            tree.tags.append(tag)
+            tree.above.append(node)
+            node = len(tree.tags) - 1
+            path = paths.setdefault((path, tag, " ".join(sorted(name.split()))), len(paths) + 1)
+        within = len(stack) if tag in FOREIGN else None if not inline or tag in HOSTS else top.foreign if top else None
+        if tag == "p":
+            p_at.append(len(stack))
+        elif tag in ("td", "th", "object", "button"):
+            wall.append(len(stack))
+        stack.append(_Open(tag, node, path, out, inline, in_article or tag in HEADER_OK, within))
+        opened[tag] += 1
         links += tag == "a"
         if tag in RAW and not foreign:
             done = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, at)
             at = done.start() if done else size
     for b in found:
         b.text = SPACE.sub(" ", "".join(b.parts)).strip()
-    return [b for b in found if b.text]
+    return [b for b in found if b.text], tree
 
 
 def path_scores(found: list[Block], p: HtmlParams) -> list[float]:
@@ -240,7 +321,7 @@ def path_scores(found: list[Block], p: HtmlParams) -> list[float]:
 
 
 def main_text(html: str | None, p: HtmlParams = HtmlParams()) -> str:
-    found = blocks(html or "")
+    found, tree = blocks(html or "")
     if not found:
         return ""
     scores = path_scores(found, p)
@@ -250,35 +331,39 @@ def main_text(html: str | None, p: HtmlParams = HtmlParams()) -> str:
     mean = sum(scores) / len(scores)
     dev = math.sqrt(sum((s - mean) ** 2 for s in scores) / len(scores))
     chosen = {k for k, v in by.items() if sum(v) / len(v) >= mean - p.spread * dev}
-    # The node: from the root down to an article, or as long as one child holds most of the selected text.
-    size: dict = defaultdict(int)
-    children: dict = defaultdict(set)
-    tag: dict = {}
-    total = 0
+    # Selected text of each element, what is in it included: an element comes after the one around it.
+    n = len(tree.tags)
+    size, held = [0] * n, [False] * n
     for b in found:
-        above = 0
-        for node, step in zip(b.nodes, b.path, strict=True):
-            children[above].add(node)
-            tag[node] = step.split(".")[0]
-            if b.path in chosen:
-                size[node] += len(b.text)
-            above = node
-        total += len(b.text) * (b.path in chosen)
+        size[b.node] += len(b.text) * (b.path in chosen)
+        held[b.node] = True
+    for k in range(n - 1, 0, -1):
+        size[tree.above[k]] += size[k]
+        held[tree.above[k]] |= held[k]
+    largest: dict[int, int] = {}
+    for k in range(1, n):
+        if held[k] and (tree.above[k] not in largest or size[k] > size[largest[tree.above[k]]]):
+            largest[tree.above[k]] = k
+    # The node: from the root down to an article, or as long as one child holds most of the selected text.
     node = 0
-    while not node or tag[node] not in ("article", "main"):
-        best = max(children[node], key=lambda c: (size[c], -c), default=None)
-        if best is None or tag[best] in ("p", "li", "td", "h1", "h2", "h3", "pre", "blockquote", "dd", "ul", "ol", "table"):
+    while tree.tags[node] not in ("article", "main"):
+        best = largest.get(node)
+        if best is None or tree.tags[best] in ("p", "li", "td", "h1", "h2", "h3", "pre", "blockquote", "dd", "ul", "ol", "table"):
             break
-        if size[best] < 0.7 * (size[node] if node else total) or not size[best]:
+        if size[best] < 0.7 * size[node] or not size[best]:
             break
         node = best
+    below = [False] * n
+    below[node] = True
+    for k in range(node + 1, n):
+        below[k] = below[tree.above[k]]
     # An article's own blocks all belong to it.
-    if node and tag[node] in ("article", "main"):
-        return " ".join(b.text for b in found if node in b.nodes)
-    root = not node or tag[node] in ("html", "body")
+    if tree.tags[node] in ("article", "main"):
+        return " ".join(b.text for b in found if below[b.node])
+    root = tree.tags[node] in ("", "html", "body")
     plain = [b.link_chars < 0.5 * len(b.text) for b in found]
-    heading = [bool(b.path and re.match(r"h[1-6](?:\.|$)", b.path[-1])) for b in found]
-    within = [not root and node in b.nodes for b in found]
+    heading = [b.tag in HEADINGS for b in found]
+    within = [not root and below[b.node] for b in found]
     sure = [b.path in chosen and (ok or inner or root) or inner and ok for b, ok, inner in zip(found, plain, within, strict=True)]
     at = [k for k, x in enumerate(sure) if x]
     first, last = (at[0], at[-1]) if at else (0, -1)

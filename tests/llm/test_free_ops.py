@@ -164,6 +164,35 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<article><p title="abc>First paragraph.</p><p>Second.</p></article>', "First paragraph. Second."),
+        ('<article><div class="side-effects">Nausea.</div><p class="promo-code">X1</p><div class="ad-slot">Buy</div></article>', "Nausea. X1"),
+        ('<article><p data-x="a>b" class=y>Text</p><a href=/x/>link</a></article>', "Text link"),
+        ("<article><p>End</p><p class", "End"),
+        ("<article><ul><li>a<li><b>b</b><ul><li>c</ul><li>d</ul></article>", "a b c d"),
+    ],
+)
+def test_broken_markup(html, text):
+    assert html_text.main_text(html) == text
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        '<a "' * 200_000, "<div>text " * 50_000, "<b>" * 100_000 + "x" + "</i>" * 100_000, "<p>a" * 100_000 + "</section>" * 100_000,
+        "<a href='x\">" * 60_000, "<li>" * 100_000, "<!--" * 200_000, "<svg><b>" * 30_000, "a < b " * 100_000,
+    ],
+)
+def test_long_broken_pages_take_seconds(html):
+    import time
+
+    began = time.process_time()
+    html_text.main_text(html)
+    assert time.process_time() - began < 20
+
+
 LONG = "A sentence of the text, long enough to count as one. " * 12
 
 
