@@ -30,12 +30,13 @@ from bruit.llm.common import WORD_RE, beside, materialize, pick, piecewise, quan
 @dataclass(frozen=True)
 class MixParams:
     """Budget: ``share`` of all tokens.  Sources by code point, null last, have ``weights`` in turn.
-    A cell is a task of about ``cell_rows`` rows."""
+    A cell is a task of about ``cell_rows`` rows.  Up to ``max_broadcast`` rows (id, copies) go to all tasks."""
 
     weights: tuple[int, ...] = (5, 2, 1)
     share: float = 1.5
     max_repeats: int = 2
     cell_rows: int = 2_000_000
+    max_broadcast: int = 500_000
     seed: str = "mix-1"
 
 
@@ -114,6 +115,7 @@ def filter_documents(docs: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     mix = mix.join(same, mix.doc_id.eqNullSafe(same.doc_id)).select(mix.doc_id, F.col("n").cast("int").alias("n"), "m")
     mix = materialize(mix, "taken")
     own = beside(docs, "doc_id").withColumnRenamed("doc_id", "d")
+    mix = F.broadcast(mix) if mix.count() <= p.max_broadcast else mix
     out = own.join(mix, F.col("d").eqNullSafe(mix.doc_id))
     if not mix.where("m > 1").isEmpty():
         # Rows that share an id share its copies as evenly as can be.

@@ -38,9 +38,10 @@ table gives an empty result; further columns are ignored by ``link`` and kept by
 from __future__ import annotations
 
 import math
+import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -63,6 +64,7 @@ class JoinParams:
     num: int = 80
     den: int = 100
     groups: int = 128
+    fine_groups: int = 2048
     class_ratio: float = 0.65
     page: int = 256
     node: int = 16
@@ -143,14 +145,15 @@ def point(s: np.ndarray, p: JoinParams) -> bytes:
 POINT = "doc_id long, n long, sig1 long, sig2 long, point binary"
 
 
-def points(docs: DataFrame, p: JoinParams) -> DataFrame:
+def points(docs: DataFrame, p: JoinParams, packed: bool = False) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
                 s = shingles(text, p.words)
                 sigs = signed(sum64(mix(s, 1))), signed(sum64(mix(s, 2)))
-                rows.append((doc_id, len(s), *sigs, point(s, p)))
+                at = point(s, p)
+                rows.append((doc_id, len(s), *sigs, zlib.compress(at, 1) if packed else at))
             out = pd.DataFrame(rows, columns=["doc_id", "n", "sig1", "sig2", "point"])
             yield out.astype({"doc_id": "Int64"})
 
@@ -228,14 +231,29 @@ def _only(docs: DataFrame, ids: DataFrame, n: int, how: str, p: JoinParams) -> D
 PAIR = "a long, b long, ca long, cb long"
 
 
-def bounded(pairs: DataFrame, pts: DataFrame, p: JoinParams) -> DataFrame:
+def _slices(batches: Iterator[pd.DataFrame], rows: int = 2000) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for k in range(0, len(b), rows):
+            yield b.iloc[k : k + rows]
+
+
+def finer(pairs: DataFrame, n: int, texts: DataFrame, p: JoinParams) -> DataFrame:
+    """Of ``n`` pairs (a, b, ca, cb) those that a bound over more groups leaves, for which the texts are hashed again.
+
+    Its points, compressed, are a tenth of the sets, so pairs that don't link needn't bring these.
+    """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    fine = points(_only(texts, ids, 2 * n, "left_semi", p), replace(p, groups=p.fine_groups), packed=True)
+    return bounded(pairs, fine, p, packed=True).drop("score")
+
+
+def bounded(pairs: DataFrame, pts: DataFrame, p: JoinParams, packed: bool = False) -> DataFrame:
     """The pairs (a, b, and their components ca, cb) whose summed coordinate minima leave room for the similarity,
     with that bound of it as ``score``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            x = np.frombuffer(b"".join(b["pa"]), np.uint8).reshape(len(b), p.groups)
-            y = np.frombuffer(b"".join(b["pb"]), np.uint8).reshape(len(b), p.groups)
+        for b in _slices(batches):
+            x, y = (np.frombuffer(b"".join(map(zlib.decompress, b[c]) if packed else b[c]), np.uint8).reshape(len(b), -1) for c in ("pa", "pb"))
             over = np.minimum(b["na"] - x.sum(axis=1, dtype=np.int64), b["nb"] - y.sum(axis=1, dtype=np.int64)).to_numpy()
             most, total = np.minimum(x, y).sum(axis=1, dtype=np.int64) + over, (b["na"] + b["nb"]).to_numpy()
             ok = p.enough(most, total)
@@ -265,7 +283,7 @@ def verified(pairs: DataFrame, n: int, texts: DataFrame, p: JoinParams) -> DataF
     return map_pandas(pairs.join(own("a"), "a").join(own("b"), "b"), run, PAIR)
 
 
-FIRST = [f"f{i}" for i in range(8)]
+FIRST = [f"f{i}" for i in range(4)]
 
 
 def _twins(ids, comps, n, pts, first, keys, p: JoinParams, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -431,9 +449,12 @@ def _link(docs: DataFrame, p: JoinParams, own: Steps) -> DataFrame:
     texts = _only(docs.where("doc_id is not null"), gone, gone.count(), "left_anti", p)
 
     members = shared_leaves(texts, p, own)
-    size = own.put("size", members.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("a"), F.max("id").alias("b")))
+    # Leaves with the same members (by number, ends and three hash sums) search the same pairs: one of them is enough.
+    sums = [F.sum(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1 << 30))).alias(f"s{i}") for i in range(3)]
+    size = members.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("a"), F.max("id").alias("b"), *sums)
+    size = own.put("size", size.groupBy("m", "a", "b", "s0", "s1", "s2").agg(F.min("key").alias("key")))
     # Leaves of two have one pair, which is kept; those of more are searched.
-    both = size.where("m = 2 and a <> b").select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")).distinct()
+    both = size.where("m = 2 and a <> b").select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb"))
     pool = own.put("pool", bounded(both, pts, p))
     rest = members.join(size.where("m > 2").select("key"), "key").select("key", "id", F.col("id").alias("comp"))
     rest = own.put("rest", rest)
@@ -442,7 +463,9 @@ def _link(docs: DataFrame, p: JoinParams, own: Steps) -> DataFrame:
     while True:
         best = own.put("best", _best(bounded(_ordered(_leaders(rest, turn)), pts, p).unionByName(pool)))
         tried = best.count()
-        found = own.put(f"found{turn}", verified(best, tried, texts, p))
+        # Most of the first turn's pairs link, most of the later ones don't.
+        near = own.put("fine", finer(best, tried, texts, p)) if turn else best
+        found = own.put(f"found{turn}", verified(near, tried, texts, p))
         links.append(found)
         joined = found.count()
         if joined:
@@ -465,7 +488,9 @@ def _link(docs: DataFrame, p: JoinParams, own: Steps) -> DataFrame:
     open_ = rest.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     rest = own.put("rest", rest.join(open_, "key").select("key", "id", "comp"))
     more = own.put("more", rest_pairs(rest, pts, p).unionByName(pool).distinct())
-    last = own.put("last", verified(more, more.count(), texts, p))
+    n = more.count()
+    more = own.put("fine", finer(more, n, texts, p))
+    last = own.put("last", verified(more, n, texts, p))
     known = comp.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
     edges = copies.unionByName(known).unionByName(last.select("a", "b"))
     comp = components(edges).withColumnRenamed("id", "doc_id")
