@@ -15,8 +15,13 @@ def accepted(clusters: DataFrame, tweets: DataFrame, p: Params) -> DataFrame:
     by = clusters.join(tweets.select("id", "uid"), "id").groupBy("seed_idx", "label")
     by = by.agg(F.count("*").alias("size"), F.countDistinct("uid").alias("users"))
     by = by.where((F.col("size") >= p.min_size) & (F.col("users") >= p.min_users))
-    # One row per event: small against the messages.
-    return by.withColumn("event_id", F.row_number().over(Window.orderBy("seed_idx", "label")) - 1)
+    # Numbers go on from seed to seed: the sums of earlier seeds' events come from a row for each seed, of which
+    # there are at most ``max_seeds``.
+    seeds = by.groupBy("seed_idx").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("seed_idx").rowsBetween(Window.unboundedPreceding, -1))
+    seeds = seeds.select("seed_idx", F.coalesce(before, F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy("seed_idx").orderBy("label"))
+    return by.withColumn("own", own).join(seeds, "seed_idx").withColumn("event_id", F.col("before") + F.col("own") - 1).drop("own", "before")
 
 
 def summarise(clusters: DataFrame, events: DataFrame, tweets: DataFrame) -> DataFrame:

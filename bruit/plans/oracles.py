@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from bruit.operators.votes import SENTIMENTS
 from bruit.sources.views import sql
 
 ORACLES: dict[str, str] = {}
@@ -20,8 +19,8 @@ add("scan_tweets", "SELECT id, time, round(lon, 6) AS lon, round(lat, 6) AS lat,
 add("stream_ingest", "SELECT id, uid, text FROM tweets_v WHERE lon BETWEEN -130 AND -65 AND lat BETWEEN 20 AND 55")
 TOKENS = """
 known AS (SELECT token, list_transform(range(1, 9), lambda k: ((length(token) * k + ascii(token)) % 17) / CAST(17 AS DOUBLE)) AS vector
-          FROM (SELECT DISTINCT unnest(words) AS token FROM words_v) WHERE length(token) % 5 <> 0),
-occur AS (SELECT id, unnest(words) AS token, unnest(range(len(words))) AS pos FROM words_v),
+          FROM (SELECT DISTINCT unnest(words) AS token FROM whole_v) WHERE length(token) % 5 <> 0),
+occur AS (SELECT id, unnest(words) AS token, unnest(range(len(words))) AS pos FROM whole_v),
 vecs AS (SELECT o.id, CAST(o.pos AS INT) AS pos, o.token, coalesce(k.vector, [0.0, 0, 0, 0, 0, 0, 0, 0]) AS v FROM occur o LEFT JOIN known k USING (token))
 """
 add("load_token_vectors", f"SELECT token, {TOTAL.format('vector')} AS total, 8 AS n FROM known", TOKENS)
@@ -36,9 +35,9 @@ add("tagger_batch", "SELECT tweet_id, 'tagger' AS model_id, text FROM (SELECT tw
 
 # --- filters and projections
 add("bbox_filter", "SELECT id, round(lon, 6) AS lon, round(lat, 6) AS lat FROM tweets_v WHERE lon BETWEEN -120 AND -80 AND lat BETWEEN 25 AND 45")
-add("time_slice", "SELECT id, time FROM tweets_v WHERE time >= TIMESTAMP '2024-01-05' AND time < TIMESTAMP '2024-01-12'")
+add("time_slice", "SELECT id, time FROM tweets_v WHERE time >= TIMESTAMP '2024-01-01 12:00:00' AND time < TIMESTAMP '2024-01-02 12:00:00'")
 add("nonempty_words", "SELECT id, len(words) AS n FROM words_v WHERE len(words) > 0")
-add("retention", "SELECT id, time FROM tweets_v WHERE epoch((SELECT max(time) FROM tweets_v)) - epoch(time) < 604800")
+add("retention", "SELECT id, time FROM tweets_v WHERE epoch((SELECT max(time) FROM tweets_v)) - epoch(time) < 86400")
 add("training_set", "SELECT id, crowdflower AS label FROM tweets_v JOIN props_v ON tweet_id = id WHERE random_forest_train AND crowdflower IS NOT NULL")
 add("geo_project", "SELECT id, printf('POINT(%.6f %.6f)', lon, lat) AS wkt, round(lon, 6) AS x, round(lat, 6) AS y FROM tweets_v")
 add("allowed_votes", "SELECT seq, tweet_id, user_ip, property FROM votes_v WHERE tweet_id <> 0 AND user_ip IN ('0.0.0.0', '1.1.1.1', '10.0.0.2', '10.0.0.3', '10.0.0.6')")
@@ -60,7 +59,7 @@ cand AS (SELECT a.id AS a, b.id AS b, a.vector AS va, b.vector AS vb FROM cells
 add("candidate_pairs", "SELECT a, b FROM cand", PAIRS)
 add("seed_candidates", "SELECT seed_idx, id FROM seeds_v CROSS JOIN tweets_v")
 add("token_vectors", "SELECT id, pos, token, round(v[1], 6) AS v0, round(v[8], 6) AS v7 FROM vecs", TOKENS)
-add("vote_upsert", "SELECT tweet_id, user_ip, spam, disaster, event, informative, submit FROM state_v")
+add("vote_upsert", "SELECT * FROM state_v")
 add("props_upsert", """SELECT coalesce(p.tweet_id, c.tweet_id) AS tweet_id, CASE WHEN p.tweet_id IS NOT NULL THEN p.crowdflower ELSE c.given END AS crowdflower,
   c.tweet_id IS NOT NULL OR coalesce(p.random_forest_train, false) AS random_forest_train
 FROM props_v p FULL JOIN (SELECT tweet_id, value AS given FROM (SELECT *, row_number() OVER (PARTITION BY tweet_id ORDER BY seq) AS rn
@@ -71,23 +70,22 @@ add("set_null", "SELECT event_id, CASE WHEN event_type <> 'error' THEN event_typ
 add("rename_source", "SELECT doc_id, CASE WHEN source LIKE '%1' THEN 'feed-' || source ELSE source END AS source FROM documents")
 LATEST = """latest AS (SELECT tweet_id, user_ip, property, value FROM (SELECT *, row_number() OVER
   (PARTITION BY tweet_id, user_ip, property ORDER BY seq DESC) AS rn FROM votes_v) WHERE rn = 1)"""
-SAID = ", ".join(f"('{k}', '{u}', '{d}')" for k, u, d in SENTIMENTS)
-add("vote_descriptions", f"SELECT tweet_id, user_ip, property, CASE WHEN value THEN up WHEN NOT value THEN down END AS description FROM latest JOIN (VALUES {SAID}) s(property, up, down) USING (property)", LATEST)
+add("vote_descriptions", "SELECT tweet_id, user_ip, property, CASE WHEN value THEN property || ': yes' WHEN NOT value THEN property || ': no' END AS description FROM latest", LATEST)
 
 # --- aggregates
 add("high_water", f"SELECT {EPOCH.format('max(time)')} - 1 AS high_water FROM tweets_v")
 add("label_counts", "SELECT crowdflower, count(*) AS n FROM props_v GROUP BY crowdflower")
-TOK = "tok AS (SELECT id, regexp_extract_all(text, '[A-Za-z0-9_]+') AS w FROM tweets_v)"
+TOK = "tok AS (SELECT id, regexp_extract_all(text, '[A-Za-z0-9_]+') AS w FROM texts_v)"
 add("corpus_stats", "SELECT (SELECT count(*) FROM x) AS tokens, (SELECT count(DISTINCT w) FROM x) AS vocabulary, (SELECT max(len(w)) FROM tok) AS longest", TOK + ", x AS (SELECT unnest(w) AS w FROM tok)")
 add("length_histogram", """SELECT CAST(k AS INT) AS bin, round(lo + (hi - lo) * k / 10.0, 6) AS low, round(lo + (hi - lo) * (k + 1) / 10.0, 6) AS high,
   (SELECT count(*) FROM tok WHERE least(floor((len(w) - lo) / ((hi - lo) / CAST(10 AS DOUBLE))), 9) = k) AS n
 FROM (SELECT min(len(w)) AS lo, max(len(w)) AS hi FROM tok) CROSS JOIN (SELECT unnest(range(10)) AS k)""", TOK)
 add("tfidf", """SELECT id, word, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY id)), 6) AS weight
-FROM (SELECT f.id, f.word, f.tf * (ln((1 + (SELECT count(*) FROM tweets_v)) / (1 + CAST(df AS DOUBLE))) + 1) AS raw
+FROM (SELECT f.id, f.word, f.tf * (ln((1 + (SELECT count(*) FROM texts_v)) / (1 + CAST(df AS DOUBLE))) + 1) AS raw
       FROM f JOIN (SELECT word, count(*) AS df FROM f GROUP BY word) USING (word))""",
-    """f AS (SELECT id, word, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_]+')) AS word FROM tweets_v)
+    """f AS (SELECT id, word, count(*) AS tf FROM (SELECT id, unnest(regexp_extract_all(lower(text), '[A-Za-z0-9_]+')) AS word FROM texts_v)
       WHERE length(word) >= 2 GROUP BY id, word)""")
-RATE = """per AS (SELECT *, CAST(floor(epoch(time) / 604800) AS BIGINT) AS period, CAST(floor((lon + CAST(180 AS DOUBLE)) / 2.0::DOUBLE) AS BIGINT) AS x,
+RATE = """per AS (SELECT *, CAST(floor(epoch(time) / 21600) AS BIGINT) AS period, CAST(floor((lon + CAST(180 AS DOUBLE)) / 2.0::DOUBLE) AS BIGINT) AS x,
                CAST(floor((lat + CAST(90 AS DOUBLE)) / 2.0::DOUBLE) AS BIGINT) AS y FROM words_v),
 one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY period, uid ORDER BY time DESC, id DESC) AS rn FROM per) WHERE rn = 1),
 cc AS (SELECT period, x, y, count(*) AS n FROM one GROUP BY ALL),
@@ -130,16 +128,16 @@ add("queue_page", "SELECT id, text FROM tweets_v WHERE id > 20 AND id NOT IN (SE
 # --- scalar functions
 add("clean_words", r"""SELECT doc_id, array_to_string(list_filter(string_split(trim(lower(regexp_replace(regexp_replace(text, '((\B@)|(\bhttps?:\/\/))[^\s]+', ' ', 'g'),
   '[^\w]+', ' ', 'g'))), ' '), lambda w: w <> ''), ' ') AS words FROM documents""")
-add("word_set", "SELECT id, array_to_string(list_sort(list_distinct(words)), ' ') AS words FROM words_v")
+add("word_set", "SELECT id, array_to_string(list_sort(list_distinct(words)), ' ') AS words FROM whole_v")
 from bruit.functions.text import FOLD_FROM, FOLD_TO  # noqa: E402
 
 FOLD = "regexp_replace(translate(replace(replace(replace({}, 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), '" + FOLD_FROM + "', '" + FOLD_TO + r"'), '[^\x00-\x7F]', '', 'g')"
-add("ascii_fold", f"SELECT id, {FOLD.format('text')} AS folded FROM tweets_v")
+add("ascii_fold", f"SELECT id, {FOLD.format('text')} AS folded FROM texts_v")
 add("epoch_roundtrip", f"SELECT id, {EPOCH.format('time')} AS epoch, CAST(time AS TIMESTAMP) AS back FROM tweets_v")
 DIST = "round(greatest(1 - list_dot_product({0}, {1}) / (sqrt(list_dot_product({0}, {0})) * sqrt(list_dot_product({1}, {1}))), 0), 9)"
 add("cosine_distance", f"SELECT t.id, seed_idx, round({DIST.format('t.vector', 's.vector')}, 6) AS dist FROM seeds_v s CROSS JOIN tweets_v t")
 MEANS = ", ".join(f"round(coalesce(avg(v[{k + 1}]), 0), 6) AS v{k}" for k in range(8))
-add("doc_vectors", f"SELECT t.id, {MEANS} FROM tweets_v t LEFT JOIN vecs USING (id) GROUP BY t.id", TOKENS)
+add("doc_vectors", f"SELECT t.id, {MEANS} FROM texts_v t LEFT JOIN vecs USING (id) GROUP BY t.id", TOKENS)
 
 
 # --- density
@@ -199,5 +197,5 @@ add("event_tweets", """SELECT event_id, t.id AS tweet_id, t.time, s.lat, s.lon,
 add("incremental_update", "SELECT id, round(core, 6) AS core FROM core WHERE id % 10 <> 2", graph(0.2, seeded=False).replace("FROM tweets_v t LEFT JOIN (SELECT src", "FROM (SELECT * FROM tweets_v WHERE id % 10 <> 2) t LEFT JOIN (SELECT src").replace("FROM cells a JOIN cells b\n         ON a.id < b.id", "FROM cells a JOIN cells b\n         ON a.id % 10 <> 2 AND b.id % 10 <> 2 AND a.id < b.id"))
 
 # --- streams
-add("stream_word_counts", "SELECT start, x, y, word, count(*) AS n FROM (SELECT CAST(date_trunc('day', time) AS TIMESTAMP) AS start, x, y, unnest(list_distinct(words)) AS word FROM per) GROUP BY ALL", RATE)
-add("stream_scored", f"SELECT id, spam, {HIT} AS disaster FROM words_v LEFT JOIN props_v ON tweet_id = id")
+add("stream_word_counts", "SELECT start, x, y, word, count(*) AS n FROM (SELECT CAST(date_trunc('day', time) AS TIMESTAMP) AS start, x, y, unnest(list_distinct(w.words)) AS word FROM per JOIN whole_v w USING (id)) GROUP BY ALL", RATE)
+add("stream_scored", f"SELECT id, spam, {HIT} AS disaster FROM whole_v LEFT JOIN props_v ON tweet_id = id")

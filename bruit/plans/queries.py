@@ -14,12 +14,13 @@ from bruit.streaming import jobs
 
 P = Params()
 WIDE = density.wide(P)
-#: Rates over a month of test data: weekly periods and cells that hold more than one message.
-RATES = Params(period_seconds=7 * 86400, cell=2.0)
+#: Rates over a few days of test data: periods of six hours and cells that hold more than one message.
+RATES = Params(period_seconds=6 * 3600, cell=2.0)
+RETAINED = Params(recall_seconds=86400)
 ME = "10.0.0.2"
 ALLOWED = ["0.0.0.0", "1.1.1.1", "10.0.0.2", "10.0.0.3", "10.0.0.6"]
 MARKS = ("the", "der", "que", "les")
-DAY_1, DAY_2 = "2024-01-05", "2024-01-12"
+FROM, TO = "2024-01-01 12:00:00", "2024-01-02 12:00:00"
 
 QUERIES: dict = {}
 
@@ -43,17 +44,18 @@ def scan_tweets(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
-    """Messages written as JSON lines, read as a stream within the box, each id once."""
+    """Messages written as JSON lines, twice, read as a stream within the box, each id once."""
     src, out = scratch(spark), scratch(spark)
-    views.tweets(spark, d).drop("vector").withColumn("time", F.col("time").cast("timestamp")).write.json(src)
-    rows = jobs.ingest_json(spark, src, P).withWatermark("time", "60 days").dropDuplicatesWithinWatermark(["id"])
+    lines = views.tweets(spark, d).drop("vector").withColumn("time", F.col("time").cast("timestamp"))
+    lines.unionByName(lines).write.json(src)
+    rows = jobs.deduplicated(jobs.ingest_json(spark, src, P), "60 days")
     jobs.start(rows, jobs.into_folder(out), scratch(spark)).awaitTermination()
     return spark.read.schema(rows.schema).option("recursiveFileLookup", "true").parquet(out).select("id", "uid", "text")
 
 
 @query
 def load_token_vectors(spark: SparkSession, d: str) -> DataFrame:
-    known = labels.synthetic_token_vectors(views.words(spark, d))
+    known = labels.synthetic_token_vectors(views.words(spark, d, whole=True))
     lines = known.select(F.lit(1).alias("at"), F.concat_ws(" ", "token", joined(F.transform("vector", lambda x: x.cast("string")))).alias("value"))
     return labels.parse_token_vectors(lines).select("token", F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.size("vector").alias("n"))
 
@@ -129,7 +131,7 @@ def bbox_filter(spark: SparkSession, d: str) -> DataFrame:
 @query
 def time_slice(spark: SparkSession, d: str) -> DataFrame:
     t = views.tweets(spark, d)
-    lo, hi = F.lit(DAY_1).cast("timestamp_ntz"), F.lit(DAY_2).cast("timestamp_ntz")
+    lo, hi = F.lit(FROM).cast("timestamp_ntz"), F.lit(TO).cast("timestamp_ntz")
     return t.where((F.col("time") >= lo) & (F.col("time") < hi)).select("id", "time").orderBy("time", "id")
 
 
@@ -143,7 +145,7 @@ def retention(spark: SparkSession, d: str) -> DataFrame:
     t = views.tweets(spark, d)
     now = F.broadcast(t.agg(F.max("time").alias("now")))  # one row
     age = F.unix_timestamp(F.col("now").cast("timestamp")) - F.unix_timestamp(F.col("time").cast("timestamp"))
-    return t.crossJoin(now).where(age < P.recall_seconds).select("id", "time")
+    return t.crossJoin(now).where(age < RETAINED.recall_seconds).select("id", "time")
 
 
 @query
@@ -217,7 +219,7 @@ def seed_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def token_vectors(spark: SparkSession, d: str) -> DataFrame:
-    w = views.words(spark, d)
+    w = views.words(spark, d, whole=True)
     v = labels.token_vectors(w, labels.synthetic_token_vectors(w), 8)
     return v.select("id", "pos", "token", F.round(F.col("vector")[0], 6).alias("v0"), F.round(F.col("vector")[7], 6).alias("v7"))
 
@@ -267,7 +269,10 @@ def rename_source(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def vote_descriptions(spark: SparkSession, d: str) -> DataFrame:
-    return votes.describe(views.vote_log(spark, d))
+    log = views.vote_log(spark, d)
+    name = F.col("property")
+    meanings = log.select("property").distinct().select("property", F.concat(name, F.lit(": yes")).alias("up"), F.concat(name, F.lit(": no")).alias("down"))
+    return votes.describe(log, meanings)
 
 
 # --- aggregates ------------------------------------------------------------
@@ -286,17 +291,17 @@ def label_counts(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def corpus_stats(spark: SparkSession, d: str) -> DataFrame:
-    return labels.corpus_stats(views.tweets(spark, d))
+    return labels.corpus_stats(views.texts(spark, d))
 
 
 @query
 def length_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return labels.length_histogram(views.tweets(spark, d))
+    return labels.length_histogram(views.texts(spark, d))
 
 
 @query
 def tfidf(spark: SparkSession, d: str) -> DataFrame:
-    return labels.tfidf(views.tweets(spark, d)).select("id", "word", F.round("weight", 6).alias("weight"))
+    return labels.tfidf(views.texts(spark, d)).select("id", "word", F.round("weight", 6).alias("weight"))
 
 
 @query
@@ -403,7 +408,7 @@ def clean_words(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def word_set(spark: SparkSession, d: str) -> DataFrame:
-    return views.tweets(spark, d).select("id", joined(text.word_set(F.col("text"))).alias("words"))
+    return views.texts(spark, d).select("id", joined(text.word_set(F.col("text"))).alias("words"))
 
 
 @query
@@ -413,7 +418,7 @@ def tokenize(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def ascii_fold(spark: SparkSession, d: str) -> DataFrame:
-    return views.tweets(spark, d).select("id", text.ascii_fold(F.col("text")).alias("folded"))
+    return views.texts(spark, d).select("id", text.ascii_fold(F.col("text")).alias("folded"))
 
 
 @query
@@ -431,7 +436,7 @@ def cosine_distance(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def doc_vectors(spark: SparkSession, d: str) -> DataFrame:
-    w = views.words(spark, d)
+    w = views.words(spark, d, whole=True)
     v = labels.doc_vectors(w, labels.token_vectors(w, labels.synthetic_token_vectors(w), 8), 8)
     return v.select("id", *[F.round(F.col("vector")[k], 6).alias(f"v{k}") for k in range(8)])
 
@@ -569,7 +574,7 @@ def lsa_2d(spark: SparkSession, d: str) -> DataFrame:
 def _message_stream(spark: SparkSession, d: str) -> DataFrame:
     """Events as a stream, with the rest of each message from stored tables."""
     e = jobs.read_table(spark, d, "events").select("event_id", "ts")
-    t = views.tweets(spark, d, whole=True).select(F.col("id"), "lon", "lat", "uid", "text")
+    t = views.tweets(spark, d).select("id", "lon", "lat", "uid").join(views.texts(spark, d), "id")
     return e.join(t, e.event_id == t.id).withColumn("time", F.date_trunc("second", F.col("ts")).cast("timestamp")).drop("event_id", "ts")
 
 

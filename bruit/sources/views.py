@@ -38,6 +38,11 @@ def tweets(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     )
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, text) of the messages, whole."""
+    return tweets(spark, sf_dir, whole=True).select("id", "text")
+
+
 def words(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Messages with their cleaned words in order."""
     return tweets(spark, sf_dir, whole).withColumn("words", clean_words(F.col("text")))
@@ -86,6 +91,10 @@ tweets_v AS (
 words_v AS (
   SELECT *, list_filter(string_split(trim(lower(regexp_replace(regexp_replace(text, '((\B@)|(\bhttps?:\/\/))[^\s]+', ' ', 'g'),
             '[^\w]+', ' ', 'g'))), ' '), lambda w: w <> '') AS words FROM tweets_v),
+texts_v AS (SELECT d.doc_id AS id, d.text FROM documents d JOIN events e ON e.event_id = d.doc_id),
+whole_v AS (
+  SELECT *, list_filter(string_split(trim(lower(regexp_replace(regexp_replace(text, '((\B@)|(\bhttps?:\/\/))[^\s]+', ' ', 'g'),
+            '[^\w]+', ' ', 'g'))), ' '), lambda w: w <> '') AS words FROM texts_v),
 props_v AS (
   SELECT doc_id AS tweet_id, toxic = 1 AS crowdflower, quality = 0 AS spam, doc_id % 3 <> 0 AS random_forest_train,
          doc_id % 7 = 0 AS tagger_train FROM labels),
@@ -101,7 +110,10 @@ state_v AS (
   SELECT tweet_id, user_ip,
          max(value) FILTER (WHERE property = 'spam') AS spam, max(value) FILTER (WHERE property = 'disaster') AS disaster,
          max(value) FILTER (WHERE property = 'event') AS event, max(value) FILTER (WHERE property = 'informative') AS informative,
-         max(value) FILTER (WHERE property = 'submit') AS submit
+         max(value) FILTER (WHERE property = 'submit') AS submit, max(value) FILTER (WHERE property = 'fiction') AS fiction,
+         max(value) FILTER (WHERE property = 'poetry') AS poetry, max(value) FILTER (WHERE property = 'use') AS use,
+         max(value) FILTER (WHERE property = 'personal') AS personal, max(value) FILTER (WHERE property = 'eyewitness') AS eyewitness,
+         max(value) FILTER (WHERE property = 'secondhand') AS secondhand, max(value) FILTER (WHERE property = 'breaking') AS breaking
   FROM (SELECT *, row_number() OVER (PARTITION BY tweet_id, user_ip, property ORDER BY seq DESC) AS rn FROM votes_v) WHERE rn = 1
   GROUP BY tweet_id, user_ip),
 seeds_v AS (SELECT CAST(vec_id AS INT) AS seed_idx, CAST(embedding AS DOUBLE[]) AS vector FROM embeddings WHERE vec_id < 10)
