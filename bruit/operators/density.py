@@ -21,16 +21,30 @@ def seed_node(c: Column) -> Column:
     return (-c - 1).cast("long")
 
 
+def distances(pairs: DataFrame, tweets: DataFrame, p: Params) -> DataFrame:
+    """(a, b, dist) of the pairs (a, b) within epsilon.
+
+    Messages with the same vector stand for one, that of the least id; each pair of different vectors is fetched and
+    compared once, and pairs of messages carry numbers alone.
+    """
+    v = tweets.select("id", "vector")
+    kinds = stored(v.groupBy("vector").agg(F.min("id").alias("rep")))
+    rep = stored(v.join(kinds, "vector").select("id", "rep"))
+    own = lambda c, r: rep.select(F.col("id").alias(c), F.col("rep").alias(r))
+    pairs = pairs.join(own("a", "r1"), "a").join(own("b", "r2"), "b")
+    pairs = stored(pairs.select("a", "b", F.least("r1", "r2").alias("ra"), F.greatest("r1", "r2").alias("rb")))
+    vec = lambda r, c: kinds.select(F.col("rep").alias(r), F.col("vector").alias(c))
+    d = pairs.select("ra", "rb").distinct().join(vec("ra", "va"), "ra").join(vec("rb", "vb"), "rb")
+    d = d.select("ra", "rb", cosine_distance(F.col("va"), F.col("vb")).alias("dist")).where(F.col("dist") <= p.epsilon)
+    return pairs.join(d, ["ra", "rb"]).select("a", "b", "dist")
+
+
 def neighbor_edges(tweets: DataFrame, seeds: DataFrame | None, p: Params) -> DataFrame:
     """(src, dst, dist) in both directions for candidates within epsilon.  Each distance is computed once."""
-    v = tweets.select("id", "vector")
-    pairs = candidates(tweets, p)
-    va = v.select(F.col("id").alias("a"), F.col("vector").alias("va"))
-    vb = v.select(F.col("id").alias("b"), F.col("vector").alias("vb"))
-    near = pairs.join(va, "a").join(vb, "b").select("a", "b", cosine_distance(F.col("va"), F.col("vb")).alias("dist"))
+    near = distances(candidates(tweets, p), tweets, p)
     if seeds is not None:
         known = F.broadcast(seeds.select("seed_idx", F.col("vector").alias("va")))  # bounded by max_seeds
-        s = seed_candidates(tweets, seeds, p).join(known, "seed_idx").join(vb.withColumnRenamed("b", "id"), "id")
+        s = seed_candidates(tweets, seeds, p).join(known, "seed_idx").join(tweets.select("id", F.col("vector").alias("vb")), "id")
         s = s.select(seed_node(F.col("seed_idx")).alias("a"), F.col("id").alias("b"), cosine_distance(F.col("va"), F.col("vb")).alias("dist"))
         near = near.unionByName(s)
     near = near.where(F.col("dist") <= p.epsilon)
@@ -132,14 +146,7 @@ def incremental_update(tweets: DataFrame, expired: DataFrame, new: DataFrame, ed
     old = edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
     active = tweets.join(gone, "id", "left_anti")
     fresh = new.select("id")
-    near = candidates(active, p)
-    first = near.join(fresh.withColumnRenamed("id", "a"), "a", "left_semi")
-    second = near.join(fresh.withColumnRenamed("id", "b"), "b", "left_semi")
-    v = active.select("id", "vector")
-    pairs = first.unionByName(second).distinct()
-    pairs = pairs.join(v.select(F.col("id").alias("a"), F.col("vector").alias("va")), "a")
-    pairs = pairs.join(v.select(F.col("id").alias("b"), F.col("vector").alias("vb")), "b")
-    pairs = pairs.select("a", "b", cosine_distance(F.col("va"), F.col("vb")).alias("dist")).where(F.col("dist") <= p.epsilon)
+    pairs = distances(candidates(active, p, active.join(fresh, "id", "left_semi")), active, p)
     added = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), "dist")
     added = stored(added.unionByName(added.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist")))
     lost = edges.join(gone.withColumnRenamed("id", "dst"), "dst", "left_semi")

@@ -9,8 +9,9 @@ from bruit.functions.geo import with_cell
 from bruit.params import Params
 
 
-def candidates(tweets: DataFrame, p: Params) -> DataFrame:
-    """Pairs (a, b), a < b, whose cells are within reach and whose word sets meet.
+def candidates(tweets: DataFrame, p: Params, new: DataFrame | None = None) -> DataFrame:
+    """Pairs (a, b), a < b, whose cells are within reach and whose word sets meet; with ``new`` (rows of ``tweets``)
+    those alone that have an end in it.
 
     Tiles are one cell wider than the reach, so partners lie in adjacent tiles:
     one side is copied to the nine tiles around it and the join is an equality
@@ -18,17 +19,25 @@ def candidates(tweets: DataFrame, p: Params) -> DataFrame:
     so no distinct is needed.  Vectors stay out of this shuffle.
     """
     r, k = p.reach_cells, p.reach_cells + 1
-    t = with_cell(tweets, p).select("id", "x", "y", F.array_distinct("words").alias("ws"))
-    t = t.withColumns({"tx": F.floor(F.col("x") / k), "ty": F.floor(F.col("y") / k)})
+
+    def tiled(df: DataFrame) -> DataFrame:
+        df = with_cell(df, p).select("id", "x", "y", F.array_distinct("words").alias("ws"))
+        return df.withColumns({"tx": F.floor(F.col("x") / k), "ty": F.floor(F.col("y") / k)})
+
+    t, s = tiled(tweets), tiled(tweets if new is None else new)
     left = t.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("ws").alias("aw"),
                     "tx", "ty", F.explode("ws").alias("word"))
     around = F.array(*[F.struct((F.col("tx") + i).alias("tx"), (F.col("ty") + j).alias("ty")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    right = t.withColumn("tile", F.explode(around)).select(
+    right = s.withColumn("tile", F.explode(around)).select(
         F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("ws").alias("bw"),
         F.col("tile.tx").alias("tx"), F.col("tile.ty").alias("ty"), F.explode("ws").alias("word"))
-    near = (F.col("a") < F.col("b")) & (F.abs(F.col("ax") - F.col("bx")) <= r) & (F.abs(F.col("ay") - F.col("by")) <= r)
+    order = F.col("a") < F.col("b") if new is None else F.col("a") != F.col("b")
+    near = order & (F.abs(F.col("ax") - F.col("bx")) <= r) & (F.abs(F.col("ay") - F.col("by")) <= r)
     least = F.col("word") == F.array_min(F.array_intersect("aw", "bw"))
-    return left.join(right, ["tx", "ty", "word"]).where(near & least).select("a", "b")
+    out = left.join(right, ["tx", "ty", "word"]).where(near & least)
+    if new is None:
+        return out.select("a", "b")
+    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def seed_candidates(tweets: DataFrame, seeds: DataFrame, p: Params) -> DataFrame:
