@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from bruit.functions.vectors import cosine_distance
 from bruit.operators.graph import components
-from bruit.operators.pairs import candidates, seed_candidates
+from bruit.operators.pairs import ALL, HALF, copied, ends, meet, seed_candidates, tiled
 from bruit.operators.store import stored
 from bruit.params import Params
 
@@ -21,27 +21,34 @@ def seed_node(c: Column) -> Column:
     return (-c - 1).cast("long")
 
 
-def distances(pairs: DataFrame, tweets: DataFrame, p: Params) -> DataFrame:
-    """(a, b, dist) of the pairs (a, b) within epsilon.
+def near_pairs(tweets: DataFrame, p: Params, new: DataFrame | None = None) -> DataFrame:
+    """(a, b, dist), a < b, of the candidates within epsilon; with ``new`` (rows of ``tweets``) those with an end in it.
 
-    Messages with the same vector stand for one, that of the least id; each pair of different vectors is fetched and
-    compared once, and pairs of messages carry numbers alone.
+    Messages with the same vector stand for one, that of the least id.  Different vectors that occur in adjacent
+    tiles are compared first, each pair once; only messages of near vectors are joined, and their words looked at.
     """
-    v = tweets.select("id", "vector")
-    kinds = stored(v.groupBy("vector").agg(F.min("id").alias("rep")))
-    rep = stored(v.join(kinds, "vector").select("id", "rep"))
-    own = lambda c, r: rep.select(F.col("id").alias(c), F.col("rep").alias(r))
-    pairs = pairs.join(own("a", "r1"), "a").join(own("b", "r2"), "b")
-    pairs = stored(pairs.select("a", "b", F.least("r1", "r2").alias("ra"), F.greatest("r1", "r2").alias("rb")))
+    kinds = stored(tweets.groupBy("vector").agg(F.min("id").alias("rep")))
+    t = stored(tiled(tweets.join(kinds, "vector"), p, "rep"))
+    s, around = (t, HALF) if new is None else (t.join(new.select("id"), "id", "left_semi"), ALL)
+    at = lambda df, c: df.select("tx", "ty", F.col("rep").alias(c)).distinct()
+    met = at(t, "r1").join(at(copied(s, around), "r2"), ["tx", "ty"])
+    met = met.select(F.least("r1", "r2").alias("ra"), F.greatest("r1", "r2").alias("rb")).distinct()
     vec = lambda r, c: kinds.select(F.col("rep").alias(r), F.col("vector").alias(c))
-    d = pairs.select("ra", "rb").distinct().join(vec("ra", "va"), "ra").join(vec("rb", "vb"), "rb")
+    d = met.join(vec("ra", "va"), "ra").join(vec("rb", "vb"), "rb")
     d = d.select("ra", "rb", cosine_distance(F.col("va"), F.col("vb")).alias("dist")).where(F.col("dist") <= p.epsilon)
-    return pairs.join(d, ["ra", "rb"]).select("a", "b", "dist")
+    d = stored(d)
+    both = d.unionByName(d.where("ra <> rb").select(F.col("rb").alias("ra"), F.col("ra").alias("rb"), "dist"))
+    left = ends(t, "a").join(both.withColumnsRenamed({"ra": "arep", "rb": "brep"}), "arep")
+    right = ends(copied(s, around), "b")
+    out = left.join(right, ["brep", "tx", "ty"])
+    out = out.where(~F.col("home") | (F.col("a") < F.col("b")) if new is None else F.col("a") != F.col("b")).where(meet(p))
+    out = out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "dist")
+    return out if new is None else out.distinct()
 
 
 def neighbor_edges(tweets: DataFrame, seeds: DataFrame | None, p: Params) -> DataFrame:
     """(src, dst, dist) in both directions for candidates within epsilon.  Each distance is computed once."""
-    near = distances(candidates(tweets, p), tweets, p)
+    near = near_pairs(tweets, p)
     if seeds is not None:
         known = F.broadcast(seeds.select("seed_idx", F.col("vector").alias("va")))  # bounded by max_seeds
         s = seed_candidates(tweets, seeds, p).join(known, "seed_idx").join(tweets.select("id", F.col("vector").alias("vb")), "id")
@@ -146,7 +153,7 @@ def incremental_update(tweets: DataFrame, expired: DataFrame, new: DataFrame, ed
     old = edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
     active = tweets.join(gone, "id", "left_anti")
     fresh = new.select("id")
-    pairs = distances(candidates(active, p, active.join(fresh, "id", "left_semi")), active, p)
+    pairs = near_pairs(active, p, fresh)
     added = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), "dist")
     added = stored(added.unionByName(added.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist")))
     lost = edges.join(gone.withColumnRenamed("id", "dst"), "dst", "left_semi")

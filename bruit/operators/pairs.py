@@ -9,34 +9,51 @@ from bruit.functions.geo import with_cell
 from bruit.params import Params
 
 
+#: A tile and the half of its neighbours that meets each unordered pair of adjacent tiles once; all nine tiles.
+HALF = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
+ALL = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+
+
+def tiled(tweets: DataFrame, p: Params, *cols: str) -> DataFrame:
+    """``id``, the cell (x, y), the different words ``ws`` and ``cols``, with the tile (tx, ty), one cell wider than the reach."""
+    k = p.reach_cells + 1
+    df = with_cell(tweets, p).select("id", "x", "y", F.array_distinct("words").alias("ws"), *cols)
+    return df.withColumns({"tx": F.floor(F.col("x") / k), "ty": F.floor(F.col("y") / k)})
+
+
+def copied(df: DataFrame, tiles: list[tuple[int, int]]) -> DataFrame:
+    """``df`` at each of the ``tiles`` around its own; ``home`` marks the copy that stays."""
+    near = F.array(*[F.struct((F.col("tx") - i).alias("tx"), (F.col("ty") - j).alias("ty"), F.lit((i, j) == (0, 0)).alias("home")) for i, j in tiles])
+    return df.withColumn("tile", F.explode(near)).drop("tx", "ty").select("*", "tile.*").drop("tile")
+
+
+def ends(df: DataFrame, c: str) -> DataFrame:
+    """Columns of one end of a pair, but for the tile, under names that begin with ``c``."""
+    return df.withColumnsRenamed({n: c if n == "id" else c + n for n in df.columns if n not in ("tx", "ty", "home")})
+
+
+def meet(p: Params):
+    """Whether the ends of a pair are within reach and share a word."""
+    r = p.reach_cells
+    place = (F.abs(F.col("ax") - F.col("bx")) <= r) & (F.abs(F.col("ay") - F.col("by")) <= r)
+    return place & F.arrays_overlap("aws", "bws")
+
+
 def candidates(tweets: DataFrame, p: Params, new: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b), a < b, whose cells are within reach and whose word sets meet; with ``new`` (rows of ``tweets``)
     those alone that have an end in it.
 
-    Tiles are one cell wider than the reach, so partners lie in adjacent tiles:
-    one side is copied to the nine tiles around it and the join is an equality
-    on tile and word.  Of a pair's shared words only the least one gives a row,
-    so no distinct is needed.  Vectors stay out of this shuffle.
+    Partners lie in the same or adjacent tiles, so the join is an equality on the tile, against copies at half of
+    the tiles around.  Words aren't join keys: whole texts share dozens, so that a join on them gives dozens of rows
+    for each pair that this one gives once.  A tile that holds much is for adaptive execution to split.
     """
-    r, k = p.reach_cells, p.reach_cells + 1
-
-    def tiled(df: DataFrame) -> DataFrame:
-        df = with_cell(df, p).select("id", "x", "y", F.array_distinct("words").alias("ws"))
-        return df.withColumns({"tx": F.floor(F.col("x") / k), "ty": F.floor(F.col("y") / k)})
-
-    t, s = tiled(tweets), tiled(tweets if new is None else new)
-    left = t.select(F.col("id").alias("a"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("ws").alias("aw"),
-                    "tx", "ty", F.explode("ws").alias("word"))
-    around = F.array(*[F.struct((F.col("tx") + i).alias("tx"), (F.col("ty") + j).alias("ty")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    right = s.withColumn("tile", F.explode(around)).select(
-        F.col("id").alias("b"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("ws").alias("bw"),
-        F.col("tile.tx").alias("tx"), F.col("tile.ty").alias("ty"), F.explode("ws").alias("word"))
-    order = F.col("a") < F.col("b") if new is None else F.col("a") != F.col("b")
-    near = order & (F.abs(F.col("ax") - F.col("bx")) <= r) & (F.abs(F.col("ay") - F.col("by")) <= r)
-    least = F.col("word") == F.array_min(F.array_intersect("aw", "bw"))
-    out = left.join(right, ["tx", "ty", "word"]).where(near & least)
+    left = ends(tiled(tweets, p), "a")
     if new is None:
-        return out.select("a", "b")
+        right = ends(copied(tiled(tweets, p), HALF), "b")
+        out = left.join(right, ["tx", "ty"]).where(~F.col("home") | (F.col("a") < F.col("b"))).where(meet(p))
+        return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    right = ends(copied(tiled(new, p), ALL), "b")
+    out = left.join(right, ["tx", "ty"]).where("a <> b").where(meet(p))
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

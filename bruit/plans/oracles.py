@@ -19,8 +19,8 @@ add("scan_tweets", "SELECT id, time, round(lon, 6) AS lon, round(lat, 6) AS lat,
 add("stream_ingest", "SELECT id, uid, text FROM tweets_v WHERE lon BETWEEN -130 AND -65 AND lat BETWEEN 20 AND 55")
 TOKENS = """
 known AS (SELECT token, list_transform(range(1, 9), lambda k: ((length(token) * k + ascii(token)) % 17) / CAST(17 AS DOUBLE)) AS vector
-          FROM (SELECT DISTINCT unnest(words) AS token FROM whole_v) WHERE length(token) % 5 <> 0),
-occur AS (SELECT id, unnest(words) AS token, unnest(range(len(words))) AS pos FROM whole_v),
+          FROM (SELECT DISTINCT unnest(words) AS token FROM words_v) WHERE length(token) % 5 <> 0),
+occur AS (SELECT id, unnest(words) AS token, unnest(range(len(words))) AS pos FROM words_v),
 vecs AS (SELECT o.id, CAST(o.pos AS INT) AS pos, o.token, coalesce(k.vector, [0.0, 0, 0, 0, 0, 0, 0, 0]) AS v FROM occur o LEFT JOIN known k USING (token))
 """
 add("load_token_vectors", f"SELECT token, {TOTAL.format('vector')} AS total, 8 AS n FROM known", TOKENS)
@@ -54,8 +54,9 @@ QUEUE = """queue AS (SELECT t.* FROM tweets_v t JOIN state_v c ON c.tweet_id = t
 add("to_tag_queue", "SELECT id, text FROM queue ORDER BY id DESC LIMIT 20", QUEUE)
 add("to_tag_count", "SELECT count(*) AS n FROM queue", QUEUE)
 PAIRS = CELLS + """,
-cand AS (SELECT a.id AS a, b.id AS b, a.vector AS va, b.vector AS vb FROM cells a JOIN cells b
-         ON a.id < b.id AND abs(a.x - b.x) <= 5 AND abs(a.y - b.y) <= 5 AND list_has_any(a.words, b.words))"""
+sets AS MATERIALIZED (SELECT id, x, y, vector, list_distinct(words) AS ws FROM cells),
+cand AS (SELECT a.id AS a, b.id AS b, a.vector AS va, b.vector AS vb FROM sets a JOIN sets b
+         ON a.id < b.id AND abs(a.x - b.x) <= 5 AND abs(a.y - b.y) <= 5 AND list_has_any(a.ws, b.ws))"""
 add("candidate_pairs", "SELECT a, b FROM cand", PAIRS)
 add("seed_candidates", "SELECT seed_idx, id FROM seeds_v CROSS JOIN tweets_v")
 add("token_vectors", "SELECT id, pos, token, round(v[1], 6) AS v0, round(v[8], 6) AS v7 FROM vecs", TOKENS)
@@ -128,7 +129,7 @@ add("queue_page", "SELECT id, text FROM tweets_v WHERE id > 20 AND id NOT IN (SE
 # --- scalar functions
 add("clean_words", r"""SELECT doc_id, array_to_string(list_filter(string_split(trim(lower(regexp_replace(regexp_replace(text, '((\B@)|(\bhttps?:\/\/))[^\s]+', ' ', 'g'),
   '[^\w]+', ' ', 'g'))), ' '), lambda w: w <> ''), ' ') AS words FROM documents""")
-add("word_set", "SELECT id, array_to_string(list_sort(list_distinct(words)), ' ') AS words FROM whole_v")
+add("word_set", "SELECT id, array_to_string(list_sort(list_distinct(words)), ' ') AS words FROM words_v")
 from bruit.functions.text import FOLD_FROM, FOLD_TO  # noqa: E402
 
 FOLD = "regexp_replace(translate(replace(replace(replace({}, 'ß', 'ss'), 'æ', 'ae'), 'œ', 'oe'), '" + FOLD_FROM + "', '" + FOLD_TO + r"'), '[^\x00-\x7F]', '', 'g')"
@@ -194,8 +195,8 @@ add("event_summary", "SELECT * FROM summ", clustered(0.2))
 add("publish_events", "SELECT * FROM summ", clustered(0.2))
 add("event_tweets", """SELECT event_id, t.id AS tweet_id, t.time, s.lat, s.lon, t.exact, t.text FROM clus JOIN acc USING (seed_idx, label) JOIN summ s USING (event_id)
   JOIN tweets_v t ON t.id = clus.id""", clustered(0.2))
-add("incremental_update", "SELECT id, round(core, 6) AS core FROM core WHERE id % 10 <> 2", graph(0.2, seeded=False).replace("FROM tweets_v t LEFT JOIN (SELECT src", "FROM (SELECT * FROM tweets_v WHERE id % 10 <> 2) t LEFT JOIN (SELECT src").replace("FROM cells a JOIN cells b\n         ON a.id < b.id", "FROM cells a JOIN cells b\n         ON a.id % 10 <> 2 AND b.id % 10 <> 2 AND a.id < b.id"))
+add("incremental_update", "SELECT id, round(core, 6) AS core FROM core WHERE id % 10 <> 2", graph(0.2, seeded=False).replace("FROM tweets_v t LEFT JOIN (SELECT src", "FROM (SELECT * FROM tweets_v WHERE id % 10 <> 2) t LEFT JOIN (SELECT src").replace("FROM sets a JOIN sets b\n         ON a.id < b.id", "FROM sets a JOIN sets b\n         ON a.id % 10 <> 2 AND b.id % 10 <> 2 AND a.id < b.id"))
 
 # --- streams
-add("stream_word_counts", "SELECT start, x, y, word, count(*) AS n FROM (SELECT CAST(date_trunc('day', time) AS TIMESTAMP) AS start, x, y, unnest(list_distinct(w.words)) AS word FROM per JOIN whole_v w USING (id)) GROUP BY ALL", RATE)
-add("stream_scored", f"SELECT id, spam, {HIT} AS disaster FROM whole_v LEFT JOIN props_v ON tweet_id = id")
+add("stream_word_counts", "SELECT start, x, y, word, count(*) AS n FROM (SELECT CAST(date_trunc('day', time) AS TIMESTAMP) AS start, x, y, unnest(list_distinct(words)) AS word FROM per) GROUP BY ALL", RATE)
+add("stream_scored", f"SELECT id, spam, {HIT} AS disaster FROM words_v LEFT JOIN props_v ON tweet_id = id")

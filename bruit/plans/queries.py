@@ -55,7 +55,7 @@ def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def load_token_vectors(spark: SparkSession, d: str) -> DataFrame:
-    known = labels.synthetic_token_vectors(views.words(spark, d, whole=True))
+    known = labels.synthetic_token_vectors(views.words(spark, d))
     lines = known.select(F.lit(1).alias("at"), F.concat_ws(" ", "token", joined(F.transform("vector", lambda x: x.cast("string")))).alias("value"))
     return labels.parse_token_vectors(lines).select("token", F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.size("vector").alias("n"))
 
@@ -219,14 +219,14 @@ def seed_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def token_vectors(spark: SparkSession, d: str) -> DataFrame:
-    w = views.words(spark, d, whole=True)
+    w = views.words(spark, d)
     v = labels.token_vectors(w, labels.synthetic_token_vectors(w), 8)
     return v.select("id", "pos", "token", F.round(F.col("vector")[0], 6).alias("v0"), F.round(F.col("vector")[7], 6).alias("v7"))
 
 
 @query
 def token_vectors_random(spark: SparkSession, d: str) -> DataFrame:
-    w = views.words(spark, d, whole=True)
+    w = views.words(spark, d)
     return labels.token_vectors(w, labels.synthetic_token_vectors(w), 8, "random").select("id", "pos", "token", "vector")
 
 
@@ -413,7 +413,7 @@ def word_set(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def tokenize(spark: SparkSession, d: str) -> DataFrame:
-    return views.tweets(spark, d, whole=True).select("id", joined(text.tokenize(F.col("text"))).alias("tokens"))
+    return views.tweets(spark, d).select("id", joined(text.tokenize(F.col("text"))).alias("tokens"))
 
 
 @query
@@ -436,7 +436,7 @@ def cosine_distance(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def doc_vectors(spark: SparkSession, d: str) -> DataFrame:
-    w = views.words(spark, d, whole=True)
+    w = views.words(spark, d)
     v = labels.doc_vectors(w, labels.token_vectors(w, labels.synthetic_token_vectors(w), 8), 8)
     return v.select("id", *[F.round(F.col("vector")[k], 6).alias(f"v{k}") for k in range(8)])
 
@@ -543,7 +543,7 @@ def incremental_update(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def pipeline_score(spark: SparkSession, d: str) -> DataFrame:
-    t = views.tweets(spark, d, whole=True)
+    t = views.tweets(spark, d)
     training = labels.training_set(t, views.properties(spark, d), "random_forest", "spam")
     model = ml.train_or_load(["tokenizer", "tfidf", "random_forest"], training, scratch(spark))
     return ml.score(model, t)
@@ -551,7 +551,7 @@ def pipeline_score(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def rf_train_score(spark: SparkSession, d: str) -> DataFrame:
-    w = stored(views.words(spark, d, whole=True))
+    w = stored(views.words(spark, d))
     v = stored(labels.doc_vectors(w, labels.token_vectors(w, labels.synthetic_token_vectors(w), 8), 8))
     known = labels.training_set(w, views.properties(spark, d), "random_forest", "spam").select("id", "label")
     return ml.array_forest_scores(v, known)
@@ -559,13 +559,13 @@ def rf_train_score(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def w2v_docs(spark: SparkSession, d: str) -> DataFrame:
-    t = stored(views.tweets(spark, d, whole=True).select("id", text.tokenize(F.col("text")).alias("tokens")))
+    t = stored(views.tweets(spark, d).select("id", text.tokenize(F.col("text")).alias("tokens")))
     return ml.document_vectors(t)
 
 
 @query
 def lsa_2d(spark: SparkSession, d: str) -> DataFrame:
-    return ml.lsa(stored(views.tweets(spark, d, whole=True).select("id", "vector")))
+    return ml.lsa(views.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector")))
 
 
 # --- streams ---------------------------------------------------------------

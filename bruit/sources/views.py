@@ -12,20 +12,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tweets(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Messages: id, time, lon, lat, exact, uid, text, vector.
+def _next_id(df: DataFrame, c: str) -> DataFrame:
+    """One row: the number after the largest id."""
+    return F.broadcast(df.agg((F.max(c) + 1).alias("next_id")))
 
-    As in the SQL below, texts end after 280 characters and 50 vectors repeat; ``whole`` takes all of both.
+
+def tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages: id, time, lon, lat, exact, uid, text (whole), vector.
+
+    A tenth as many vectors as messages, in turn: they grow with the table, and ten messages say the same.
     """
     d, e, v = (table(spark, sf_dir, t) for t in ("documents", "events", "embeddings"))
-    joined = d.join(e, e.event_id == d.doc_id)
-    if whole:
-        n = table(spark, sf_dir, "embeddings").agg((F.max("vec_id") + 1).alias("n_vectors"))
-        n = F.broadcast(n)  # one row
-        joined = joined.crossJoin(n).join(v, v.vec_id == d.doc_id % F.col("n_vectors"))
-    else:
-        v = v.where("vec_id < 50")  # at most 50 rows, so the join with them broadcasts
-        joined = joined.join(F.broadcast(v), v.vec_id == d.doc_id % 50)
+    n_vectors = _next_id(table(spark, sf_dir, "embeddings"), "vec_id").withColumnRenamed("next_id", "n_vectors")
+    n = _next_id(table(spark, sf_dir, "documents"), "doc_id").crossJoin(n_vectors).select(F.least(F.expr("(next_id + 9) div 10"), "n_vectors").alias("kinds"))
+    joined = d.join(e, e.event_id == d.doc_id).crossJoin(F.broadcast(n)).join(v, v.vec_id == d.doc_id % F.col("kinds"))
     return joined.select(
         d.doc_id.alias("id"),
         F.date_trunc("second", e.ts).cast("timestamp_ntz").alias("time"),
@@ -33,19 +33,19 @@ def tweets(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
         (F.lit(20.0) + v.label * F.lit(3.5) + (d.doc_id * 104729 % 100) / F.lit(50.0)).alias("lat"),
         (e.event_type != "error").alias("exact"),
         e.user_id.alias("uid"),
-        (d.text if whole else F.substring(d.text, 1, 280)).alias("text"),
+        d.text,
         v.embedding.cast("array<double>").alias("vector"),
     )
 
 
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, text) of the messages, whole."""
-    return tweets(spark, sf_dir, whole=True).select("id", "text")
+    """(id, text) of the messages."""
+    return tweets(spark, sf_dir).select("id", "text")
 
 
-def words(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages with their cleaned words in order."""
-    return tweets(spark, sf_dir, whole).withColumn("words", clean_words(F.col("text")))
+    return tweets(spark, sf_dir).withColumn("words", clean_words(F.col("text")))
 
 
 def properties(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,8 +59,8 @@ def properties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vote_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Change log of votes: seq, tweet_id, user_ip, property, value (null is a value)."""
-    e = table(spark, sf_dir, "events")
+    """Change log of votes, over all messages in turn: seq, tweet_id, user_ip, property, value (null is a value)."""
+    e = table(spark, sf_dir, "events").crossJoin(_next_id(table(spark, sf_dir, "documents"), "doc_id"))
     u = F.col("user_id")
     kinds = {"click": "spam", "error": "disaster", "purchase": "event", "signup": "informative"}
     prop = F.lit("submit")
@@ -69,7 +69,7 @@ def vote_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     ip = F.when(u % 4 == 0, "0.0.0.0").when(u % 4 == 1, "1.1.1.1")
     return e.select(
         F.col("event_id").alias("seq"),
-        (F.col("event_id") % 200).alias("tweet_id"),
+        (F.col("event_id") % F.col("next_id")).alias("tweet_id"),
         ip.otherwise(F.concat(F.lit("10.0.0."), (u % 16).cast("string"))).alias("user_ip"),
         prop.alias("property"),
         F.when(F.col("event_id") % 11 != 0, F.col("value") > 50).alias("value"),
@@ -86,20 +86,18 @@ tweets_v AS (
   SELECT d.doc_id AS id, CAST(date_trunc('second', e.ts) AS TIMESTAMP) AS time,
          CAST(-130 AS DOUBLE) + v.label * CAST(6.5 AS DOUBLE) + ((d.doc_id * 7919) % 100) / CAST(50 AS DOUBLE) AS lon,
          CAST(20 AS DOUBLE) + v.label * CAST(3.5 AS DOUBLE) + ((d.doc_id * 104729) % 100) / CAST(50 AS DOUBLE) AS lat,
-         e.event_type <> 'error' AS exact, e.user_id AS uid, left(d.text, 280) AS text, CAST(v.embedding AS DOUBLE[]) AS vector
-  FROM documents d JOIN events e ON e.event_id = d.doc_id JOIN embeddings v ON v.vec_id = d.doc_id % 50),
+         e.event_type <> 'error' AS exact, e.user_id AS uid, d.text, CAST(v.embedding AS DOUBLE[]) AS vector
+  FROM documents d JOIN events e ON e.event_id = d.doc_id JOIN embeddings v ON v.vec_id = d.doc_id %
+         least((SELECT max(doc_id) + 10 FROM documents) // 10, (SELECT max(vec_id) + 1 FROM embeddings))),
 words_v AS (
   SELECT *, list_filter(string_split(trim(lower(regexp_replace(regexp_replace(text, '((\B@)|(\bhttps?:\/\/))[^\s]+', ' ', 'g'),
             '[^\w]+', ' ', 'g'))), ' '), lambda w: w <> '') AS words FROM tweets_v),
 texts_v AS (SELECT d.doc_id AS id, d.text FROM documents d JOIN events e ON e.event_id = d.doc_id),
-whole_v AS (
-  SELECT *, list_filter(string_split(trim(lower(regexp_replace(regexp_replace(text, '((\B@)|(\bhttps?:\/\/))[^\s]+', ' ', 'g'),
-            '[^\w]+', ' ', 'g'))), ' '), lambda w: w <> '') AS words FROM texts_v),
 props_v AS (
   SELECT doc_id AS tweet_id, toxic = 1 AS crowdflower, quality = 0 AS spam, doc_id % 3 <> 0 AS random_forest_train,
          doc_id % 7 = 0 AS tagger_train FROM labels),
 votes_v AS (
-  SELECT event_id AS seq, event_id % 200 AS tweet_id,
+  SELECT event_id AS seq, event_id % (SELECT max(doc_id) + 1 FROM documents) AS tweet_id,
          CASE WHEN user_id % 4 = 0 THEN '0.0.0.0' WHEN user_id % 4 = 1 THEN '1.1.1.1'
               ELSE concat('10.0.0.', CAST(user_id % 16 AS VARCHAR)) END AS user_ip,
          CASE event_type WHEN 'click' THEN 'spam' WHEN 'error' THEN 'disaster' WHEN 'purchase' THEN 'event'
