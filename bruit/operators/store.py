@@ -19,6 +19,11 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/step-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once and read back: later plans start from the files."""
     path = scratch(df.sparkSession)

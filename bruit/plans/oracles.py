@@ -200,3 +200,5 @@ add("incremental_update", "SELECT id, round(core, 6) AS core FROM core WHERE id
 # --- streams
 add("stream_word_counts", "SELECT start, x, y, word, count(*) AS n FROM (SELECT CAST(date_trunc('day', time) AS TIMESTAMP) AS start, x, y, unnest(list_distinct(words)) AS word FROM per) GROUP BY ALL", RATE)
 add("stream_scored", f"SELECT id, spam, {HIT} AS disaster FROM words_v LEFT JOIN props_v ON tweet_id = id")
+RECENTLY = "tweets_v AS (SELECT * FROM every_v WHERE epoch((SELECT max(time) FROM every_v)) - epoch(time) < 172800),\nwords_v AS ("
+ORACLES["stream_events"] = ORACLES["event_summary"].replace("tweets_v AS (", "every_v AS (", 1).replace("words_v AS (", RECENTLY, 1)

@@ -17,6 +17,7 @@ WIDE = density.wide(P)
 #: Rates over a few days of test data: periods of six hours and cells that hold more than one message.
 RATES = Params(period_seconds=6 * 3600, cell=2.0)
 RETAINED = Params(recall_seconds=86400)
+TWO_DAYS = Params(recall_seconds=2 * 86400)
 ME = "10.0.0.2"
 ALLOWED = ["0.0.0.0", "1.1.1.1", "10.0.0.2", "10.0.0.3", "10.0.0.6"]
 MARKS = ("the", "der", "que", "les")
@@ -593,3 +594,24 @@ def stream_scored(spark: SparkSession, d: str) -> DataFrame:
     rows = jobs.scored(_message_stream(spark, d), views.properties(spark, d), lambda df: df.select("id", "spam", hit.alias("disaster")))
     jobs.start(rows, jobs.into_folder(out), scratch(spark)).awaitTermination()
     return spark.read.schema(rows.schema).option("recursiveFileLookup", "true").parquet(out)
+
+
+@query
+def stream_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events of the last two days, found anew with each micro-batch."""
+    target = scratch(spark)
+    e = jobs.read_table(spark, d, "events").select("event_id", "ts")
+    t = views.words(spark, d).select("id", "lon", "lat", "uid", "words", "vector")
+    rows = e.join(t, e.event_id == t.id).withColumn("time", F.date_trunc("second", F.col("ts")).cast("timestamp_ntz")).drop("event_id", "ts")
+    jobs.start(rows, jobs.reclustered(scratch(spark), target, views.seeds(spark, d), TWO_DAYS), scratch(spark)).awaitTermination()
+    return events.current(spark, target)
+
+
+@query
+def stream_model_votes(spark: SparkSession, d: str) -> DataFrame:
+    """Votes of a forest that is trained by the stream, anew when it is older than 30 seconds."""
+    out, base = scratch(spark), scratch(spark)
+    training = labels.training_set(views.tweets(spark, d), views.properties(spark, d), "random_forest", "spam")
+    make = lambda path: ml.train_or_load(["tokenizer", "tfidf", "random_forest"], training, path)
+    jobs.start(_message_stream(spark, d), jobs.voting(spark, base, out, make, 30.0), scratch(spark)).awaitTermination()
+    return jobs.voted(spark, out)
