@@ -95,7 +95,7 @@ class Pieces:
     def pair(self, a: int, b: int) -> bool:
         key = a << 20 | b
         if (v := self._pairs.get(key)) is None:
-            if len(self._pairs) > 2_000_000:
+            if len(self._pairs) > 500_000:
                 self._pairs.clear()
             x, y = self.text[a], self.text[b]
             v = self._pairs[key] = self.stable(y) and self.merge(x + y) == [x, y]
@@ -199,11 +199,12 @@ def _load(model: str) -> tuple[Pieces, ChunkCache]:
             return out
 
         def many(chunks: list[str]) -> list[bytes]:
-            if len(known) > 500_000:
+            if len(known) > 150_000:
                 known.clear()
             return [b"".join([known.get(x) or part(x) for x in p.parts(c)]) for c in chunks]
 
-        _loaded[model] = p, ChunkCache(many)
+        # About 200 bytes a chunk or part; a worker shares its executor with the JVM and other workers.
+        _loaded[model] = p, ChunkCache(many, limit=300_000)
     return _loaded[model]
 
 

@@ -10,9 +10,10 @@ class ChunkCache(dict):
     """chunk -> encoded bytes.
 
     The unknown chunks of a group of texts are encoded together by
-    ``encode_many``.  The memo starts anew when it holds ``limit`` chunks, and
-    chunks over ``max_chars`` aren't kept, so its memory is bounded whatever
-    the texts.
+    ``encode_many``.  When the memo would hold more than ``limit`` chunks, it
+    starts anew with those of the group at hand, among which are the frequent
+    ones; chunks over ``max_chars`` aren't kept.  So its memory is bounded by
+    ``limit`` and one group, whatever the texts.
     """
 
     def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = 800_000, max_chars: int = 64):
@@ -24,8 +25,9 @@ class ChunkCache(dict):
         have = set(chain.from_iterable(texts))
         new = [c for c in have if c not in self]
         if len(self) + len(new) > self.limit:
+            kept = {c: self[c] for c in have if c in self}
             self.clear()
-            new = list(have)
+            self.update(kept)
         if new:
             self.update(zip(new, self.encode_many(new), strict=True))
         long = [c for c in new if len(c) > self.max_chars]
