@@ -340,3 +340,14 @@ def test_pipeline(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} <= set(ids(three))
     assert all(r.round_trip for r in out)
+
+
+def test_memo_starts_anew_with_the_group_at_hand():
+    from bruit.llm.words_cache import ChunkCache
+
+    asked = []
+    memo = ChunkCache(lambda new: asked.append(sorted(new)) or [c.encode() for c in new], limit=4, max_chars=3)
+    assert memo.encode_texts([["a", "b"], ["a", "c"]]) == [b"ab", b"ac"]
+    assert memo.encode_texts([["a", "d", "e"], [], ["long!"]]) == [b"ade", b"", b"long!"]
+    assert sorted(memo) == ["a", "d", "e"]
+    assert asked == [["a", "b", "c"], ["d", "e", "long!"]]
