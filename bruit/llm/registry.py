@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bruit.llm.conversation_repair import op11_conversation_repair
 from bruit.llm.html_text import op7_html_extract
 from bruit.llm.huffman import op5_huffman_tokens
 from bruit.llm.line_dedup import OP3_SQL, op3_line_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_media_png": op9_media_png,
     "op10_quality_rules": op10_quality_rules,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 ORACLES = {
