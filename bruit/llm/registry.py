@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from bruit.llm.centroids import OP13_SQL, op13_centroid_clustering
 from bruit.llm.conversation_repair import op11_conversation_repair
 from bruit.llm.html_text import op7_html_extract
 from bruit.llm.huffman import op5_huffman_tokens
+from bruit.llm.language_id import op12_language_id
 from bruit.llm.line_dedup import OP3_SQL, op3_line_dedup
 from bruit.llm.media import op9_media_png
 from bruit.llm.mixing import OP6_SQL, op6_source_mix
@@ -26,10 +28,13 @@ QUERIES = {
     "op9_media_png": op9_media_png,
     "op10_quality_rules": op10_quality_rules,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_language_id": op12_language_id,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
 ORACLES = {
     "op3_line_dedup": OP3_SQL,
     "op6_source_mix": OP6_SQL,
     "op8_ngram_jaccard": OP8_SQL,
+    "op13_centroid_clustering": OP13_SQL,
 }
