@@ -1,12 +1,14 @@
 """Centroid clustering whose comparisons are filtered by n-simplex projection (operator 13).
 
-Some starting centroids serve as pivots.  A vector's distances to n pivots, which
-are taken once and kept, become the apex of a simplex over them: n - 1 coordinates
+Centroids of an earlier round serve as pivots.  A vector's distances to n pivots, which
+are taken once and kept over rounds, become the apex of a simplex over them: n - 1 coordinates
 in the pivots' own space and an altitude over it.  For two apexes the distance with
 altitudes on the same side is a lower bound of the true one, on opposite sides an
 upper bound.  In each round the centroids' apexes are taken from their distances
 to the pivots; a centroid whose lower bound exceeds the least upper bound can't
-be the nearest, and the rest are compared by exact integers.  Bounds are widened
+be the nearest, and the rest are compared by exact integers.  The nearer centroids are to
+the pivots' space, the closer are the bounds, so pivots are renewed in the rounds of
+``renew``, while centroids still move far.  Bounds are widened
 by a millionth of the squares that they are made of, far above the rounding of
 doubles; pivots that lie nearly in the space of the others are left out.
 
@@ -46,6 +48,7 @@ class CentroidParams:
     size: int = 64
     scale: int = 1024
     pivots: int = 8
+    renew: tuple[int, ...] = (0, 2, 5)
 
 
 SMALL = 1 << 27  # squares of differences of smaller integers, summed over 64 components, fit a long
@@ -144,26 +147,35 @@ def starts(kept: DataFrame, p: CentroidParams) -> list[list[int]]:
     return [[whole(v, p.scale) for v in r.x] for r in rows]
 
 
-def _stored(kept: DataFrame, simplex: Simplex, p: CentroidParams) -> DataFrame:
-    """(vec_id, q, apex, big): the integers, as text in ``big`` where they are long."""
+def _integers(kept: DataFrame, p: CentroidParams) -> DataFrame:
+    """(vec_id, q, big): the integers, as text in ``big`` where they are long."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = np.array(b["x"].tolist(), np.float64).reshape(-1, p.size)
             small = (np.abs(x) < SMALL / p.scale).all(axis=1)
-            q = np.floor(p.scale * x[small]).astype(np.int64)
-            out = pd.DataFrame({"vec_id": b["vec_id"], "q": None, "apex": None, "big": None}, dtype=object)
-            at = np.flatnonzero(small)
-            usable = all(abs(v) <= SMALL for s in simplex.pivots for v in s)
-            apex = simplex.project(q) if usable and len(q) else np.zeros((len(q), 1))
-            q_col, apex_col, big = [None] * len(b), [None] * len(b), [None] * len(b)
-            for i, k in enumerate(at):
-                q_col[k], apex_col[k] = q[i].astype(np.int32), apex[i]
-            for k in np.flatnonzero(~small):
-                big[k] = [str(whole(v, p.scale)) for v in x[k]]
-            yield out.assign(vec_id=b["vec_id"], q=q_col, apex=apex_col, big=big)
+            q = [np.floor(p.scale * v).astype(np.int32) if s else None for v, s in zip(x, small, strict=True)]
+            big = [None if s else [str(whole(c, p.scale)) for c in v] for v, s in zip(x, small, strict=True)]
+            yield pd.DataFrame({"vec_id": b["vec_id"], "q": q, "big": big})
 
-    return map_pandas(kept, run, "vec_id long, q array<int>, apex array<double>, big array<string>")
+    return map_pandas(kept, run, "vec_id long, q array<int>, big array<string>")
+
+
+def _cached(vectors: DataFrame, simplex: Simplex) -> DataFrame:
+    """``vectors`` with the apexes that their distances to the pivots make; none for long integers."""
+    usable = all(abs(v) <= SMALL for s in simplex.pivots for v in s)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            apex, small = [None] * len(b), np.flatnonzero(b["q"].notna())
+            if len(small):
+                q = np.stack(b["q"].iloc[small].tolist()).astype(np.int64)
+                found = simplex.project(q) if usable else np.zeros((len(q), 1))
+                for k, a in zip(small, found, strict=True):
+                    apex[k] = a
+            yield b.assign(apex=apex)
+
+    return map_pandas(vectors, run, "vec_id long, q array<int>, big array<string>, apex array<double>")
 
 
 def _groups(b: pd.DataFrame, centers: Centers) -> Iterator[tuple[pd.Series, object, np.ndarray, list[int]]]:
@@ -223,19 +235,22 @@ def cluster(embeddings: DataFrame, p: CentroidParams = CentroidParams()) -> tupl
     schema = "vec_id long, cluster int, distance long"
     if not points:
         return spark.createDataFrame([], schema), []
-    simplex = Simplex(points, p.pivots)
     with steps(spark) as own:
-        vectors = own.put("vectors", _stored(kept, simplex, p))
-        for _ in range(p.rounds):
-            points = _moved(points, _sums(vectors, Centers(points, simplex), p), p)
-        last = Centers(points, simplex)
+        vectors = own.put("integers", _integers(kept, p))
+        for n in range(p.rounds + 1):
+            if n in p.renew:
+                simplex = Simplex(points, p.pivots)
+                cached = own.put("apexes", _cached(vectors, simplex))
+            last = Centers(points, simplex)
+            if n < p.rounds:
+                points = _moved(points, _sums(cached, last, p), p)
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 for rows, _, near, found in _groups(b, last):
                     yield pd.DataFrame({"vec_id": rows["vec_id"], "cluster": near, "distance": [min(d, MOST) for d in found]})
 
-        return materialize(map_pandas(vectors, run, schema), "clusters"), points
+        return materialize(map_pandas(cached, run, schema), "clusters"), points
 
 
 def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
