@@ -48,7 +48,7 @@ class LangParams:
     """``order``: longest context in bytes (at most 6); ``cells``: bound of the model; ``slice_bytes``: text looked up at once."""
 
     order: int = 4
-    cells: int = 1 << 22
+    cells: int = 1 << 21
     max_langs: int = 200
     slice_bytes: int = 1 << 20
     folds: int = 3
@@ -146,8 +146,8 @@ def nodes(docs: DataFrame, p: LangParams) -> Nodes:
         if have[r.at] <= room:
             floors[r.at] = r.step
     kept = F.broadcast(spark.createDataFrame(list(floors.items()), "at int, floor int"))
-    rows = every.join(kept, "at").where("step >= floor or length = 1").select("at", "length", "gram", "n").toPandas()
-    return Nodes(langs, *[rows[c].to_numpy(np.int64) for c in ("at", "length", "gram", "n")])
+    rows = every.join(kept, "at").where("step >= floor or length = 1").select(F.col("at").cast("short").alias("at"), F.col("length").cast("short").alias("length"), "gram", "n").toArrow()
+    return Nodes(langs, *[rows.column(c).to_numpy() for c in ("at", "length", "gram", "n")])
 
 
 class Lookup:
