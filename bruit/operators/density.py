@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bruit.functions.vectors import cosine_distance
+from bruit.operators import near
 from bruit.operators.graph import components
-from bruit.operators.pairs import ALL, HALF, copied, ends, meet, seed_candidates, tiled
+from bruit.operators.pairs import seed_candidates, tiled
 from bruit.operators.store import stored
 from bruit.params import Params
 
@@ -22,41 +23,21 @@ def seed_node(c: Column) -> Column:
 
 
 def near_pairs(tweets: DataFrame, p: Params, new: DataFrame | None = None) -> DataFrame:
-    """(a, b, dist), a < b, of the candidates within epsilon; with ``new`` (rows of ``tweets``) those with an end in it.
-
-    Messages with the same vector stand for one, that of the least id.  Different vectors that occur in adjacent
-    tiles are compared first, each pair once; only messages of near vectors are joined, and their words looked at.
-    """
-    kinds = stored(tweets.groupBy("vector").agg(F.min("id").alias("rep")))
-    t = stored(tiled(tweets.join(kinds, "vector"), p, "rep"))
-    s, around = (t, HALF) if new is None else (t.join(new.select("id"), "id", "left_semi"), ALL)
-    at = lambda df, c: df.select("tx", "ty", F.col("rep").alias(c)).distinct()
-    met = at(t, "r1").join(at(copied(s, around), "r2"), ["tx", "ty"])
-    met = met.select(F.least("r1", "r2").alias("ra"), F.greatest("r1", "r2").alias("rb")).distinct()
-    vec = lambda r, c: kinds.select(F.col("rep").alias(r), F.col("vector").alias(c))
-    d = met.join(vec("ra", "va"), "ra").join(vec("rb", "vb"), "rb")
-    d = d.select("ra", "rb", cosine_distance(F.col("va"), F.col("vb")).alias("dist")).where(F.col("dist") <= p.epsilon)
-    d = stored(d)
-    both = d.unionByName(d.where("ra <> rb").select(F.col("rb").alias("ra"), F.col("ra").alias("rb"), "dist"))
-    left = ends(t, "a").join(both.withColumnsRenamed({"ra": "arep", "rb": "brep"}), "arep")
-    right = ends(copied(s, around), "b")
-    out = left.join(right, ["brep", "tx", "ty"])
-    out = out.where(~F.col("home") | (F.col("a") < F.col("b")) if new is None else F.col("a") != F.col("b")).where(meet(p))
-    out = out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "dist")
-    return out if new is None else out.distinct()
+    """(a, b, dist), a < b, of the candidates within epsilon; with ``new`` (rows of ``tweets``) those with an end in it."""
+    rows = tiled(tweets, p, "vector")
+    return near.near_pairs(rows, p, None if new is None else rows.join(new.select("id"), "id", "left_semi"))
 
 
 def neighbor_edges(tweets: DataFrame, seeds: DataFrame | None, p: Params) -> DataFrame:
     """(src, dst, dist) in both directions for candidates within epsilon.  Each distance is computed once."""
-    near = near_pairs(tweets, p)
+    found = near_pairs(tweets, p)
     if seeds is not None:
         known = F.broadcast(seeds.select("seed_idx", F.col("vector").alias("va")))  # bounded by max_seeds
         s = seed_candidates(tweets, seeds, p).join(known, "seed_idx").join(tweets.select("id", F.col("vector").alias("vb")), "id")
         s = s.select(seed_node(F.col("seed_idx")).alias("a"), F.col("id").alias("b"), cosine_distance(F.col("va"), F.col("vb")).alias("dist"))
-        near = near.unionByName(s)
-    near = near.where(F.col("dist") <= p.epsilon)
-    back = near.select(F.col("b").alias("src"), F.col("a").alias("dst"), "dist")
-    return near.select(F.col("a").alias("src"), F.col("b").alias("dst"), "dist").unionByName(back)
+        found = found.unionByName(s.where(F.col("dist") <= p.epsilon))
+    ways = F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))
+    return found.select(F.explode(ways).alias("e"), "dist").select("e.src", "e.dst", "dist")
 
 
 def core_distance(tweets: DataFrame, edges: DataFrame, p: Params) -> DataFrame:

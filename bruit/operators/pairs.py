@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bruit.functions.geo import with_cell
+from bruit.operators.blocks import block_pairs, blocked, integers, meet_blocks, pairs_of, sharing, within
 from bruit.params import Params
 
 
-#: A tile and the half of its neighbours that meets each unordered pair of adjacent tiles once; all nine tiles.
-HALF = [(0, 0), (0, 1), (1, -1), (1, 0), (1, 1)]
-ALL = [(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-
-
 def tiled(tweets: DataFrame, p: Params, *cols: str) -> DataFrame:
     """``id``, the cell (x, y), the different words ``ws`` and ``cols``, with the tile (tx, ty), one cell wider than the reach."""
     k = p.reach_cells + 1
@@ -21,40 +19,36 @@ def tiled(tweets: DataFrame, p: Params, *cols: str) -> DataFrame:
     return df.withColumns({"tx": F.floor(F.col("x") / k), "ty": F.floor(F.col("y") / k)})
 
 
-def copied(df: DataFrame, tiles: list[tuple[int, int]]) -> DataFrame:
-    """``df`` at each of the ``tiles`` around its own; ``home`` marks the copy that stays."""
-    near = F.array(*[F.struct((F.col("tx") - i).alias("tx"), (F.col("ty") - j).alias("ty"), F.lit((i, j) == (0, 0)).alias("home")) for i, j in tiles])
-    return df.withColumn("tile", F.explode(near)).drop("tx", "ty").select("*", "tile.*").drop("tile")
-
-
-def ends(df: DataFrame, c: str) -> DataFrame:
-    """Columns of one end of a pair, but for the tile, under names that begin with ``c``."""
-    return df.withColumnsRenamed({n: c if n == "id" else c + n for n in df.columns if n not in ("tx", "ty", "home")})
-
-
-def meet(p: Params):
-    """Whether the ends of a pair are within reach and share a word."""
-    r = p.reach_cells
-    place = (F.abs(F.col("ax") - F.col("bx")) <= r) & (F.abs(F.col("ay") - F.col("by")) <= r)
-    return place & F.arrays_overlap("aws", "bws")
-
-
 def candidates(tweets: DataFrame, p: Params, new: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b), a < b, whose cells are within reach and whose word sets meet; with ``new`` (rows of ``tweets``)
     those alone that have an end in it.
 
-    Partners lie in the same or adjacent tiles, so the join is an equality on the tile, against copies at half of
-    the tiles around.  Words aren't join keys: whole texts share dozens, so that a join on them gives dozens of rows
-    for each pair that this one gives once.  A tile that holds much is for adaptive execution to split.
+    Partners lie in the same or adjacent tiles.  A block holds messages of neighbouring cells of a tile, and blocks whose cells
+    are out of reach aren't compared.  Inside a pair of blocks messages meet by their words: rare ones list their
+    pairs, frequent ones go through a product of matrices, so a tile costs what it gives out, not its square.
     """
-    left = ends(tiled(tweets, p), "a")
-    if new is None:
-        right = ends(copied(tiled(tweets, p), HALF), "b")
-        out = left.join(right, ["tx", "ty"]).where(~F.col("home") | (F.col("a") < F.col("b"))).where(meet(p))
-        return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    right = ends(copied(tiled(new, p), ALL), "b")
-    out = left.join(right, ["tx", "ty"]).where("a <> b").where(meet(p))
-    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    order, cols = ["x", "y", "id"], ["tx", "ty", "blk", "id", "x", "y", "ws"]
+    has_words = tiled(tweets, p).where(F.size("ws") > 0)
+    left = blocked(has_words, order, p.block_bits)
+    right = left if new is None else blocked(tiled(new, p).where(F.size("ws") > 0), order, p.block_bits)
+    known = {f"{f.__name__}_{c}": f(c) for c in ("x", "y") for f in (F.min, F.max)}
+    reach = p.reach_cells
+
+    def close(a, b):
+        out = F.lit(True)
+        for c in ("x", "y"):
+            out = out & (a(f"min_{c}") - reach <= b(f"max_{c}")) & (b(f"min_{c}") - reach <= a(f"max_{c}"))
+        return out
+
+    def compare(a: pa.Table, b: pa.Table, same: bool) -> dict[str, np.ndarray]:
+        i, j = pairs_of(sharing(a, b, "ws"), len(b))
+        ia, ib = integers(a, "id")[i], integers(b, "id")[j]
+        keep = (ia < ib if same else ia != ib) & within(a, b, i, j, reach)
+        return {"a": np.minimum(ia, ib)[keep], "b": np.maximum(ia, ib)[keep]}
+
+    pairs = block_pairs(left, right, known, close, new is None)
+    out = meet_blocks(left.select(*cols), right.select(*cols), pairs, compare, "a long, b long", new is None)
+    return out if new is None else out.distinct()
 
 
 def seed_candidates(tweets: DataFrame, seeds: DataFrame, p: Params) -> DataFrame:

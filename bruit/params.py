@@ -30,6 +30,9 @@ class Params:
     locked: int = 3
     #: Seeds meet every message; more than this many would make that a large product.
     max_seeds: int = 10_000
+    #: Rows of a block are at most 2 to the power of this; pivots bound the angles of vectors.
+    block_bits: int = 11
+    pivots: int = 8
 
     @property
     def reach_cells(self) -> int:

@@ -20,12 +20,16 @@ def _next_id(df: DataFrame, c: str) -> DataFrame:
 def tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages: id, time, lon, lat, exact, uid, text (whole), vector.
 
-    A tenth as many vectors as messages, in turn: they grow with the table, and ten messages say the same.
+    Ten messages are about the same: they share a main embedding, each with a quarter of another one, in turn over all
+    embeddings.  So vectors differ, and kinds of them grow with the table.
     """
     d, e, v = (table(spark, sf_dir, t) for t in ("documents", "events", "embeddings"))
     n_vectors = _next_id(table(spark, sf_dir, "embeddings"), "vec_id").withColumnRenamed("next_id", "n_vectors")
-    n = _next_id(table(spark, sf_dir, "documents"), "doc_id").crossJoin(n_vectors).select(F.least(F.expr("(next_id + 9) div 10"), "n_vectors").alias("kinds"))
+    n = _next_id(table(spark, sf_dir, "documents"), "doc_id").crossJoin(n_vectors)
+    n = n.select(F.least(F.expr("(next_id + 9) div 10"), "n_vectors").alias("kinds"), "n_vectors")
+    other = v.select(F.col("vec_id").alias("other_id"), F.col("embedding").cast("array<double>").alias("other"))
     joined = d.join(e, e.event_id == d.doc_id).crossJoin(F.broadcast(n)).join(v, v.vec_id == d.doc_id % F.col("kinds"))
+    joined = joined.join(other, F.expr("other_id = (doc_id + doc_id div kinds * 31) % n_vectors"))
     return joined.select(
         d.doc_id.alias("id"),
         F.date_trunc("second", e.ts).cast("timestamp_ntz").alias("time"),
@@ -34,7 +38,7 @@ def tweets(spark: SparkSession, sf_dir: str) -> DataFrame:
         (e.event_type != "error").alias("exact"),
         e.user_id.alias("uid"),
         d.text,
-        v.embedding.cast("array<double>").alias("vector"),
+        F.zip_with(v.embedding.cast("array<double>"), "other", lambda x, y: x * 4 + y).alias("vector"),
     )
 
 
@@ -82,13 +86,15 @@ def seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
+kinds_v AS (SELECT n, least((SELECT max(doc_id) + 10 FROM documents) // 10, n) AS kinds FROM (SELECT max(vec_id) + 1 AS n FROM embeddings)),
 tweets_v AS (
   SELECT d.doc_id AS id, CAST(date_trunc('second', e.ts) AS TIMESTAMP) AS time,
          CAST(-130 AS DOUBLE) + v.label * CAST(6.5 AS DOUBLE) + ((d.doc_id * 7919) % 100) / CAST(50 AS DOUBLE) AS lon,
          CAST(20 AS DOUBLE) + v.label * CAST(3.5 AS DOUBLE) + ((d.doc_id * 104729) % 100) / CAST(50 AS DOUBLE) AS lat,
-         e.event_type <> 'error' AS exact, e.user_id AS uid, d.text, CAST(v.embedding AS DOUBLE[]) AS vector
-  FROM documents d JOIN events e ON e.event_id = d.doc_id JOIN embeddings v ON v.vec_id = d.doc_id %
-         least((SELECT max(doc_id) + 10 FROM documents) // 10, (SELECT max(vec_id) + 1 FROM embeddings))),
+         e.event_type <> 'error' AS exact, e.user_id AS uid, d.text,
+         list_transform(list_zip(CAST(v.embedding AS DOUBLE[]), CAST(o.embedding AS DOUBLE[])), lambda x: x[1] * 4 + x[2]) AS vector
+  FROM documents d JOIN events e ON e.event_id = d.doc_id CROSS JOIN kinds_v k JOIN embeddings v ON v.vec_id = d.doc_id % k.kinds
+  JOIN embeddings o ON o.vec_id = (d.doc_id + d.doc_id // k.kinds * 31) % k.n),
 words_v AS (
   SELECT *, list_filter(string_split(trim(lower(regexp_replace(regexp_replace(text, '((\B@)|(\bhttps?:\/\/))[^\s]+', ' ', 'g'),
             '[^\w]+', ' ', 'g'))), ' '), lambda w: w <> '') AS words FROM tweets_v),

@@ -12,7 +12,10 @@ def test_whole_messages(spark):
     rows = views.tweets(spark, SF).collect()
     assert {r.id: r.text for r in rows} == docs
     kinds = min(-(-len(docs) // 10), len(vecs))
-    assert all(r.vector == vecs[r.id % kinds] for r in rows)
+    n = len(vecs)
+    mixed = lambda i: [4 * x + y for x, y in zip(vecs[i % kinds], vecs[(i + i // kinds * 31) % n], strict=True)]
+    assert all(r.vector == mixed(r.id) for r in rows)
+    assert len({tuple(r.vector) for r in rows}) == len(rows)
 
 
 def test_votes_on_all_messages(spark):
