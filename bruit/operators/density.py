@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from bruit.functions.vectors import cosine_distance
 from bruit.operators import near
 from bruit.operators.graph import components
-from bruit.operators.pairs import seed_candidates, tiled
+from bruit.operators.pairs import around, seed_candidates, tiled
 from bruit.operators.store import stored
 from bruit.params import Params
 
@@ -25,19 +25,35 @@ def seed_node(c: Column) -> Column:
 def near_pairs(tweets: DataFrame, p: Params, new: DataFrame | None = None) -> DataFrame:
     """(a, b, dist), a < b, of the candidates within epsilon; with ``new`` (rows of ``tweets``) those with an end in it."""
     rows = tiled(tweets, p, "vector")
-    return near.near_pairs(rows, p, None if new is None else rows.join(new.select("id"), "id", "left_semi"))
+    if new is None:
+        return near.near_pairs(rows, p)
+    come = stored(rows.join(new.select("id"), "id", "left_semi"))
+    return near.near_pairs(around(rows, come), p, come)
+
+
+def _both_ways(found: DataFrame) -> DataFrame:
+    ways = F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))
+    return found.select(F.explode(ways).alias("e"), "dist").select("e.src", "e.dst", "dist")
+
+
+def _seed_pairs(tweets: DataFrame, seeds: DataFrame, p: Params) -> DataFrame:
+    """(a, b, dist) of seeds (as nodes) and messages within epsilon."""
+    known = F.broadcast(seeds.select("seed_idx", F.col("vector").alias("va")))  # bounded by max_seeds
+    s = seed_candidates(tweets, seeds, p).join(known, "seed_idx").join(tweets.select("id", F.col("vector").alias("vb")), "id")
+    s = s.select(seed_node(F.col("seed_idx")).alias("a"), F.col("id").alias("b"), cosine_distance(F.col("va"), F.col("vb")).alias("dist"))
+    return s.where(F.col("dist") <= p.epsilon)
 
 
 def neighbor_edges(tweets: DataFrame, seeds: DataFrame | None, p: Params) -> DataFrame:
     """(src, dst, dist) in both directions for candidates within epsilon.  Each distance is computed once."""
     found = near_pairs(tweets, p)
-    if seeds is not None:
-        known = F.broadcast(seeds.select("seed_idx", F.col("vector").alias("va")))  # bounded by max_seeds
-        s = seed_candidates(tweets, seeds, p).join(known, "seed_idx").join(tweets.select("id", F.col("vector").alias("vb")), "id")
-        s = s.select(seed_node(F.col("seed_idx")).alias("a"), F.col("id").alias("b"), cosine_distance(F.col("va"), F.col("vb")).alias("dist"))
-        found = found.unionByName(s.where(F.col("dist") <= p.epsilon))
-    ways = F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))
-    return found.select(F.explode(ways).alias("e"), "dist").select("e.src", "e.dst", "dist")
+    return _both_ways(found if seeds is None else found.unionByName(_seed_pairs(tweets, seeds, p)))
+
+
+def added_edges(tweets: DataFrame, new: DataFrame, seeds: DataFrame | None, p: Params) -> DataFrame:
+    """Those of the edges of ``tweets`` that have an end in ``new`` (rows of ``tweets``)."""
+    found = near_pairs(tweets, p, new.select("id"))
+    return _both_ways(found if seeds is None else found.unionByName(_seed_pairs(new, seeds, p)))
 
 
 def core_distance(tweets: DataFrame, edges: DataFrame, p: Params) -> DataFrame:
@@ -70,31 +86,55 @@ def reachability(tweets: DataFrame, edges: DataFrame, core: DataFrame, p: Params
     return tweets.select("id").join(low, "id", "left").select("id", F.coalesce("r", F.lit(p.epsilon + 1)).alias("reach"))
 
 
+def core_components(edges: DataFrame, core: DataFrame, p: Params) -> DataFrame:
+    """(id, label): components of cores."""
+    cores = stored(_cores(core, p.epsilon).select("id"))
+    a, b = cores.withColumnRenamed("id", "src"), cores.withColumnRenamed("id", "dst")
+    return components(cores, edges.join(a, "src").join(b, "dst"))
+
+
+def _touch(edges: DataFrame) -> DataFrame:
+    """(id, seed_idx) of messages next to a seed."""
+    return edges.where("dst < 0").select(F.col("src").alias("id"), (-F.col("dst") - 1).cast("int").alias("seed_idx"))
+
+
+def owners(edges: DataFrame, comp: DataFrame) -> DataFrame:
+    """(id, seed_idx) of cores: a component belongs to its least seed."""
+    owner = _touch(edges).join(comp, "id").groupBy("label").agg(F.min("seed_idx").alias("seed_idx"))
+    return comp.join(owner, "label").select("id", "seed_idx")
+
+
+def borders(edges: DataFrame, owned: DataFrame) -> DataFrame:
+    """(id, seed_idx) of messages that aren't cores, whose ``edges`` these are: the least of their own seeds and the owners of
+    adjacent cores."""
+    via = edges.join(owned, edges.dst == owned.id).select(F.col("src").alias("id"), "seed_idx").where("id >= 0")
+    return _touch(edges).unionByName(via).groupBy("id").agg(F.min("seed_idx").alias("seed_idx"))
+
+
+def dealt_out(edges: DataFrame, core: DataFrame, comp: DataFrame, p: Params) -> DataFrame:
+    """(id, seed_idx): the first seed that reaches a message through cores, given their components."""
+    owned = stored(owners(edges, comp))
+    outside = edges.join(comp.select(F.col("id").alias("src")), "src", "left_anti")
+    return owned.unionByName(borders(outside, owned))
+
+
 def seed_membership(edges: DataFrame, core: DataFrame, p: Params) -> DataFrame:
     """(id, seed_idx): the first seed that reaches a message through cores.
 
     Components of cores; a component belongs to its least seed, a border message to the least of its own
     seeds and the owners of adjacent cores.
     """
-    cores = stored(_cores(core, p.epsilon).select("id"))
-    a, b = cores.withColumnRenamed("id", "src"), cores.withColumnRenamed("id", "dst")
-    comp = components(cores, edges.join(a, "src").join(b, "dst"))
-    touch = edges.where("dst < 0").select(F.col("src").alias("id"), (-F.col("dst") - 1).alias("seed_idx"))
-    owner = touch.join(comp, "id").groupBy("label").agg(F.min("seed_idx").alias("seed_idx"))
-    owned = stored(comp.join(owner, "label").select("id", "seed_idx"))
-    via = edges.join(owned, edges.dst == owned.id).select(F.col("src").alias("id"), "seed_idx").where("id >= 0")
-    border = touch.unionByName(via).join(cores, "id", "left_anti").groupBy("id").agg(F.min("seed_idx").alias("seed_idx"))
-    return owned.unionByName(border).select("id", F.col("seed_idx").cast("int").alias("seed_idx"))
+    return dealt_out(edges, core, stored(core_components(edges, core, p)), p)
 
 
-def clusters(edges: DataFrame, core: DataFrame, reach: DataFrame, p: Params) -> DataFrame:
+def clusters(edges: DataFrame, core: DataFrame, reach: DataFrame, p: Params, member: DataFrame | None = None) -> DataFrame:
     """(id, seed_idx, label): runs of messages with reachability in the accepted band, within a seed's messages.
 
     The band's upper end cuts the graph: components of messages that are core at that level, the seed
-    included, with the messages at their border.
+    included, with the messages at their border.  ``member`` is the seeds' membership where it is known.
     """
     cut = min(p.epsilon, p.reach_max)
-    member = seed_membership(edges, core, p)
+    member = seed_membership(edges, core, p) if member is None else member
     band = reach.where(F.col("reach").between(p.reach_min, p.reach_max)).select("id")
     member = stored(member.join(band, "id"))
     is_core = _cores(core, cut).select("id", F.lit(True).alias("is_core"))
@@ -116,16 +156,15 @@ def clusters_unseeded(tweets: DataFrame, p: Params) -> DataFrame:
     """(id, label): components of cores without seeds, and the messages at their border."""
     edges = stored(neighbor_edges(tweets, None, p))
     core = stored(core_distance(tweets, edges, p))
-    cores = stored(_cores(core, p.epsilon).select("id"))
-    a, b = cores.withColumnRenamed("id", "src"), cores.withColumnRenamed("id", "dst")
-    comp = components(cores, edges.join(a, "src").join(b, "dst"))
+    comp = stored(core_components(edges, core, p))
     near = edges.join(comp, edges.dst == comp.id).groupBy("src").agg(F.min("label").alias("label"))
-    border = near.join(cores.withColumnRenamed("id", "src"), "src", "left_anti").select(F.col("src").alias("id"), "label")
+    border = near.join(comp.select(F.col("id").alias("src")), "src", "left_anti").select(F.col("src").alias("id"), "label")
     return comp.unionByName(border)
 
 
 def incremental_update(tweets: DataFrame, expired: DataFrame, new: DataFrame, edges: DataFrame, core: DataFrame, p: Params):
-    """Edges and core distances after ``expired`` (id) leave and ``new`` (ids in ``tweets``) come.
+    """Edges and core distances after ``expired`` (id) leave and ``new`` (ids in ``tweets``) come (``incremental.step``
+    keeps all the rest as well).
 
     ``edges`` and ``core`` are of the messages before.  Only pairs with a new end are compared, and core
     distances are recomputed only for messages that gained or lost a neighbour.  Returns (edges, core).
@@ -134,9 +173,7 @@ def incremental_update(tweets: DataFrame, expired: DataFrame, new: DataFrame, ed
     old = edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
     active = tweets.join(gone, "id", "left_anti")
     fresh = new.select("id")
-    pairs = near_pairs(active, p, fresh)
-    added = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), "dist")
-    added = stored(added.unionByName(added.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "dist")))
+    added = stored(added_edges(active, fresh, None, p))
     lost = edges.join(gone.withColumnRenamed("id", "dst"), "dst", "left_semi")
     touched = added.select("src").unionByName(lost.select("src")).unionByName(fresh.withColumnRenamed("id", "src")).distinct()
     touched = stored(touched.withColumnRenamed("src", "id"))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bruit.functions.geo import with_cell
-from bruit.operators.blocks import block_pairs, blocked, integers, meet_blocks, pairs_of, sharing, within
+from bruit.operators.blocks import ALL, block_pairs, blocked, copied, integers, meet_blocks, pairs_of, sharing, within
+from bruit.operators.store import stored
 from bruit.params import Params
 
 
@@ -19,6 +20,12 @@ def tiled(tweets: DataFrame, p: Params, *cols: str) -> DataFrame:
     return df.withColumns({"tx": F.floor(F.col("x") / k), "ty": F.floor(F.col("y") / k)})
 
 
+def around(rows: DataFrame, new: DataFrame) -> DataFrame:
+    """Those of ``rows`` whose tile is that of one of ``new`` or adjacent to it; the others can't meet them."""
+    tiles = copied(new.select("tx", "ty").distinct(), ALL).select("tx", "ty").distinct()
+    return rows.join(tiles, ["tx", "ty"], "left_semi")
+
+
 def candidates(tweets: DataFrame, p: Params, new: DataFrame | None = None) -> DataFrame:
     """Pairs (a, b), a < b, whose cells are within reach and whose word sets meet; with ``new`` (rows of ``tweets``)
     those alone that have an end in it.
@@ -28,9 +35,10 @@ def candidates(tweets: DataFrame, p: Params, new: DataFrame | None = None) -> Da
     pairs, frequent ones go through a product of matrices, so a tile costs what it gives out, not its square.
     """
     order, cols = ["x", "y", "id"], ["tx", "ty", "blk", "id", "x", "y", "ws"]
-    has_words = tiled(tweets, p).where(F.size("ws") > 0)
-    left = blocked(has_words, order, p.block_bits)
-    right = left if new is None else blocked(tiled(new, p).where(F.size("ws") > 0), order, p.block_bits)
+    rows = tiled(tweets, p).where(F.size("ws") > 0)
+    come = None if new is None else stored(tiled(new, p).where(F.size("ws") > 0))
+    left = blocked(rows if come is None else around(rows, come), order, p.block_bits)
+    right = left if come is None else blocked(come, order, p.block_bits)
     known = {f"{f.__name__}_{c}": f(c) for c in ("x", "y") for f in (F.min, F.max)}
     reach = p.reach_cells
 

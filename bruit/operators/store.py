@@ -5,10 +5,17 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from dataclasses import fields
 from pathlib import Path
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+
 
 def scratch(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, which driver and executors share."""
@@ -26,13 +33,45 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+#: Paths that ``stored`` has made since the innermost ``tidied`` began, in this thread.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once and read back: later plans start from the files."""
     path = scratch(df.sparkSession)
     df.write.parquet(path)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@contextmanager
+def tidied(spark: SparkSession) -> Iterator[Callable[[T], T]]:
+    """Tables that ``stored`` writes inside go at the end, after a failure, too, but for those that what is given to the yielded
+    function (a dataclass of DataFrames, or one) reads."""
+    made, kept = [], []
+
+    def keep(result: T) -> T:
+        frames = [result] if isinstance(result, DataFrame) else [getattr(result, f.name) for f in fields(result)]
+        kept.extend(name for df in frames for name in df.inputFiles())
+        return result
+
+    token = _made.set(made)
+    try:
+        yield keep
+    finally:
+        _made.reset(token)
+        for path in made:
+            if not any(f"/{path.rsplit('/', 1)[1]}/" in name for name in kept):
+                remove(spark, path)
+
+
 _shipped: set[str] = set()
 
 
