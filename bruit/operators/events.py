@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from bruit.operators.store import Versions
 from bruit.params import Params
 
 
@@ -40,18 +39,23 @@ def members(clusters: DataFrame, events: DataFrame, tweets: DataFrame) -> DataFr
         "event_id", F.col("id").alias("tweet_id"), "time", F.col("elat").alias("lat"), F.col("elon").alias("lon"), "exact", "text")
 
 
-def publish(spark: SparkSession, df: DataFrame, base: str) -> str | None:
-    """Write a snapshot as a new version and then point ``current`` to it; an empty result leaves the old one.
+def publish(spark: SparkSession, tables: dict[str, DataFrame], base: str, number: int | None = None, keep: int = 2) -> bool:
+    """Publish tables (``events``, and others like ``members``) together as version ``number``, by default the next one.
 
-    Readers never see a half-written version.  Returns the version's folder.
+    Without events the version before stays.  Returns whether there is a new version.
     """
-    if df.isEmpty():
-        return None
-    version = f"{base}/version={uuid.uuid4().hex}"
-    df.write.parquet(version)
-    spark.createDataFrame([(version,)], "path string").coalesce(1).write.mode("overwrite").json(f"{base}-current")
-    return version
-
-
-def current(spark: SparkSession, base: str) -> DataFrame:
-    return spark.read.parquet(spark.read.schema("path string").json(f"{base}-current").first()["path"])
+    versions = Versions(spark, base, keep)
+    if tables["events"].isEmpty():
+        return False
+    if number is None:
+        number = -1 if versions.newest() is None else versions.newest()
+        number += 1
+    return versions.write(number, tables)
+
+
+def current(spark: SparkSession, base: str, *names: str) -> DataFrame | tuple[DataFrame, ...]:
+    """The published events, or the tables with these names, all of one version."""
+    versions = Versions(spark, base)
+    n = versions.newest()
+    found = tuple(versions.read(name, n) for name in names or ("events",))
+    return found if len(found) > 1 else found[0]

@@ -15,12 +15,12 @@ from __future__ import annotations
 from dataclasses import dataclass, fields
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bruit.operators import density
 from bruit.operators.graph import components
-from bruit.operators.store import stored
+from bruit.operators.store import Versions, stored
 from bruit.params import Params
 
 
@@ -37,16 +37,12 @@ class State:
     member: DataFrame
     clusters: DataFrame
 
-    def write(self, path: str) -> None:
-        for f in fields(self):
-            getattr(self, f.name).write.mode("overwrite").parquet(f"{path}/{f.name}")
+    def tables(self) -> dict[str, DataFrame]:
+        return {f.name: getattr(self, f.name) for f in fields(self)}
 
     @classmethod
-    def read(cls, spark: SparkSession, path: str, schemas: dict) -> State:
-        return cls(*[spark.read.schema(schemas[f.name]).parquet(f"{path}/{f.name}") for f in fields(cls)])
-
-    def schemas(self) -> dict:
-        return {f.name: getattr(self, f.name).schema for f in fields(self)}
+    def of(cls, versions: Versions, n: int) -> State:
+        return cls(*[versions.read(f.name, n) for f in fields(cls)])
 
 
 def full(tweets: DataFrame, seeds: DataFrame, p: Params) -> State:

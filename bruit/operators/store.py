@@ -72,6 +72,54 @@ def tidied(spark: SparkSession) -> Iterator[Callable[[T], T]]:
                 remove(spark, path)
 
 
+class Versions:
+    """Numbered versions of one or more tables under ``base``, which change together.
+
+    A version counts when its mark stands, which is made after all of its tables; so a reader sees all tables of one version or of
+    another.  The ``keep`` newest ones stay for readers that have begun; older ones go, their marks first.
+    """
+
+    def __init__(self, spark: SparkSession, base: str, keep: int = 2):
+        self.spark, self.base, self.keep = spark, base, keep
+        self.path_class = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self.fs = self.path_class(base).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def path(self, n: int) -> str:
+        return f"{self.base}/version={n:012d}"
+
+    def _mark(self, n: int):
+        return self.path_class(f"{self.path(n)}/_complete")
+
+    def all(self) -> list[int]:
+        """Numbers of complete versions, the oldest first."""
+        if not self.fs.exists(self.path_class(self.base)):
+            return []
+        names = [f.getPath().getName() for f in self.fs.listStatus(self.path_class(self.base))]
+        numbers = sorted(int(x.removeprefix("version=")) for x in names if x.startswith("version="))
+        return [n for n in numbers if self.fs.exists(self._mark(n))]
+
+    def newest(self) -> int | None:
+        return max(self.all(), default=None)
+
+    def write(self, n: int, tables: dict[str, DataFrame]) -> bool:
+        """Whether the version is new: one that is complete stays as it is, so a batch that is repeated changes nothing."""
+        have = self.all()
+        if have and n <= have[-1]:
+            return False
+        remove(self.spark, self.path(n))  # what an attempt that failed has left
+        for name, df in tables.items():
+            df.write.parquet(f"{self.path(n)}/{name}")
+        self.fs.create(self._mark(n)).close()
+        for old in have[: max(0, len(have) + 1 - self.keep)]:
+            self.fs.delete(self._mark(old), False)
+            remove(self.spark, self.path(old))
+        return True
+
+    def read(self, name: str, n: int | None = None) -> DataFrame:
+        """A table of a version, by default of the newest."""
+        return self.spark.read.parquet(f"{self.path(self.newest() if n is None else n)}/{name}")
+
+
 _shipped: set[str] = set()
 
 

@@ -202,3 +202,15 @@ add("stream_word_counts", "SELECT start, x, y, word, count(*) AS n FROM (SELECT
 add("stream_scored", f"SELECT id, spam, {HIT} AS disaster FROM words_v LEFT JOIN props_v ON tweet_id = id")
 RECENTLY = "tweets_v AS (SELECT * FROM every_v WHERE epoch((SELECT max(time) FROM every_v)) - epoch(time) < 172800),\nwords_v AS ("
 ORACLES["stream_events"] = ORACLES["event_summary"].replace("tweets_v AS (", "every_v AS (", 1).replace("words_v AS (", RECENTLY, 1)
+ORACLES["stream_events_kept"] = ORACLES["stream_events"]
+ORACLES["vote_state"] = ORACLES["vote_upsert"]
+# A row of a batch is late against the newest time of all batches before; ids come again only in the batch after.
+add("stream_late_rows", """SELECT batch, CASE WHEN time < mark THEN 'late' WHEN again AND seen THEN 'duplicate' ELSE 'accepted' END AS kind, id, 1 AS n
+FROM (SELECT b.*, mark, CASE b.batch WHEN 1 THEN true WHEN 2 THEN b.time >= first_mark ELSE false END AS seen
+  FROM sent b CROSS JOIN (SELECT max(mark) FILTER (WHERE batch = 1) AS first_mark FROM marks) LEFT JOIN marks m ON m.batch = b.batch)""",
+    """sent AS (SELECT 0 AS batch, id, time, false AS again FROM tweets_v WHERE id % 6 < 2 UNION ALL
+  SELECT 1, id, time, id % 6 = 1 FROM tweets_v WHERE id % 6 IN (1, 2, 3) UNION ALL SELECT 2, id, time, id % 6 = 3 FROM tweets_v WHERE id % 6 > 2),
+marks AS (SELECT k AS batch, (SELECT max(time) - INTERVAL 1 DAY FROM sent WHERE sent.batch < k) AS mark FROM (SELECT unnest([1, 2]) AS k))""")
+add("stream_word_windows", """SELECT CAST(start AS TIMESTAMP) AS start, x, y, word, count(*) AS n FROM (SELECT x, y, time, unnest(list_distinct(words)) AS word FROM per) w
+  JOIN (SELECT DISTINCT date_trunc('day', time) - k * INTERVAL 1 DAY AS start FROM per CROSS JOIN (SELECT unnest([0, 1]) AS k)) s ON time >= start AND time < start + INTERVAL 2 DAY
+WHERE start + INTERVAL 2 DAY <= (SELECT max(time) FROM per) - INTERVAL 1 HOUR GROUP BY ALL""", RATE)

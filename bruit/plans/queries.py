@@ -96,7 +96,7 @@ def export_labelled(spark: SparkSession, d: str) -> DataFrame:
 @query
 def publish_events(spark: SparkSession, d: str) -> DataFrame:
     base = scratch(spark)
-    events.publish(spark, event_summary(spark, d), base)
+    events.publish(spark, {"events": event_summary(spark, d)}, base)
     return events.current(spark, base)
 
 
@@ -601,12 +601,72 @@ def stream_events(spark: SparkSession, d: str) -> DataFrame:
     """Events of the last two days, found anew with each micro-batch."""
     target = scratch(spark)
     e = jobs.read_table(spark, d, "events").select("event_id", "ts")
-    t = views.words(spark, d).select("id", "lon", "lat", "uid", "words", "vector")
+    t = views.words(spark, d).drop("time")
     rows = e.join(t, e.event_id == t.id).withColumn("time", F.date_trunc("second", F.col("ts")).cast("timestamp_ntz")).drop("event_id", "ts")
     jobs.start(rows, jobs.reclustered(scratch(spark), target, views.seeds(spark, d), TWO_DAYS), scratch(spark)).awaitTermination()
     return events.current(spark, target)
 
 
+def _in_turn(spark: SparkSession, rows: DataFrame, parts: list, start) -> None:
+    """Gives the rows of each of the conditions ``parts`` to a stream that goes on where it stopped: one micro-batch each.
+
+    ``start`` begins the stream, from a streaming frame and the folder of its progress.
+    """
+    src, progress = scratch(spark), scratch(spark)
+    for part in parts:
+        rows.where(part).write.mode("append").parquet(src)
+        start(spark.readStream.schema(rows.schema).parquet(src), progress).awaitTermination()
+
+
+def _times(spark: SparkSession, d: str) -> DataFrame:
+    """Messages without words and vectors, with the time of their event as a timestamp."""
+    t = views.tweets(spark, d).select("id", "time", "lon", "lat", "uid", "text")
+    return stored(t.withColumn("time", F.col("time").cast("timestamp")))
+
+
+@query
+def stream_events_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Events of the last two days, from clusters that are kept while the older half of the messages and then the newer one come."""
+    target, t = scratch(spark), stored(views.words(spark, d))
+    middle = t.agg(F.expr("percentile_approx(unix_timestamp(cast(time as timestamp)), 0.5)")).first()[0]
+    late = F.unix_timestamp(F.col("time").cast("timestamp")) > middle
+    each = jobs.maintained(scratch(spark), target, views.seeds(spark, d), TWO_DAYS)
+    _in_turn(spark, t, [~late, late], lambda stream, progress: jobs.start(stream, each, progress))
+    return events.current(spark, target)
+
+
+@query
+def stream_late_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Three batches of messages by id, the last two with rows of the one before again: what is accepted, late or a duplicate
+    with a delay of a day."""
+    base, n = scratch(spark), F.col("id") % 6
+    each = jobs.sifted(base, 86400)
+    _in_turn(spark, _times(spark, d), [n < 2, (n > 0) & (n < 4), n > 2], lambda stream, progress: jobs.start(stream, each, progress))
+    return jobs.told_apart(spark, base)
+
+
+@query
+def stream_word_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Words in windows of two days, one beginning each day, each given out once when it is over."""
+    out, t = scratch(spark), _times(spark, d)
+    newest = t.agg(F.max("time")).first()[0]
+    edge = F.col("time") > F.lit(newest) - F.expr("interval 3 days")
+    counts = lambda stream: jobs.word_counts(stream, RATES, "2 days", "1 day", "1 hour")
+    _in_turn(spark, t, [~edge, edge], lambda stream, progress: jobs.start(counts(stream), jobs.into_folder(out), progress))
+    rows = spark.read.schema("start timestamp, x long, y long, word string, n long").option("recursiveFileLookup", "true").parquet(out)
+    return rows.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query
+def vote_state(spark: SparkSession, d: str) -> DataFrame:
+    """The votes of ``vote_upsert`` from requests in five batches, one of them repeated, with a snapshot on the way."""
+    log, kept = views.vote_log(spark, d), votes.VoteState(spark, scratch(spark), compact_after=3)
+    size = log.agg(F.max("seq")).first()[0] // 5 + 1
+    for k in (0, 1, 2, 1, 3, 3, 4):
+        kept.add(log.where(F.floor(F.col("seq") / size) == k), k)
+    return kept.state()
+
+
 @query
 def stream_model_votes(spark: SparkSession, d: str) -> DataFrame:
     """Votes of a forest that is trained by the stream, anew when it is older than 30 seconds."""
