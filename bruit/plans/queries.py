@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bruit.functions import geo, text, vectors
-from bruit.operators import density, events, feeds, integrity, labels, ml, pairs, rates, votes
+from bruit.operators import density, events, feeds, integrity, labels, ml, pairs, paragraphs, rates, votes
 from bruit.operators.store import scratch, stored
 from bruit.params import Params
 from bruit.sources import views
@@ -564,6 +564,17 @@ def w2v_docs(spark: SparkSession, d: str) -> DataFrame:
     return ml.document_vectors(t)
 
 
+@query
+def tag_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest of the labels' vectors for every message; four fifths of the labelled ones train them."""
+    t = stored(views.tweets(spark, d).select("id", text.tokenize(F.col("text")).alias("tokens")))
+    known = views.properties(spark, d).where("spam is not null and tweet_id % 5 <> 0")
+    tagged = t.join(known, F.col("id") == F.col("tweet_id")).select("id", F.when(F.col("spam"), "spam").otherwise("no spam").alias("tag"), "tokens")
+    found = paragraphs.train(tagged)
+    near = paragraphs.nearest_tags(paragraphs.infer(t, found), found)
+    return near.select("id", "tag", F.round("likeness", 6).alias("likeness"))
+
+
 @query
 def lsa_2d(spark: SparkSession, d: str) -> DataFrame:
     return ml.lsa(views.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector")))
