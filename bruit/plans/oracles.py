@@ -54,9 +54,12 @@ QUEUE = """queue AS (SELECT t.* FROM tweets_v t JOIN state_v c ON c.tweet_id = t
 add("to_tag_queue", "SELECT id, text FROM queue ORDER BY id DESC LIMIT 20", QUEUE)
 add("to_tag_count", "SELECT count(*) AS n FROM queue", QUEUE)
 PAIRS = CELLS + """,
-sets AS MATERIALIZED (SELECT id, x, y, vector, list_distinct(words) AS ws FROM cells),
-cand AS (SELECT a.id AS a, b.id AS b, a.vector AS va, b.vector AS vb FROM sets a JOIN sets b
-         ON a.id < b.id AND abs(a.x - b.x) <= 5 AND abs(a.y - b.y) <= 5 AND list_has_any(a.ws, b.ws))"""
+occ AS MATERIALIZED (SELECT DISTINCT id, unnest(words) AS word FROM cells),
+wid AS MATERIALIZED (SELECT word, CAST(row_number() OVER () AS INT) AS w FROM (SELECT DISTINCT word FROM occ)),
+sets AS MATERIALIZED (SELECT id, x, y, vector, ws FROM cells LEFT JOIN (SELECT id, list(w) AS ws FROM occ JOIN wid USING (word) GROUP BY id) USING (id)),
+place AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM (SELECT id, x, y FROM sets) a JOIN (SELECT id, x, y FROM sets) b
+         ON a.id < b.id AND abs(a.x - b.x) <= 5 AND abs(a.y - b.y) <= 5),
+cand AS (SELECT p.a, p.b, s.vector AS va, t.vector AS vb FROM place p JOIN sets s ON s.id = p.a JOIN sets t ON t.id = p.b WHERE list_has_any(s.ws, t.ws))"""
 add("candidate_pairs", "SELECT a, b FROM cand", PAIRS)
 add("seed_candidates", "SELECT seed_idx, id FROM seeds_v CROSS JOIN tweets_v")
 add("token_vectors", "SELECT id, pos, token, round(v[1], 6) AS v0, round(v[8], 6) AS v7 FROM vecs", TOKENS)
@@ -195,7 +198,7 @@ add("event_summary", "SELECT * FROM summ", clustered(0.2))
 add("publish_events", "SELECT * FROM summ", clustered(0.2))
 add("event_tweets", """SELECT event_id, t.id AS tweet_id, t.time, s.lat, s.lon, t.exact, t.text FROM clus JOIN acc USING (seed_idx, label) JOIN summ s USING (event_id)
   JOIN tweets_v t ON t.id = clus.id""", clustered(0.2))
-add("incremental_update", "SELECT id, round(core, 6) AS core FROM core WHERE id % 10 <> 2", graph(0.2, seeded=False).replace("FROM tweets_v t LEFT JOIN (SELECT src", "FROM (SELECT * FROM tweets_v WHERE id % 10 <> 2) t LEFT JOIN (SELECT src").replace("FROM sets a JOIN sets b\n         ON a.id < b.id", "FROM sets a JOIN sets b\n         ON a.id % 10 <> 2 AND b.id % 10 <> 2 AND a.id < b.id"))
+add("incremental_update", "SELECT id, round(core, 6) AS core FROM core WHERE id % 10 <> 2", graph(0.2, seeded=False).replace("FROM tweets_v t LEFT JOIN (SELECT src", "FROM (SELECT * FROM tweets_v WHERE id % 10 <> 2) t LEFT JOIN (SELECT src").replace("ON a.id < b.id", "ON a.id % 10 <> 2 AND b.id % 10 <> 2 AND a.id < b.id"))
 
 # --- streams
 add("stream_word_counts", "SELECT start, x, y, word, count(*) AS n FROM (SELECT CAST(date_trunc('day', time) AS TIMESTAMP) AS start, x, y, unnest(list_distinct(words)) AS word FROM per) GROUP BY ALL", RATE)
