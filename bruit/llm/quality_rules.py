@@ -156,11 +156,13 @@ def _provable(n: Column, limit: float, level: float) -> Column:
 
 def cutoffs(counted: DataFrame, labels: DataFrame, params: RiskParams = RiskParams()) -> DataFrame:
     """(lang, rule, step): the cutoffs ``step`` times the rule's width, from documents with counts and ``labels``
-    (doc_id, quality 1 = good).  A document with conflicting labels is good.  Strata without good labels have none."""
+    (doc_id, quality 1 = good).  A document with conflicting labels is good; rows with the same doc_id count once in a stratum.  Strata without good labels have none."""
     labels = pick(labels, "doc_id", "quality").where("quality is not null")
     labels = labels.groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good"))
     counted = counted.select("doc_id", _stratum(F.col("lang")).alias("lang"), "base_failed", *[r for r, _, _ in RULES])
     held = counted.where("not base_failed").join(labels, "doc_id")
+    # Rows of one document are one draw, and it is above a cutoff if one of them is.
+    held = held.groupBy("doc_id", "lang", "good").agg(*[F.max(r).alias(r) for r, _, _ in RULES])
     steps = F.array(*[
         F.struct(F.lit(k).alias("rule"), F.least(F.ceil(F.col(r) / w), F.lit(n + 1)).cast("int").alias("step"))
         for k, (r, w, n) in enumerate(RULES)

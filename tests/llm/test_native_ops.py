@@ -209,6 +209,14 @@ def test_cutoffs_reject_bad_documents_not_good_ones(spark):
     assert cut.get("dup_line_share", 1.0) >= 0.5  # twenty good ones for five bad ones
 
 
+def test_repeated_rows_prove_nothing(spark):
+    """Thirty good documents are thirty draws, however often their rows are repeated."""
+    rows = [(i, "en", False, 0.1, 0.0, 0.0) for i in range(30) for _ in range(100)] + [(100 + i, "en", False, 2.0, 0.9, 2.0) for i in range(5)]
+    counted = spark.createDataFrame(rows, RULE_COLUMNS)
+    labels = counted.selectExpr("doc_id", "int(doc_id < 30) as quality")
+    assert quality_rules.cutoffs(counted, labels).count() == 0
+
+
 def test_mix(spark, dirs):
     for path in (SF, dirs[0]):
         rows = mixing.op6_source_mix(spark, path).collect()
