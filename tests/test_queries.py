@@ -1,12 +1,18 @@
 """Registered queries against DuckDB on the smallest tables."""
 
 import datetime
+import functools
 
 import pytest
 from conftest import SF
 
+from bruit.plans import queries
 from bruit.plans.registry import ORACLES, QUERIES
 
+# Graphs and clusters of the same settings are made once for all queries that begin with them.
+queries._graph = functools.cache(queries._graph)
+queries._clusters = functools.cache(queries._clusters)
+
 
 def norm(v):
     if isinstance(v, float):
