@@ -15,6 +15,13 @@ headers and footers of the page, forms, scripts, notices, adverts, comments by
 readers).  Where the node is no article, selected blocks beside it, headings
 before its end and plain text between selected blocks belong to the text, too.
 
+Inside an article a name alone settles only the clear cases.  An element whose
+name may also be the author's ("notice", "tags", "ad-hoc") stays if the ratios
+of its paths are those of the article's own paragraphs and it has sentences;
+one whose name speaks of readers among other things ("user-comments",
+"editor-comment") goes if no paragraph of the article follows it, and is
+weighed like the others if one does.
+
 Defined results: null, empty or markup-free html works (text outside all tags
 is one block); a page without content gives the empty string; unclosed,
 misnested and unknown tags are handled as browsers do for the common cases;
@@ -26,6 +33,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -80,6 +88,12 @@ KNOWN = frozenset(
     " subscribe subscription nav navbar navigation menu breadcrumb breadcrumbs sidebar side footer masthead toolbar pagination pager share"
     " sharing social comment comments replies disqus related recommend recommended tags widget login signup search skip".split()
 )
+#: Those that an author may also use for running text: the ratios decide.
+UNSURE = frozenset("notice tags side promo related banner skip search".split())
+ADS = frozenset("ad ads advert adverts advertisement adsense sponsor sponsored".split())
+READERS = frozenset("comment comments commenter commenters replies disqus".split())
+ANSWERS = frozenset("responses response feedback discussion discussions reviews letters posts".split())
+PEOPLE = frozenset("reader readers user users visitor visitors member members".split())
 GENERAL = frozenset(
     "area bar block body bottom box button buttons card container content form group header icon icons inner item items label left links list"
     " main middle module outer panel posts right row section site slot text title top unit wrap wrapper zone".split()
@@ -101,16 +115,17 @@ STOP = re.compile(r"=\s*([\"'])|>")
 ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？]")
 SPACE = re.compile(r"\s+")
-#: An unquoted value that ends in a slash isn't the end of an empty element.
-VALUE = re.compile(r"=\s*[^\s\"'>]*/\Z")
 
 
 @dataclass
 class Block:
-    """``node`` is the innermost block element; ``path`` numbers the steps from the root to it."""
+    """``node`` is the innermost block element; ``path`` numbers the steps from the root to it; ``doubt`` the
+    doubtful element around it, from 1."""
 
     path: int
     node: int
+    doubt: int = 0
+    article: bool = False
     tag: str = ""
     parts: list[str] = field(default_factory=list)
     link_chars: int = 0
@@ -119,10 +134,12 @@ class Block:
 
 @dataclass
 class Tree:
-    """Block elements in page order, 0 being the root: tag, and the element around each."""
+    """Block elements in page order, 0 being the root: tag, and the element around each; doubtful elements, and
+    whether their names speak of readers."""
 
     tags: list[str] = field(default_factory=lambda: [""])
     above: list[int] = field(default_factory=lambda: [0])
+    readers: list[bool] = field(default_factory=lambda: [False])
 
 
 @dataclass
@@ -134,6 +151,7 @@ class _Open:
     inline: bool
     article: bool
     foreign: int | None
+    doubt: int
 
 
 def _tag_end(html: str, at: int) -> int:
@@ -152,24 +170,45 @@ def _tag_end(html: str, at: int) -> int:
     return len(html)
 
 
-def _excluded(name: str, in_article: bool) -> bool:
-    """Whether class and id say that an element isn't part of the text."""
-    if not in_article:
-        return bool(NAMES.search(BESIDE.sub("", name)))
-    for token in name.lower().split():
-        words = PARTS.split(token)
-        if all(w in KNOWN or w in GENERAL for w in words) and any(w in KNOWN for w in words):
-            return True
-    return False
+def _in_value(rest: str) -> bool:
+    """Whether the slash that ends a tag belongs to an unquoted value."""
+    cut = max(rest.rfind(c) for c in " \t\n\r\f\"'") + 1
+    return "=" in rest[cut:] or rest[:cut].rstrip().endswith("=")
+
+
+def _outside(name: str) -> bool:
+    """Whether class and id say that an element, which no article holds, isn't part of the text."""
+    return bool(NAMES.search(BESIDE.sub("", name)))
+
+
+def _inside(name: str) -> str:
+    """What class and id say of an element inside an article: "out", "readers" or "unsure" (both doubtful), or ""."""
+    said = ""
+    for token in BESIDE.sub("", name).lower().split():
+        words = [w for w in PARTS.split(token) if w]
+        signs = KNOWN.intersection(words)
+        if signs and all(w in KNOWN or w in GENERAL for w in words):
+            if not signs <= UNSURE:
+                return "out"
+            said = said or "unsure"
+        elif READERS.intersection(words) or PEOPLE.intersection(words) and ANSWERS.intersection(words):
+            said = "readers"
+        elif words and (words[0] in ADS or words[-1] in ADS):
+            if any(c.isdigit() for w in words for c in w):
+                return "out"
+            said = said or "unsure"
+    return said
 
 
 def blocks(html: str) -> tuple[list[Block], Tree]:
     """Text blocks in page order, without those of elements that never hold article text.
 
-    Work grows with the page's length: what the stack is asked for is kept as it grows.
+    Work grows with the page's length: the places of open elements are kept by tag as the stack grows, so no tag
+    walks down the stack but over what it closes.
     """
     stack: list[_Open] = []
-    opened: dict[str, int] = defaultdict(int)  # open elements by tag
+    opened: dict[str, list[int]] = defaultdict(list)  # places of open elements in the stack, by tag
+    solid: list[int] = []  # places of those that aren't inline
     p_at: list[int] = []  # places in the stack of open p, and of what hides them
     wall: list[int] = []
     tree, paths = Tree(), {}
@@ -183,7 +222,7 @@ def blocks(html: str) -> tuple[list[Block], Tree]:
         if top and top.out:
             return
         if now is None:
-            now = Block(top.path if top else 0, top.node if top else 0)
+            now = Block(top.path, top.node, top.doubt, top.article) if top else Block(0, 0)
             now.tag = tree.tags[now.node]
             found.append(now)
         text = unescape(raw)
@@ -195,11 +234,11 @@ def blocks(html: str) -> tuple[list[Block], Tree]:
         nonlocal links, now
         while len(stack) > k:
             o = stack.pop()
-            opened[o.tag] -= 1
+            opened[o.tag].pop()
             links -= o.tag == "a"
             if not o.inline:
                 now = None
-        for places in (p_at, wall):
+        for places in (p_at, wall, solid):
             while places and places[-1] >= k:
                 places.pop()
 
@@ -233,10 +272,8 @@ def blocks(html: str) -> tuple[list[Block], Tree]:
             break
         tag, end = m[2].lower(), m[1] == "/"
         if end:
-            k = len(stack) - 1 if opened[tag] else -1
-            while k >= 0 and stack[k].tag != tag and not (tag in INLINE and not stack[k].inline):
-                k -= 1
-            if k >= 0 and stack[k].tag == tag:
+            k = opened[tag][-1] if opened[tag] else -1
+            if k >= 0 and not (tag in INLINE and solid and solid[-1] > k):
                 close(k)
             elif tag in ("p", "br"):
                 now = None
@@ -248,19 +285,18 @@ def blocks(html: str) -> tuple[list[Block], Tree]:
         if not foreign and tag not in INLINE:
             now = None
             if tag in CLOSED_BY:
-                k, own = len(stack) - 1, CLOSED_BY[tag]
-                outermost = -1
-                while k >= 0 and (stack[k].tag in own or stack[k].tag not in SCOPES):
-                    if stack[k].tag in own:
-                        outermost = k
-                        if tag not in ("tr",):
-                            break
-                    k -= 1
+                own = CLOSED_BY[tag]
+                bar = max((opened[t][-1] for t in SCOPES - own if opened[t]), default=-1)
+                over = [opened[t] for t in own if opened[t] and opened[t][-1] > bar]
+                if tag == "tr":  # a row ends the row before it, not only its cell
+                    outermost = min((places[bisect_right(places, bar)] for places in over), default=-1)
+                else:
+                    outermost = max((places[-1] for places in over), default=-1)
                 if outermost >= 0:
                     close(outermost)
             elif tag not in VOID and p_at and not (wall and wall[-1] > p_at[-1]):
                 close(p_at[-1])
-        if foreign and rest.endswith("/") and not VALUE.search(rest) or not foreign and tag in VOID:
+        if foreign and rest.endswith("/") and not _in_value(rest) or not foreign and tag in VOID:
             continue
         attrs = {a[1].lower(): a[2] or a[3] or a[4] or "" for a in ATTR.finditer(rest)} if rest else {}
         name = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
@@ -270,9 +306,17 @@ def blocks(html: str) -> tuple[list[Block], Tree]:
         out = bool(top and top.out) or hidden or attrs.get("role", "").lower() in ROLES
         if tag in OUT and not (tag == "header" and in_article):
             out = True
-        if not out and name and tag not in ("html", "body", "article", "main") and _excluded(name, in_article):
-            out = True
         inline = foreign or tag in INLINE
+        doubt = top.doubt if top else 0
+        if not out and name and tag not in ("html", "body", "article", "main"):
+            if not in_article:
+                out = _outside(name)
+            elif not (opened["pre"] or opened["code"]):  # names inside are those of a highlighter
+                said = _inside(name)
+                out = said == "out" or inline and said == "unsure"
+                if not (out or inline or doubt) and said:
+                    tree.readers.append(said == "readers")
+                    doubt = len(tree.readers) - 1
         node, path = (top.node, top.path) if top else (0, 0)
         if not inline:
             tree.tags.append(tag)
@@ -284,8 +328,10 @@ def blocks(html: str) -> tuple[list[Block], Tree]:
             p_at.append(len(stack))
         elif tag in ("td", "th", "object", "button"):
             wall.append(len(stack))
-        stack.append(_Open(tag, node, path, out, inline, in_article or tag in HEADER_OK, within))
-        opened[tag] += 1
+        opened[tag].append(len(stack))
+        if not inline:
+            solid.append(len(stack))
+        stack.append(_Open(tag, node, path, out, inline, in_article or tag in HEADER_OK, within, doubt))
         links += tag == "a"
         if tag in RAW and not foreign:
             done = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, at)
@@ -295,8 +341,8 @@ def blocks(html: str) -> tuple[list[Block], Tree]:
     return [b for b in found if b.text], tree
 
 
-def path_scores(found: list[Block], p: HtmlParams) -> list[float]:
-    """For each block the smoothed, fused ratio of its path."""
+def path_ratios(found: list[Block]) -> dict[int, float]:
+    """For each path the log of its length per block, its punctuation and its share of link text, fused."""
     chars: dict = defaultdict(int)
     marks: dict = defaultdict(int)
     linked: dict = defaultdict(int)
@@ -306,10 +352,42 @@ def path_scores(found: list[Block], p: HtmlParams) -> list[float]:
         marks[b.path] += len(PUNCTUATION.findall(b.text))
         linked[b.path] += min(b.link_chars, len(b.text))
         count[b.path] += 1
-    fused = {
+    return {
         k: math.log1p(chars[k] / count[k]) * (1.0 + math.log1p(marks[k] / count[k])) * (1.0 - linked[k] / chars[k])
         for k in count
     }
+
+
+def without_doubtful(found: list[Block], tree: Tree, p: HtmlParams) -> list[Block]:
+    """Blocks without those of doubtful elements that aren't text of the article.
+
+    An article that has no paragraphs beside doubtful elements keeps these.
+    """
+    own = [k for k, b in enumerate(found) if b.article and not b.doubt and b.tag not in HEADINGS]
+    if len(tree.readers) == 1 or not own:
+        return found
+    ratios = path_ratios(found)
+    values = [ratios[found[k].path] for k in own]
+    mean = sum(values) / len(values)
+    least = mean - p.spread * math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
+    chars, weight, marks, last = defaultdict(int), defaultdict(float), defaultdict(int), {}
+    for k, b in enumerate(found):
+        if b.doubt:
+            chars[b.doubt] += len(b.text)
+            weight[b.doubt] += len(b.text) * ratios[b.path]
+            marks[b.doubt] += len(PUNCTUATION.findall(b.text))
+            last[b.doubt] = k
+    stays = {
+        d
+        for d, n in chars.items()
+        if weight[d] >= least * n and marks[d] >= 2 and not (tree.readers[d] and last[d] > own[-1])
+    }
+    return [b for b in found if not b.doubt or b.doubt in stays]
+
+
+def path_scores(found: list[Block], p: HtmlParams) -> list[float]:
+    """For each block the smoothed, fused ratio of its path."""
+    fused = path_ratios(found)
     reach = max(1, round(2 * p.sigma))
     weights = [math.exp(-0.5 * (d / p.sigma) ** 2) for d in range(-reach, reach + 1)]
     raw = [fused[b.path] for b in found]
@@ -322,6 +400,7 @@ def path_scores(found: list[Block], p: HtmlParams) -> list[float]:
 
 def main_text(html: str | None, p: HtmlParams = HtmlParams()) -> str:
     found, tree = blocks(html or "")
+    found = without_doubtful(found, tree, p)
     if not found:
         return ""
     scores = path_scores(found, p)

@@ -1,6 +1,7 @@
 """Tokens, media, html, classifier, joins and the pipeline against libraries and brute force."""
 
 import hashlib
+import re
 import struct
 import zlib
 
@@ -182,6 +183,8 @@ def test_broken_markup(html, text):
     "html",
     [
         '<a "' * 200_000, "<div>text " * 50_000, "<b>" * 100_000 + "x" + "</i>" * 100_000, "<p>a" * 100_000 + "</section>" * 100_000,
+        "<b><div>" + "<i>" * 150_000 + "</b>" * 150_000, "<i>" * 100_000 + "<tr>" * 100_000, "<table>" + "<i>" * 100_000 + "<tr>x" * 100_000,
+        "<svg " + "=" * 500_000 + "/>", "<i>" * 100_000 + "<td>" * 50_000 + "</i>" * 100_000,
         "<a href='x\">" * 60_000, "<li>" * 100_000, "<!--" * 200_000, "<svg><b>" * 30_000, "a < b " * 100_000,
     ],
 )
@@ -206,7 +209,6 @@ LONG = "A sentence of the text, long enough to count as one. " * 12
     ],
 )
 def test_all_parts_of_the_text(html):
-    import re
 
     assert html_text.main_text(html) == " ".join(re.sub("<[^>]*>", " ", html).split())
 
@@ -227,6 +229,57 @@ def test_foreign_elements(html, text):
     assert html_text.main_text(html) == text
 
 
+PROSE = "The author goes on, at length, about what was seen. Then more of it follows, as it must."
+
+
+@pytest.mark.parametrize(
+    ("part", "stays"),
+    [
+        ('<div class="user-comments"><p>No, says a reader, at length. I do not agree with any of it.</p></div>', False),
+        ('<section id="comment-thread"><p>No, says a reader, at length. I do not agree with any of it.</p></section>', False),
+        ('<div class="reader-responses"><p>No, says a reader, at length. I do not agree with any of it.</p></div>', False),
+        ('<div class="ad-300x250">Buy this now, it is cheap. Then buy more of it, as you must, and again.</div>', False),
+        ('<div class="google-ads">Buy this now</div>', False),
+        ('<div class="notice">We use cookies</div>', False),
+        ('<p class="tags"><a href="/a">one</a> <a href="/b">two</a></p>', False),
+        (f'<div class="notice"><p>{PROSE}</p></div>', True),
+        (f'<p class="tags">{PROSE}</p>', True),
+        (f'<p class="ad-hoc">{PROSE}</p>', True),
+    ],
+)
+def test_names_inside_articles(part, stays):
+    words = " ".join(re.sub("<[^>]*>", " ", part).split())
+    page = f"<nav><a href=/>Home</a></nav><article><h1>Head</h1><p>{PROSE}</p><p>{PROSE}</p>{part}</article>"
+    assert html_text.main_text(page) == f"Head {PROSE} {PROSE}" + (f" {words}" if stays else "")
+
+
+def test_comment_of_the_author_stays_between_paragraphs():
+    page = f'<article><p>{PROSE}</p><div class="editor-comment">{PROSE}</div><pre>x <span class="comment"># y</span></pre><p>{PROSE}</p></article>'
+    assert html_text.main_text(page) == f"{PROSE} {PROSE} x # y {PROSE}"
+    only = f'<article><h1>Head</h1><div class="comment-of-the-day">{PROSE}</div></article>'
+    assert html_text.main_text(only) == f"Head {PROSE}"
+
+
+def test_all_pages_against_the_blocks_of_their_article():
+    """Every given page has one article: its text is all that stands in it, by a plain cut with patterns."""
+    import duckdb
+    from html import unescape
+
+    blocks = "p|h1|h2|h3|h4|h5|h6|li|ul|ol|div|br|article|blockquote|pre|table|tr|td"
+    got = 0
+    for (html,) in duckdb.sql("SELECT html FROM '/root/testdata/sf0.01/pages.parquet' WHERE html IS NOT NULL").fetchall():
+        body = re.search(r"<article[^>]*>(.*?)</article>", html, re.S)
+        if body is None:
+            continue
+        cut = re.sub(rf"</?(?:{blocks})\b[^>]*>", "\x00", body[1])
+        parts = [" ".join(unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in cut.split("\x00")]
+        want = " ".join(x for x in parts if x)
+        assert html_text.main_text(html) == want
+        assert html_text.main_text(re.sub("(</?)article", r"\1div", html)) == want
+        got += 1
+    assert got > 100
+
+
 def test_html_tables(spark):
     schema = "page_id long, url string, html string, text string"
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (1, "u", PAGE, "x"), (None, None, None, None)], schema)
