@@ -77,6 +77,23 @@ def test_a_large_group_of_equal_texts_is_cut_by_id(spark):
     assert [r["count"] for r in got] == [500] * 8
 
 
+def test_a_large_group_of_equal_rows_is_cut_by_row_number(spark):
+    """4,000 rows share text and id, among 5,000: all shards get their part, and places stay gapless."""
+    df = spark.range(5000).selectExpr("if(id < 4000, 7L, id * 1000003) as h", "if(id < 4000, 1L, id) as i", "100L as size")
+    rows = sharding.shard(df, sharding.ShardParams(cell_rows=100)).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r.shard].append(r)
+    assert [len(by[k]) for k in range(8)] == [625] * 8
+    last = None
+    for k in range(8):
+        own = sorted(by[k], key=lambda r: r.slot)
+        assert [r.slot for r in own] == list(range(625))
+        order = [(r.h, r.i) for r in own]
+        assert order == sorted(order) and (last is None or last <= order[0])
+        last = order[-1]
+
+
 def brute_lines(docs):
     key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\f\r"))
     seen = defaultdict(set)
