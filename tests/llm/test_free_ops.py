@@ -302,6 +302,59 @@ def test_classifier(spark, odd):
     assert quality_classifier.classify(odd.limit(0), None).count() == 0
 
 
+def test_risk_and_gradient():
+    """Against the risk as defined and its finite differences, on both sides of where the second part vanishes."""
+    rng = np.random.default_rng(5)
+    soft = lambda f: np.log1p(np.exp(f))
+    met = set()
+    for prior, shift in ((None, 0), (0.3, 0), (0.9, 3)):
+        a, b, w = rng.normal(1 + shift, 1, (40, 6)), rng.normal(0, 1, (90, 6)), np.abs(rng.normal(0, 0.3, 6))
+        value, slope, counts = quality_classifier.risk(w, a, b, prior)
+        second = soft(b @ w).mean() - (prior or 0) * soft(a @ w).mean()
+        assert counts == (second >= 0)
+        met.add(counts)
+        want = (1 if prior is None else prior) * soft(-(a @ w)).mean() + second if counts else -second
+        assert value == pytest.approx(want)
+        for k in range(6):
+            e = np.eye(6)[k] * 1e-5
+            more, less = (quality_classifier.risk(w + s * e, a, b, prior)[0] for s in (1, -1))
+            assert (more - less) / 2e-5 == pytest.approx(slope[k], abs=1e-6)
+    assert met == {True, False}
+
+
+def test_weights_are_the_mean_over_blocks_of_all_rows(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(0, 1, (3000, quality_classifier.N_STATS))
+    pos = rng.normal(0.5, 1, (200, quality_classifier.N_STATS))
+    df = spark.createDataFrame([(k, bytearray(r.tobytes())) for k, r in enumerate(x)], "row long, x binary").repartition(5)
+    model = quality_classifier.Model(np.zeros(x.shape[1]), np.ones(x.shape[1]), np.zeros((1, x.shape[1])))
+    p = quality_classifier.PuParams(block_rows=1000, steps=20)
+    block = np.array([r[0] for r in df.sparkSession.sql("SELECT pmod(xxhash64(id), 3L) FROM range(3000) ORDER BY id").collect()])
+    want = sum(quality_classifier.descend(model.basis(pos), model.basis(x[block == k]), 0.4, p) * (block == k).sum() for k in range(3)) / 3000
+    np.testing.assert_allclose(quality_classifier.mean_weights(model, pos, df, 3000, 0.4, p), want, atol=1e-8)
+
+
+def test_sums_and_scales_cover_all_rows(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(3, 2, (5000, quality_classifier.N_STATS))
+    df = spark.createDataFrame([(bytearray(r.tobytes()),) for r in x], "x binary").repartition(7)
+    model, n = quality_classifier.scales(df)
+    assert n == 5000
+    np.testing.assert_allclose(model.mean, x.mean(axis=0))
+    np.testing.assert_allclose(model.scale, x.std(axis=0), rtol=1e-5)
+    np.testing.assert_allclose(model.knots, np.quantile(model.scaled(x), [0.05, 0.5, 0.95], axis=0), atol=0.07)
+
+
+def test_a_repeated_document_is_one_positive(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(quality_classifier, "fit", lambda pos, rows, p: seen.update(pos=len(pos), rows=rows.count()))
+    docs = spark.range(3000).selectExpr("if(id < 2000, 1L, id) as doc_id", "concat('text ', id) as text")
+    quality_classifier.train(docs, spark.createDataFrame([(1, 1), (2500, 1)], "doc_id long, quality int"))
+    outside = sum(zlib.crc32(str(d).encode()) % 5 != 0 for d in range(2000, 3000))
+    one, two = (zlib.crc32(d) % 5 != 0 for d in (b"1", b"2500"))
+    assert seen == {"pos": one + two, "rows": outside + 2000 * one} and one
+
+
 def brute_links(docs, k, num, den):
     s = {d: set(shingles(t, k).tolist()) for d, t in docs}
     root = {d: d for d in s}
