@@ -6,7 +6,8 @@ lines to (key, documents, largest doc_id), merge-anti-joins the runs to leave
 out the keys they have settled (enough documents seen; the keeper, which came
 earlier, is known), and adds the rest as a sorted run of level 0.  When a level
 holds ``fanout`` runs they are compacted into one run of the next level.  Runs
-are bucketed and sorted by key, so merging them needs no shuffle.  At the end
+are bucketed and sorted by key, so a run alone is merged without a shuffle; the
+planner exchanges a union of several runs again.  At the end
 all runs give the repeated keys and each one's keeper.  Lines then meet the repeated keys in a join that adaptive execution
 can split at hot lines; only (document, line number) of what is dropped moves on.
 

@@ -13,7 +13,8 @@ window.  At a place that no piece of the vocabulary crosses, all paths meet.
 
 Such places are the starts of blanks, so what a chunk between them gives is
 remembered per worker, within bounds; characters without a piece are coded as
-bytes.  Decoding joins the pieces' bytes and gives the text back exactly.
+bytes.  Decoding joins the pieces' bytes and gives the text back exactly,
+but for U+2581, the model's own sign for a blank, which comes back as a blank.
 
 Defined results: null text is an empty text, without ids; lone surrogates can't
 occur in Spark strings; repeated rows give repeated results; an empty table
