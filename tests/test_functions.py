@@ -1,6 +1,7 @@
 """Scalar functions against hand-written answers."""
 
 import math
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ def one(spark, f, value, kind="string"):
         ("é@bob hi x@y.com @al https://t.co/x ahttps://q", "hi x y com ahttps q"),
         ("Héllo Wörld_1 don't", "h llo w rld_1 don t"),
         ("@a https://b", ""),
+        ("a\u212aB \u0130x @\u212ay", "a b x"),
         ("", ""),
         (None, ""),
     ],
@@ -43,6 +45,8 @@ def test_clean_words(spark, given, words):
         ("3.14", "3 . 14 <number>"),
         ("8/10", "<sadface> 10 <number>"),
         ("http://a.b/c x", "<url> x"),
+        ("@bob\u2028 www.x", "<user> <url>"),
+        ("x\n#NASA\u00e9 #A\t:) ab-oo \u00c9", "x # nasae <hashtag> a <endhashtag> <smile> ab - o <elong> e"),
         (None, ""),
     ],
 )
@@ -50,6 +54,19 @@ def test_tokenize(spark, given, tokens):
     assert " ".join(one(spark, text.tokenize, given)) == tokens
 
 
+@pytest.mark.parametrize("given", ["@a https://b", "", None, "..", "a", "@a b"])
+def test_has_words(spark, given):
+    assert one(spark, text.has_words, given) == bool(one(spark, text.clean_words, given))
+
+
+def test_elongations_are_searched_once_for_each_place(spark):
+    """A run of 40,000 letters without one; from each letter anew it took the square of its length."""
+    long = "ab" * 20_000
+    began = time.monotonic()
+    assert one(spark, text.tokenize, long) == [long]
+    assert time.monotonic() - began < 5
+
+
 def test_fold_tables_have_one_letter_each():
     assert len(text.FOLD_FROM) == len(text.FOLD_TO)
 
