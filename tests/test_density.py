@@ -1,12 +1,14 @@
 """The hand-made scenario of twelve messages and two seeds."""
 
 import math
+from pathlib import Path
 
 import pytest
 
 from bruit.functions.text import clean_words
 from bruit.operators import density, events
 from bruit.operators.pairs import candidates
+from bruit.operators.store import stored, tidied
 from bruit.params import Params
 from pyspark.sql import functions as F
 
@@ -93,6 +95,30 @@ def test_unseeded_clusters(scene):
     assert {i for i, v in got.items() if v == 9} == {9, 10, 11, 12}
 
 
+def test_edges_leave_nothing_else_on_disk(spark, scene):
+    """Blocks of vectors and what comes between go, and jobs' shuffle files with them; pairs are written once each."""
+    t, s = scene
+    base = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    base.mkdir(exist_ok=True)
+    before = set(base.iterdir())
+    e = density.kept_edges(t, s, P)
+    left = set(base.iterdir()) - before
+    assert {Path(f.removeprefix("file://")).parent.name for f in e.inputFiles()} == {p.name for p in left} and len(left) == 1
+    key = lambda df: sorted(map(tuple, df.select("src", "dst", "dist").collect()))
+    assert key(e) == key(density.neighbor_edges(t, s, P))
+    assert e.count() == 2 * spark.read.parquet(str(next(iter(left)))).count()
+
+
+def test_outer_tidied_takes_what_an_inner_one_kept(spark):
+    with tidied(spark) as outer:
+        with tidied(spark) as inner:
+            kept = inner(stored(spark.range(3)))
+        name = kept.inputFiles()[0].removeprefix("file://")
+        assert Path(name).exists()
+        outer(spark.range(1))
+    assert not Path(name).exists()
+
+
 def test_incremental_equals_full(scene):
     t, _ = scene
     before = t.where("id <> 3")
