@@ -1,12 +1,14 @@
 """The hand-made scenario of twelve messages and two seeds."""
 
 import math
+from dataclasses import replace
 from pathlib import Path
 
+import numpy as np
 import pytest
 
 from bruit.functions.text import clean_words
-from bruit.operators import density, events
+from bruit.operators import density, events, near
 from bruit.operators.pairs import candidates
 from bruit.operators.store import stored, tidied
 from bruit.params import Params
@@ -130,3 +132,39 @@ def test_incremental_equals_full(scene):
     key = lambda df: sorted(map(tuple, df.select("src", "dst", "dist").collect()))
     assert key(edges) == key(full)
     assert as_map(core) == as_map(density.core_distance(after, full, P))
+
+
+def test_few_edges_tell_what_all_tell(spark, monkeypatch):
+    """At a wide epsilon edges grow as the square of a place's messages; those that are kept instead don't, and nothing that is made of them changes."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(300):
+        about = rng.normal(size=4) * (1 + i % 3)
+        words = ["w"] * (i % 5 > 0) + [f"s{k}" for k in rng.integers(0, 150, 3)] * (i % 7 > 0)
+        x = [0.0] * 4 if i == 5 else (rows[-1][7] if i % 10 == 9 else np.round(about, 3).tolist())
+        rows.append((i, -99.9 + i % 8 * 0.4, 40.1 + i % 3 * 0.7, True, i % 9, "", words, x))
+    t = spark.createDataFrame(rows, "id long, lon double, lat double, exact boolean, uid long, text string, words array<string>, vector array<double>").cache()
+    s = spark.createDataFrame([(k, rng.normal(size=4).round(3).tolist()) for k in range(3)], "seed_idx int, vector array<double>")
+    monkeypatch.setattr(near, "MASK", 64)  # some pairs have no frequent word in common
+    key = lambda df: sorted(map(tuple, df.collect()))
+    for p in (replace(P, epsilon=0.5, reach_max=0.12, block_bits=3), replace(P, epsilon=0.3, block_bits=11)):
+        found = []
+        for edges in (density.kept_edges(t, s, p), density.telling_edges(t, s, p)):
+            c = density.core_distance(t, edges, p).cache()
+            r = density.reachability(t, edges, c, p).cache()
+            found.append((edges, [key(x) for x in (c, r, density.core_components(edges, c, p), density.seed_membership(edges, c, p), density.clusters(edges, c, r, p))]))
+        (all_, want), (some, got) = found
+        assert got == want and all(want) and set(key(some)) <= set(key(all_))
+        if p.block_bits == 11:
+            assert some.count() < all_.count() * 0.7
+
+
+def test_forests_span_what_is_apart():
+    rng = np.random.default_rng(8)
+    for n, m in ((1, 0), (30, 20), (200, 150), (50, 900)):
+        i, j, label = rng.integers(0, n, m), rng.integers(0, n, m), np.arange(n)
+        used = near.joined(label, i, j)
+        assert (label[i] == label[j]).all() and len(used) == n - len(set(label.tolist()))
+        again = np.arange(n)
+        near.joined(again, i[used], j[used])
+        assert (again == label).all()
