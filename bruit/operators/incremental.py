@@ -47,7 +47,7 @@ class State:
 
 def full(tweets: DataFrame, seeds: DataFrame, p: Params) -> State:
     """The state of ``tweets`` from nothing."""
-    tweets = stored(tweets)
+    tweets = stored(tweets, "zstd")
     edges = stored(density.neighbor_edges(tweets, seeds, p))
     core = stored(density.core_distance(tweets, edges, p))
     reach = stored(density.reachability(tweets, edges, core, p))
@@ -77,8 +77,8 @@ def _changed(old: DataFrame, new: DataFrame) -> DataFrame:
 
 def step(state: State, expired: DataFrame, new: DataFrame, seeds: DataFrame, p: Params) -> State:
     """The state after ``expired`` (id) are gone and ``new`` (rows like the state's messages) have come."""
-    gone, new = stored(expired.select("id")), stored(new.select(*state.tweets.columns))
-    tweets = stored(_without(state.tweets, gone).unionByName(new))
+    gone, new = stored(expired.select("id")), stored(new.select(*state.tweets.columns), "zstd")
+    tweets = stored(_without(state.tweets, gone).unionByName(new), "zstd")
     fresh = new.select("id")
 
     # Edges: of the old ones those between messages that stay; new ones have a new end.
